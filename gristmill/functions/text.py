@@ -6,7 +6,7 @@ spelled as Unicode classes (``(?U)``) wherever text of any language may occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +19,12 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 _WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the
+    body (or a lambda in it) names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
@@ -196,12 +202,12 @@ def truncate_tokens(text: Column, budget: int, side: str = "left") -> Column:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` words; a shorter text is one shingle."""
-    parts = words(text)
-    count = F.size(parts)
-    runs = F.transform(F.sequence(F.lit(1), count - size + 1), lambda i: F.array_join(F.slice(parts, i, size), " "))
-    return (F.when(count == 0, F.array().cast("array<string>"))
-            .when(count < size, F.array(F.array_join(parts, " ")))
-            .otherwise(F.array_distinct(runs)))
+
+    def runs(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, size), " "))
+
+    return F.array_distinct(F.filter(let(words(text), runs), lambda s: s != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -308,15 +314,20 @@ def query_variants(text: Column, expanded: Column | None = None, limit: int = 3,
                    extra: Column | None = None) -> Column:
     """Distinct reformulations, the (expanded) query first."""
     bare, base = F.lower(strip(text)), strip(expanded if expanded is not None else text)
-    plain = without_question_word(text)
-    keyed = F.array_join(keywords(text), " ")
-    options = F.array(base, F.when(F.lower(plain) != bare, plain), F.when(F.lower(keyed) != bare, keyed))
+
+    def unlike(option: Column) -> Column:
+        return let(option, lambda o: F.when(F.lower(o) != bare, o))
+
+    options = F.array(base, unlike(without_question_word(text)), unlike(F.array_join(keywords(text), " ")))
     if extra is not None:
         options = F.concat(options, F.transform(extra, strip))
-    filled = F.filter(options, lambda v: v.isNotNull() & (strip(v) != ""))
-    lowered = F.transform(filled, F.lower)
-    first = F.filter(filled, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.slice(first, 1, max(1, limit))
+    filled = F.filter(options, lambda v: v.isNotNull() & (v != ""))
+
+    def first_of_kind(found: Column) -> Column:
+        lowered = F.transform(found, F.lower)
+        return F.filter(found, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+
+    return F.slice(let(filled, first_of_kind), 1, max(1, limit))
 
 
 def query_type(text: Column) -> Column:
@@ -356,14 +367,11 @@ def numeric_range(text: Column) -> Column:
 # --- checks -------------------------------------------------------------------------------------
 
 
-def response_status(text: Column) -> Column:
-    """Why an answer is unusable: empty, punctuation only, repeating, role
-    prefix, malformed; else valid."""
-    body = strip(F.coalesce(text, F.lit("")))
-    parts = words(body)
-    runs = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.array_join(F.slice(parts, i, 3), " "))
-    ordered = F.array_sort(runs)
-    # Longest run of equal neighbours in sorted order is the highest frequency.
+def _repeats(parts: Column) -> Column:
+    """Whether one run of three words makes up more than half of the distinct runs."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))),
+                       lambda i: F.array_join(F.slice(parts, i, 3), " "))
+    # In sorted order the longest run of equal neighbours is the highest count.
     state = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("top"), F.lit(0).alias("kinds"))
 
     def step(acc: Column, item: Column) -> Column:
@@ -372,14 +380,21 @@ def response_status(text: Column) -> Column:
         return F.struct(item.alias("last"), n.alias("n"), F.greatest(acc["top"], n).alias("top"),
                         F.when(same, acc["kinds"]).otherwise(acc["kinds"] + 1).alias("kinds"))
 
-    repeated = F.aggregate(ordered, state, step, lambda acc: acc["top"] / acc["kinds"] > 0.5)
+    often = F.aggregate(F.array_sort(runs), state, step, lambda acc: acc["top"] / acc["kinds"] > 0.5)
+    return (F.size(parts) >= 9) & often
+
+
+def response_status(text: Column) -> Column:
+    """Why an answer is unusable: empty, punctuation only, repeating, role
+    prefix, malformed; else valid."""
+    body = strip(F.coalesce(text, F.lit("")))
     prefixed = F.lit(False)
     for prefix in lx.ROLE_PREFIXES:
         prefixed = prefixed | F.lower(body).startswith(prefix)
     return (
         F.when(body == "", "empty")
         .when(~body.rlike(r"[\p{L}\p{N}]"), "punctuation_only")
-        .when((F.size(parts) >= 9) & repeated, "repeated")
+        .when(let(words(body), _repeats), "repeated")
         .when(prefixed, "hallucinated_prefix")
         .when(~F.is_valid_utf8(text), "malformed_unicode")
         .otherwise("valid")

@@ -55,16 +55,17 @@ def cut_points(df: DataFrame, name: str, pieces: int = PIECES, around: tuple[flo
     return sorted(set(keys.stat.approxQuantile("k", marks, error)))
 
 
-def piece_of(number: Column, cuts: list[float]) -> Column:
-    """Index of the piece a number falls into, as a balanced CASE tree."""
+def with_piece(df: DataFrame, number: Column, cuts: list[float]) -> DataFrame:
+    """Adds ``__piece``, the index of the piece a number falls into (null: 0)."""
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(number <= cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN __key <= {cuts[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return F.when(number.isNull(), 0).otherwise(tree(0, len(cuts)))
+    piece = F.expr(f"CASE WHEN __key IS NULL THEN 0 ELSE {tree(0, len(cuts))} END")
+    return df.withColumn("__key", number).withColumn("__piece", piece).drop("__key")
 
 
 def _ordering(order: list[str], descending: bool) -> list[Column]:
@@ -79,7 +80,7 @@ def dense_index(df: DataFrame, order: list[str], name: str, start: int = 0,
     arbitrarily; the first one must be numeric or temporal.
     """
     cuts = cut_points(df, order[0], pieces)
-    tagged = df.withColumn("__piece", piece_of(_as_number(df, order[0]), cuts))
+    tagged = with_piece(df, _as_number(df, order[0]), cuts)
     across = Window.orderBy(*_ordering(["__piece"], descending)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy("__piece").agg(F.count("*").alias("__n"))
@@ -108,7 +109,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
                   descending: bool = False, pieces: int = PIECES) -> DataFrame:
     """Sum of ``value`` over the rows of the same key up to and with this one."""
     cuts = cut_points(df, order[0], pieces)
-    tagged = df.withColumn("__value", value).withColumn("__piece", piece_of(_as_number(df, order[0]), cuts))
+    tagged = with_piece(df.withColumn("__value", value), _as_number(df, order[0]), cuts)
     across = (
         Window.partitionBy(*keys).orderBy(*_ordering(["__piece"], descending))
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +152,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, marks: dict[str, flo
 
     cuts = cut_points(data, "__v", pieces, tuple(marks.values()))
     counts = (
-        data.groupBy(*keys, piece_of(F.col("__v"), cuts).alias("__piece"), "__v")
+        with_piece(data, F.col("__v"), cuts).groupBy(*keys, "__piece", "__v")
         .agg(F.count("*").alias("__n"))
     )
     spread = Window.partitionBy(*keys)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.sources import readers
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -29,6 +31,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """The table for work that is heavy per row, split to use all cores."""
+        return readers.spread(getattr(self, name), key)
+
     def named(self, *names: str) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in names}
 
