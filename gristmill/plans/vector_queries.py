@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import lexicon as lx
 from gristmill.operators import search as se
 from gristmill.operators import vectors as vec
 from gristmill.plans.registry import Tables, query
+from gristmill.plans.text_queries import ASCII, TYPE_SQL, count_sql, quoted
+from gristmill.session import cut_lineage
 
 CENTROIDS = """with cells as (select label, pos, round(avg(embedding[pos]::double), 9) as x
    from embeddings, range(1, 65) r(pos) group by all),
@@ -56,9 +59,9 @@ def search_named_vector(t: Tables) -> DataFrame:
 
 
 def metric_lists(t: Tables) -> DataFrame:
-    found = None
+    found, asked = None, cut_lineage(label_queries(t))
     for name in ("cosine", "dot", "manhattan"):
-        part = se.top_k(points(t), label_queries(t), 30, metric=name).withColumn("variant", F.lit(name))
+        part = se.top_k(points(t), asked, 30, metric=name).withColumn("variant", F.lit(name))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -108,17 +111,26 @@ def best_hit_per_id(t: Tables) -> DataFrame:
 select query_id, coverage, round(least(1, greatest(0, 0.40::double * top + 0.20::double * mean + 0.15::double * close + 0.15::double * m + 0.10::double * coverage)), 4) as confidence
 from g join c using (query_id)""")
 def retrieval_confidence(t: Tables) -> DataFrame:
-    lists = metric_lists(t).persist()
+    lists = metric_lists(t)
     share = se.coverage(se.fuse(lists), 3)
     best = lists.filter(F.col("variant") == "cosine")
     sure = se.confidence(best, vec.normalise_score(F.col("score"), "cosine"), F.col("point_id") % 2 == 0, share)
     return share.join(sure, "query_id")
 
 
-@query("V14", r"""with c as (select conv_id, turn, 20 as k, length(text) as n, text from conversations)
-select conv_id, turn, k is not null as known from c""")
-def adaptive_depth_known(t: Tables) -> DataFrame:
-    return se.adaptive_depth(t.conversations, "text").select("conv_id", "turn", F.col("top_k").isNotNull().alias("known"))
+STRATEGY_SQL = " ".join(f"when '{n}' then {{'m': {m}::double, 'd': {d}::double}}" for n, (m, d, _) in lx.QUERY_STRATEGY.items())
+
+
+@query("V14 X37", rf"""with c as (select conv_id, turn, trim({ASCII.format('text')}, E' \n\t\r') as a from conversations),
+ k as (select conv_id, turn, {count_sql('a', r'[^\s]+')} as n, case when a = '' then 'search' {TYPE_SQL} when ends_with(a, '?')
+   or regexp_matches(a, {quoted(rf'(?i)^(?:{lx.QUESTION_WORDS})\b')}) then 'informational' when {count_sql('a', r'[^\s]+')} <= 4 then 'search'
+   else 'informational' end as query_type from c),
+ s as (select *, case query_type {STRATEGY_SQL} end as s from k),
+ w as (select *, greatest(1, round_even(20 * s.m, 0)) as wide from s)
+select conv_id, turn, query_type, cast(greatest(5, least(100, case when n > 25 then round_even(wide * 1.2::double, 0) else wide end)) as integer) as top_k,
+  round(least(1, greatest(0, 0.3::double + s.d)), 4) as score_threshold from w""")
+def adaptive_depth(t: Tables) -> DataFrame:
+    return se.adaptive_depth(t.conversations, "text").select("conv_id", "turn", "query_type", "top_k", "score_threshold")
 
 
 @query("V13")
