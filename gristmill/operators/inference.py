@@ -95,15 +95,25 @@ def as_time(cell: Column, pattern: str | None) -> Column:
     return F.when(text.rlike(f"^({_SHAPES[pattern]})$"), parsed)
 
 
-def _tests(cell: Column) -> dict[str, Column]:
-    """Aggregates over one text column that the decision needs."""
+def _views(cell: Column, i: int) -> list[dict[str, Column]]:
+    """Derived columns of one text column, in two layers, each computed once."""
     text = F.nullif(F.trim(cell), F.lit(""))
-    low, bare = F.lower(text), unsigned_text(text)
-    numeric = bare.rlike(r"^[+-]?\d+(\.\d+)?$|^[+-]?\d+(\.\d+)?[eE][+-]?\d+$")
-    value = F.when(numeric, bare.try_cast("double"))
+    bare, here = unsigned_text(F.col(f"text_{i}")), F.col(f"text_{i}")
+    number = F.col(f"bare_{i}").rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    return [
+        {f"text_{i}": text},
+        {f"bare_{i}": bare, f"dated_{i}": here.rlike(r"^\d{1,4}[-/]\d|^\d{8}$|^[A-Za-z]{3,9},? \d|^\d{1,2} [A-Za-z]{3} ")},
+        {f"number_{i}": number, f"time_{i}": F.when(F.col(f"dated_{i}"), as_time(here, None))},
+        {f"value_{i}": F.when(F.col(f"number_{i}"), F.col(f"bare_{i}").try_cast("double"))},
+    ]
+
+
+def _tests(i: int) -> dict[str, Column]:
+    """Aggregates over one text column that the decision needs."""
+    text, bare, numeric, value, time, dated = [F.col(f"{n}_{i}") for n in ("text", "bare", "number", "value", "time", "dated")]
+    low = F.lower(text)
     fraction = F.when(numeric, F.nullif(F.length(F.regexp_extract(bare, r"\.(\d+)$", 1)), F.lit(0)))
     json_text = text.rlike(r"^[{\[]")
-    flexible = as_time(text, None)
     tests = {
         "n": F.count(text), "other_tokens": F.count_if(~low.isin(TRUE_TOKENS + FALSE_TOKENS)),
         "uuids": F.count_if(text.rlike(UUID)), "json_like": F.count_if(json_text),
@@ -113,10 +123,10 @@ def _tests(cell: Column) -> dict[str, Column]:
         "scale": F.max(fraction), "scales": F.size(F.collect_set(fraction)),
         "digits": F.max(F.when(numeric, F.length(F.regexp_extract(bare, r"^[+-]?(\d+)", 1)))),
         "currency": F.count_if(text.rlike(f"[{CURRENCY}]")), "percent": F.count_if(text.endswith("%")),
-        "flexible": F.count(flexible), "timed": F.count_if(flexible != F.date_trunc("day", flexible)),
+        "flexible": F.count(time), "timed": F.count_if(time != F.date_trunc("day", time)),
     }
-    for i, (pattern, _, _) in enumerate(TIME_FORMATS):
-        tests[f"format{i}"] = F.count(as_time(text, pattern))
+    for k, (pattern, _, _) in enumerate(TIME_FORMATS):
+        tests[f"format{k}"] = F.count(F.when(dated, as_time(text, pattern)))
     return tests
 
 
@@ -171,10 +181,12 @@ def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance
     the filled sampled values falls back to text."""
     sample = sample_rows(df, rows, exact)
     tests: dict[int, dict[str, Column]] = {}
+    views: dict[int, list[dict[str, Column]]] = {}
     for i, f in enumerate(df.schema.fields):
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            tests[i] = _tests(col)
+            tests[i] = _tests(i)
+            views[i] = _views(col, i)
         elif isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)):
             tests[i] = _number_tests(col)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -182,7 +194,11 @@ def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance
     results: dict[int, dict] = {}
     for start in range(0, len(tests), COLUMNS_PER_PASS):
         block = list(tests)[start:start + COLUMNS_PER_PASS]
-        row = sample.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
+        ready = sample
+        for layer in range(4):
+            columns = {n: c for i in block if i in views for n, c in views[i][layer].items()}
+            ready = ready.withColumns(columns) if columns else ready
+        row = ready.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
         results.update({i: {n: row[f"{n}_{i}"] for n in tests[i]} for i in block})
     guesses = []
     for i, f in enumerate(df.schema.fields):
