@@ -75,6 +75,12 @@ def best_per_text(df: DataFrame, text: str = "chunk_text", score: str = "score",
 # --- greedy steps inside one query's result set ------------------------------------------
 
 
+def by_query(df: DataFrame) -> DataFrame:
+    """Shuffled by query into the configured number of tasks. Python groups are
+    few rows but much work, so they must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+
+
 def _guarded(df: DataFrame, rank: str, limit: int, step: Callable[[pd.DataFrame], pd.DataFrame], schema=None) -> tuple[DataFrame, DataFrame]:
     """(rows of small queries through ``step``, rows of large ones unchanged).
 
@@ -82,7 +88,7 @@ def _guarded(df: DataFrame, rank: str, limit: int, step: Callable[[pd.DataFrame]
     """
     sizes = df.groupBy("query_id").agg(F.count("*").alias("__size"))
     sized = df.join(sizes, "query_id")
-    small = sized.filter(F.col("__size") <= limit).drop("__size")
+    small = by_query(sized.filter(F.col("__size") <= limit).drop("__size"))
     out = small.groupBy("query_id").applyInPandas(step, schema or df.schema)
     return out, sized.filter(F.col("__size") > limit).drop("__size")
 
@@ -117,13 +123,32 @@ def _same_metadata(a, b, keys: list[str]) -> float:
     return min(sum(0.2 for k in keys if a[k] is not None and a[k] == a[k] and a[k] != "" and a[k] == b[k]), 1.0)
 
 
+def _common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one bit per character of a."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & places.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def _ratio(a: str, b: str, floor: float) -> float:
+    """Similarity of two texts, 0 where it is surely below ``floor``."""
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
     match = SequenceMatcher(None, a, b)
-    # The quick bounds are never below the ratio, so nothing is missed.
+    # Each bound is never below the ratio (matched blocks form a common
+    # subsequence), so nothing is missed.
     if match.real_quick_ratio() < floor or match.quick_ratio() < floor:
         return 0.0
+    if 2 * _common_length(a, b) < floor * (len(a) + len(b)):
+        return 0.0
     return match.ratio()
 
 

@@ -17,6 +17,7 @@ from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
 from gristmill.operators import filters as flt
 from gristmill.operators import vectors as vec
+from gristmill.operators.dedup import by_query
 
 #: Largest block of query vectors sent to every task.
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
@@ -242,7 +243,7 @@ def mmr(candidates: DataFrame, top: int, weight: float = 0.5, vector: str = "vec
         picked["position"] = np.arange(1, len(picked) + 1)
         return picked
 
-    return bounded.groupBy("query_id").applyInPandas(pick, schema)
+    return by_query(bounded).groupBy("query_id").applyInPandas(pick, schema)
 
 
 # --- query-dependent depth and confidence --------------------------------------------
