@@ -131,13 +131,15 @@ def native(cell: Column) -> Column:
     bracketed = text.rlike(r"(?s)^(\{.*\}|\[.*\])$")
     number = text.rlike(r"^[+-]?\d+$") & text.try_cast("long").isNotNull()
     real = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    quoted = F.try_parse_json(F.to_json(F.struct(cell.alias("v"))))
+
+    def scalar(value: Column) -> Column:
+        return F.variant_get(F.try_parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant")
+
     return (
         F.when(plain, F.try_parse_json(F.lower(text)))
         .when(bracketed & F.try_parse_json(text).isNotNull(), F.try_parse_json(text))
         .when(number, F.try_parse_json(text.try_cast("long").cast("string")))
-        .when(real, F.try_parse_json(F.to_json(F.struct(text.try_cast("double").alias("v")))).try_cast("variant"))
-        .otherwise(quoted)
+        .when(real, scalar(text.try_cast("double"))).otherwise(scalar(cell))
     )
 
 

@@ -84,8 +84,10 @@ def by_query(df: DataFrame) -> DataFrame:
 def _guarded(df: DataFrame, rank: str, limit: int, step: Callable[[pd.DataFrame], pd.DataFrame], schema=None) -> tuple[DataFrame, DataFrame]:
     """(rows of small queries through ``step``, rows of large ones unchanged).
 
-    A query with more than ``limit`` rows never reaches a Python group.
+    A query with more than ``limit`` rows never reaches a Python group. The
+    input is used three times, so its lineage is cut first.
     """
+    df = cut_lineage(df)
     sizes = df.groupBy("query_id").agg(F.count("*").alias("__size"))
     sized = df.join(sizes, "query_id")
     small = by_query(sized.filter(F.col("__size") <= limit).drop("__size"))

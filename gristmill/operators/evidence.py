@@ -69,11 +69,12 @@ def limit_per_query(df: DataFrame, score: str, tie: str, most: int = MAX_CHUNKS)
 
 
 def one_per(df: DataFrame, key: Column, score: str, tie: str) -> DataFrame:
-    """Best row per query and key; rows without a key all stay."""
-    keyed = df.withColumn("__key", F.nullif(key.cast("string"), F.lit("")))
-    best = _place(keyed.filter(F.col("__key").isNotNull()), ["query_id", "__key"], [F.desc(score), F.col(tie)], "__n")
-    alone = keyed.filter(F.col("__key").isNull())
-    return best.filter(F.col("__n") == 1).drop("__n").unionByName(alone).drop("__key")
+    """Best row per query and key; rows without a key all stay, each being a
+    key of its own."""
+    filled = F.nullif(key.cast("string"), F.lit(""))
+    keyed = df.withColumn("__key", F.struct(filled.alias("key"), F.when(filled.isNull(), F.col(tie)).alias("own")))
+    best = _place(keyed, ["query_id", "__key"], [F.desc(score), F.col(tie)], "__n")
+    return best.filter(F.col("__n") == 1).drop("__n", "__key")
 
 
 def compress(df: DataFrame, as_of: Column, tie: str = "chunk_id", most: int = MAX_CHUNKS) -> tuple[DataFrame, dict[str, Observation]]:
@@ -225,11 +226,12 @@ def clean_context(df: DataFrame, text: str, score: str, order: str, items: int =
     """Best-scored rows first (no score last), texts cut, repeats removed,
     capped; flags item and source rows."""
     body = tx.truncate(tx.strip(F.coalesce(F.col(text), F.lit(""))), chars)
-    rows = df.withColumn("context_text", body).withColumn(
-        "__key", F.sha2(tx.collapse_punctuation(tx.squeeze(F.lower("context_text"))), 256))
+    form = F.sha2(tx.collapse_punctuation(tx.squeeze(F.lower("context_text"))), 256)
+    empty = F.col("context_text") == ""
+    key = F.struct(F.when(~empty, form).alias("form"), F.when(empty, F.col(order)).alias("own"))
+    rows = df.withColumn("context_text", body).withColumn("__key", key)
     by_score = [F.col(score).isNull(), F.desc(score), F.col(order)]
-    texts = _place(rows.filter(F.col("context_text") != ""), ["query_id", "__key"], by_score, "__n").filter(F.col("__n") == 1).drop("__n")
-    kept = texts.unionByName(rows.filter(F.col("context_text") == "")).drop("__key")
+    kept = _place(rows, ["query_id", "__key"], by_score, "__n").filter(F.col("__n") == 1).drop("__n", "__key")
     placed = _place(kept, ["query_id"], by_score, "position").filter(F.col("position") <= max(items, sources))
     return placed.withColumns({"is_item": F.col("position") <= items, "is_source": F.col("position") <= sources})
 
