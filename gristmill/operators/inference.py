@@ -96,41 +96,44 @@ def as_time(cell: Column, pattern: str | None) -> Column:
 
 
 def _views(cell: Column, i: int) -> list[dict[str, Column]]:
-    """Derived columns of one text column, in two layers, each computed once."""
-    text = F.nullif(F.trim(cell), F.lit(""))
-    bare, here = unsigned_text(F.col(f"text_{i}")), F.col(f"text_{i}")
+    """Derived columns of one text column, in layers, each computed once."""
     number = F.col(f"bare_{i}").rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
     return [
-        {f"text_{i}": text},
-        {f"bare_{i}": bare, f"dated_{i}": here.rlike(r"^\d{1,4}[-/]\d|^\d{8}$|^[A-Za-z]{3,9},? \d|^\d{1,2} [A-Za-z]{3} ")},
-        {f"number_{i}": number, f"time_{i}": F.when(F.col(f"dated_{i}"), as_time(here, None))},
+        {f"text_{i}": F.nullif(F.trim(cell), F.lit(""))},
+        {f"bare_{i}": unsigned_text(F.col(f"text_{i}"))},
+        {f"number_{i}": number},
         {f"value_{i}": F.when(F.col(f"number_{i}"), F.col(f"bare_{i}").try_cast("double"))},
     ]
 
 
 def _tests(i: int) -> dict[str, Column]:
-    """Aggregates over one text column that the decision needs."""
-    text, bare, numeric, value, time, dated = [F.col(f"{n}_{i}") for n in ("text", "bare", "number", "value", "time", "dated")]
-    low = F.lower(text)
-    fraction = F.when(numeric, F.nullif(F.length(F.regexp_extract(bare, r"\.(\d+)$", 1)), F.lit(0)))
+    """Aggregates that settle every kind but dates and times."""
+    text, bare, numeric, value = [F.col(f"{n}_{i}") for n in ("text", "bare", "number", "value")]
+    fraction = F.when(numeric, F.length(F.nullif(F.regexp_extract(bare, r"\.(\d+)$", 1), F.lit(""))))
     json_text = text.rlike(r"^[{\[]")
-    tests = {
-        "n": F.count(text), "other_tokens": F.count_if(~low.isin(TRUE_TOKENS + FALSE_TOKENS)),
+    return {
+        "n": F.count(text), "other_tokens": F.count_if(~F.lower(text).isin(TRUE_TOKENS + FALSE_TOKENS)),
         "uuids": F.count_if(text.rlike(UUID)), "json_like": F.count_if(json_text),
         "json_ok": F.count_if(json_text & F.try_parse_json(text).isNotNull()),
         "zero_led": F.count_if(text.rlike(r"^0\d")), "numbers": F.count_if(numeric),
         "not_whole": F.count_if(value != F.round(value)), "low": F.min(value), "high": F.max(value),
-        "scale": F.max(fraction), "scales": F.size(F.collect_set(fraction)),
+        "scale": F.max(fraction), # One bit per number of decimals seen.
+        "scales": F.bit_or(F.pow(F.lit(2.0), F.least(fraction, F.lit(40))).cast("long")),
         "digits": F.max(F.when(numeric, F.length(F.regexp_extract(bare, r"^[+-]?(\d+)", 1)))),
         "currency": F.count_if(text.rlike(f"[{CURRENCY}]")), "percent": F.count_if(text.endswith("%")),
-        "flexible": F.count(time), "timed": F.count_if(time != F.date_trunc("day", time)),
     }
-    for k, (pattern, _, _) in enumerate(TIME_FORMATS):
-        tests[f"format{k}"] = F.count(F.when(dated, as_time(text, pattern)))
-    return tests
 
 
-def _decide_text(name: str, r: dict) -> Guess:
+def _time_tests(cell: Column) -> dict[str, Column]:
+    """Hits per format, and of the flexible parser."""
+    text = F.nullif(F.trim(cell), F.lit(""))
+    flexible = as_time(text, None)
+    tests = {f"format{k}": F.count(as_time(text, pattern)) for k, (pattern, _, _) in enumerate(TIME_FORMATS)}
+    return {**tests, "flexible": F.count(flexible), "timed": F.count_if(flexible != F.date_trunc("day", flexible))}
+
+
+def _decide_text(name: str, r: dict) -> Guess | None:
+    """The kind, or None where only dates and times are left."""
     n = r["n"]
     if not n:
         return Guess(name, "string", notes=("only empty values",))
@@ -146,10 +149,14 @@ def _decide_text(name: str, r: dict) -> Guess:
         notes = tuple(text for count, text in ((r["currency"], "currency stripped"), (r["percent"], "percent stripped")) if count)
         if not r["not_whole"] and max(abs(r["low"]), abs(r["high"])) < 1e15:
             return Guess(name, narrowest_integer(int(r["low"]), int(r["high"])), notes=notes)
-        if r["scale"] and r["scale"] <= 12 and r["scales"] <= 3:
+        if r["scale"] and r["scale"] <= 12 and r["scales"].bit_count() <= 3:
             size = min((r["digits"] or 1) + r["scale"], 38)
             return Guess(name, f"decimal({max(size, r['scale'] + 1)},{r['scale']})", notes=notes)
         return Guess(name, "double", notes=notes)
+    return None
+
+
+def _decide_time(name: str, n: int, r: dict) -> Guess:
     for i, (pattern, _, date_only) in enumerate(TIME_FORMATS):
         if r[f"format{i}"] / n >= 0.9:
             return Guess(name, "date" if date_only else "timestamp_ntz", pattern)
@@ -176,6 +183,20 @@ def _decide_number(name: str, kind: T.DataType, r: dict) -> Guess:
     return Guess(name, "double")
 
 
+def _measure(sample: DataFrame, tests: dict[int, dict[str, Column]], views: dict[int, list[dict[str, Column]]]) -> dict[int, dict]:
+    """Results of the tests, a few columns per aggregation."""
+    results: dict[int, dict] = {}
+    for start in range(0, len(tests), COLUMNS_PER_PASS):
+        block = list(tests)[start:start + COLUMNS_PER_PASS]
+        ready = sample
+        for layer in range(4):
+            columns = {n: c for i in block if i in views for n, c in views[i][layer].items()}
+            ready = ready.withColumns(columns) if columns else ready
+        row = ready.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
+        results.update({i: {n: row[f"{n}_{i}"] for n in tests[i]} for i in block})
+    return results
+
+
 def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance: float = TOLERANCE) -> list[Guess]:
     """One guess per column; a cast that fails on more than ``tolerance`` of
     the filled sampled values falls back to text."""
@@ -191,19 +212,14 @@ def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance
             tests[i] = _number_tests(col)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             tests[i] = {"timed": F.count_if(col != F.date_trunc("day", col))}
-    results: dict[int, dict] = {}
-    for start in range(0, len(tests), COLUMNS_PER_PASS):
-        block = list(tests)[start:start + COLUMNS_PER_PASS]
-        ready = sample
-        for layer in range(4):
-            columns = {n: c for i in block if i in views for n, c in views[i][layer].items()}
-            ready = ready.withColumns(columns) if columns else ready
-        row = ready.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
-        results.update({i: {n: row[f"{n}_{i}"] for n in tests[i]} for i in block})
+    results = _measure(sample, tests, views)
+    settled = {i: _decide_text(df.columns[i], results[i]) for i in views}
+    open_columns = {i: _time_tests(F.col(f"`{df.columns[i]}`")) for i, guess in settled.items() if guess is None}
+    times = _measure(sample, open_columns, {})
     guesses = []
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, T.StringType):
-            guesses.append(_decide_text(f.name, results[i]))
+            guesses.append(settled[i] or _decide_time(f.name, results[i]["n"], times[i]))
         elif isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)):
             guesses.append(_decide_number(f.name, f.dataType, results[i]))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

@@ -98,8 +98,8 @@ def preferred_payload(t: Tables) -> DataFrame:
 def inferred_types(t: Tables) -> DataFrame:
     """Types guessed from the texts of five tables."""
     parts = []
-    for name in ("lineitem", "orders", "customer", "events", "part"):
-        text = as_text(getattr(t, name))
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("customer", "c_custkey"), ("events", "event_id"), ("part", "p_partkey")):
+        text = as_text(t.spread(name, key))
         guesses = inf.infer(text, exact=True)
         parts.append(inf.schema_report(text, guesses).withColumn("table", F.lit(name)))
     out = parts[0]
@@ -117,7 +117,7 @@ def int_type_sql(column: str) -> str:
     f"select '{c}' as \"column\", {int_type_sql(c)} as inferred, count(*) as row_count, count(distinct {c}) as distinct_count from lineitem"
     for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
 def narrowest_integers(t: Tables) -> DataFrame:
-    keys = as_text(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    keys = as_text(t.spread("lineitem", "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     return inf.schema_report(keys, inf.infer(keys, exact=True)).select("column", "inferred", "row_count", "distinct_count")
 
 
