@@ -293,9 +293,8 @@ def without_question_word(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Word tokens without the generic stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in lx.QUERY_STOPWORDS])
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(parts, lambda w: ~F.array_contains(stop, w))
+    return F.filter(parts, lambda w: ~w.isin(lx.QUERY_STOPWORDS))
 
 
 def build_query(text: Column, entities: dict[str, Column] | None = None, boosters: Iterable[Column] = (),
@@ -340,10 +339,9 @@ def query_type(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Struct of concepts, dates, metrics and acronyms found by pattern."""
-    stop = F.array(*[F.lit(w) for w in lx.QUERY_STOPWORDS])
     found = {
         "concepts": F.filter(F.regexp_extract_all(text, F.lit(f"(?U){lx.CAPITALISED}"), F.lit(0)),
-                             lambda m: ~F.array_contains(stop, F.lower(m))),
+                             lambda m: ~F.lower(m).isin(lx.QUERY_STOPWORDS)),
         "dates": F.regexp_extract_all(text, F.lit(f"(?iU){lx.DATE_LIKE}"), F.lit(1)),
         "metrics": F.regexp_extract_all(text, F.lit(f"(?iU){lx.METRIC_LIKE}"), F.lit(1)),
         "acronyms": F.regexp_extract_all(text, F.lit(f"(?U){lx.ACRONYM}"), F.lit(0)),

@@ -33,17 +33,19 @@ def topic_words(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     vocabulary stays distributed, and its join is salted by text because a
     single word may occur in a third of all texts.
     """
-    stop = F.array(*[F.lit(w) for w in sorted(set(lx.TOPIC_STOPWORDS))])
+    stop = sorted(set(lx.TOPIC_STOPWORDS))
     letters = F.regexp_replace(F.lower(tx.clean(F.col(text))), r"[^a-z\s]", " ")
-    kept = F.filter(tx.words(letters), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
+    kept = F.filter(tx.words(letters), lambda w: (F.length(w) > 3) & ~w.isin(stop))
     listed = df.select(F.col(key).alias("__key"), kept.alias("__words"))
     terms = (
         listed.select("__key", F.size("__words").alias("__total"), F.posexplode("__words").alias("__pos", "__term"))
         .groupBy("__key", "__total", "__term").agg(F.count("*").alias("__tf"), F.min("__pos").alias("__first"))
     )
     copies = F.array(*[F.lit(i) for i in range(TERM_COPIES)])
+    # Counted from the distinct words of each text, which needs no (text, word) shuffle.
     vocabulary = (
-        terms.groupBy("__term").agg(F.count("*").alias("__df")).withColumn("__copy", F.explode(copies))
+        listed.select(F.explode(F.array_distinct("__words")).alias("__term"))
+        .groupBy("__term").agg(F.count("*").alias("__df")).withColumn("__copy", F.explode(copies))
     )
     count = df.agg(F.count("*")).scalar()
     scored = (

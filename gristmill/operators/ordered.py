@@ -139,7 +139,7 @@ def most_frequent(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, marks: dict[str, float],
-                bound: int = 5_000_000, pieces: int = PIECES, method: str = "auto") -> DataFrame:
+                bound: int = 250_000, pieces: int = PIECES, method: str = "auto") -> DataFrame:
     """Exact linear-interpolated percentiles per key.
 
     Up to ``bound`` rows the built-in aggregate is used (its buffer holds every

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gristmill.functions import text as tx
 from gristmill.operators.ordered import dense_index
+from gristmill.session import cut_lineage
 
 #: Makes an encoder inside a worker: texts -> matrix with one row per text.
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -34,9 +35,11 @@ def unique_texts(prepared: DataFrame, key: str = "chunk_id", text: str = "chunk_
     Only keys are aggregated; a text with very many copies costs one row per
     task, and the text itself is read back by its first key.
     """
-    first = prepared.groupBy("text_hash").agg(F.min(key).alias(key)).select(key)
-    rows = prepared.join(first, key, "left_semi").select(key, "text_hash", text)
-    return dense_index(rows, [key], "embedding_index") if number else rows
+    first = prepared.groupBy("text_hash").agg(F.min(key).alias(key))
+    if number:
+        # Hashes and keys only; cut so that numbering does not clean the texts again.
+        first = dense_index(cut_lineage(first), [key], "embedding_index")
+    return prepared.select(key, text).join(first, key)
 
 
 def attach(prepared: DataFrame, unique: DataFrame, column: str) -> DataFrame:

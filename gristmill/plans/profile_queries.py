@@ -16,7 +16,7 @@ TEXT_DOCS = r"""select '{0}' as "column", count(*) as total_rows, count(*) - cou
 
 @query("P1", " union all ".join(TEXT_DOCS.format(c) for c in ("text", "lang", "source")))
 def text_column_statistics(t: Tables) -> DataFrame:
-    stats = pf.text_statistics(t.documents.select("text", "lang", "source"))
+    stats = pf.text_statistics(t.spread("documents", "doc_id").select("text", "lang", "source"))
     return stats.select("column", "total_rows", "null_count", "unique_count", F.round("avg_chars", 4).alias("avg_chars"),
                         F.round("p75_chars", 4).alias("p75_chars"), F.col("max_chars").cast("long").alias("max_chars"),
                         F.round("p75_words", 4).alias("p75_words"))

@@ -150,7 +150,7 @@ def approximate_recall(t: Tables) -> DataFrame:
  f as (select text_hash, min(doc_id) as doc_id from h group by text_hash)
 select doc_id, text_hash, row_number() over (order by doc_id) - 1 as embedding_index from f""")
 def unique_texts(t: Tables) -> DataFrame:
-    prepared = vec.prepare(t.documents.select("doc_id", "text"), "doc_id", "text")
+    prepared = vec.prepare(t.spread("documents", "doc_id").select("doc_id", "text"), "doc_id", "text")
     return vec.unique_texts(prepared, "doc_id", "text").select("doc_id", "text_hash", "embedding_index")
 
 
@@ -158,7 +158,7 @@ def unique_texts(t: Tables) -> DataFrame:
  f as (select text_hash, min(doc_id) as first from h group by text_hash), i as (select *, row_number() over (order by first) - 1 as embedding_index from f)
 select doc_id, embedding_index from h join i using (text_hash)""")
 def attach_embedding_index(t: Tables) -> DataFrame:
-    prepared = vec.prepare(t.documents.select("doc_id", "text"), "doc_id", "text")
+    prepared = vec.prepare(t.spread("documents", "doc_id").select("doc_id", "text"), "doc_id", "text")
     unique = vec.unique_texts(prepared, "doc_id", "text")
     return vec.attach(prepared, unique, "embedding_index").select("doc_id", "embedding_index")
 
