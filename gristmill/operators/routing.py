@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lx
@@ -158,6 +158,13 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
+def _without_summary(model):
+    """The fitted model without its training summary. The summary holds the
+    session, which cannot be shipped once the session has observed a query."""
+    model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.apply(None))
+    return model
+
+
 def _predictor(model, indexer, features: Column | None, cap: float = 0.95) -> Callable[[DataFrame], DataFrame]:
     names = IndexToString(inputCol="prediction", outputCol="label", labels=indexer.labels)
     drop = ("__grams", "__tf", "__features", "rawPrediction", "probability", "prediction", "__label")
@@ -181,6 +188,7 @@ def train_text(df: DataFrame, text: str, label: str, features: int = 2000) -> Ca
         IDF(inputCol="__tf", outputCol="__features"),
         LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50, regParam=0.01),
     ]).fit(rows)
+    _without_summary(model.stages[-1])
     apply = _predictor(model, indexer, None)
     return lambda data: apply(data.withColumn("__grams", char_ngrams(F.col(text))))
 
@@ -191,4 +199,4 @@ def train_vectors(df: DataFrame, vector: str, label: str) -> Callable[[DataFrame
     ready = df.select(features.alias("__features"), F.col(label).alias("__name"))
     indexer = StringIndexer(inputCol="__name", outputCol="__label").fit(ready)
     model = LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50).fit(indexer.transform(ready))
-    return _predictor(model, indexer, features)
+    return _predictor(_without_summary(model), indexer, features)
