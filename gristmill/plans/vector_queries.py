@@ -182,13 +182,13 @@ def quantize(t: Tables) -> DataFrame:
         F.sum(F.col("q").cast("long")).alias("total"), F.sum(F.col("q").cast("long") * (F.col("pos") + 1)).alias("weighted"))
 
 
-@query("V5", QUANTIZED + " select vec_id, round(max(abs(x - q / 127.0::double * m)), 5) as worst, bool_and(abs(x - q / 127.0::double * m) <= m / 254 + 1e-7) as bounded from z group by vec_id")
+@query("V5", QUANTIZED + " select vec_id, round(max(abs(x - cast(q / 127.0::double * m as float)::double)), 6) as worst, bool_and(abs(x - q / 127.0::double * m) <= m / 254 + 1e-7) as bounded from z group by vec_id")
 def dequantize(t: Tables) -> DataFrame:
     scale = vec.scales(t.embeddings, "embedding")
     back = vec.dequantize(vec.quantize(t.embeddings, "embedding", scale), "quantized", scale).withColumn("s", scale.scalar())
     cells = back.select("vec_id", F.explode(F.arrays_zip("embedding", "restored", "s")).alias("c"))
     gap = F.abs(F.col("c.embedding").cast("double") - F.col("c.restored").cast("double"))
-    return cells.groupBy("vec_id").agg(F.round(F.max(gap), 5).alias("worst"),
+    return cells.groupBy("vec_id").agg(F.round(F.max(gap), 6).alias("worst"),
                                        F.bool_and(gap <= F.col("c.s") / 254 + 1e-7).alias("bounded"))
 
 
