@@ -13,7 +13,7 @@ from gristmill.llm import store, weak
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-MARKS = "0123456789!\"'()+,-./:;=?@[\\]^_`{}~" + SYMBOLS
+MARKS = "!\"'()+,-./:;=?@[\\]^_`{}~" + SYMBOLS
 WINDOW = 5
 #: A document is kept from this posterior probability on.
 KEEP = 0.5
