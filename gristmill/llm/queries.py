@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, quality_rules, simhash
+from gristmill.llm import language, quality_rules, simhash, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score and verdict for every document."""
+    return weak_quality.judge(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "score", "good")
