@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, quality_rules, simhash, weak_quality
+from gristmill.llm import language, quality_rules, simhash, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score and verdict for every document."""
     return weak_quality.judge(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "score", "good")
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
