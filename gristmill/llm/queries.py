@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, quality_rules, simhash, warc, weak_quality
+from gristmill.llm import language, packing, quality_rules, simhash, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,16 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to WARC archives and read back from them."""
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 1024."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
