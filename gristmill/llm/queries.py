@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, packing, quality_rules, simhash, warc, weak_quality
+from gristmill.llm import html_text, language, packing, quality_rules, simhash, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def vocabulary(name: str) -> str:
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 1024."""
     return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
