@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import html_text, language, packing, quality_rules, simhash, warc, weak_quality
+from gristmill.llm import html_text, kmeans_tree, language, packing, quality_rules, simhash, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op8_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every query vector."""
+    return kmeans_tree.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
