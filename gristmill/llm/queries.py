@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import html_text, kmeans_tree, language, packing, quality_rules, simhash, warc, weak_quality
+from gristmill.llm import bpe, html_text, kmeans_tree, language, packing, quality_rules, simhash, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,11 @@ def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
 def op8_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest found of every query vector."""
     return kmeans_tree.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
