@@ -160,6 +160,8 @@ def _blocks(pattern: str, kind: pa.DataType):
 def _slices(column: pa.ListScalar, width: int) -> list[bytes]:
     """The bytes of each inner array of one array<array<int>> value."""
     inner = column.values
+    if not len(inner):
+        return []
     at = inner.offsets.to_numpy().astype(np.int64)
     data = inner.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
     at = (width * (at - at[0])).tolist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bpe, html_text, kmeans_tree, language, packing, quality_rules, simhash, warc, weak_quality
+from gristmill.llm import bpe, html_text, kmeans_tree, language, packing, quality_rules, simhash, suffix_dedup, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,10 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What remains of every document without repeated strings of 100 bytes."""
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
