@@ -65,17 +65,17 @@ def repeated_words(words: Column) -> Column:
     return bind(words, of)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules look at."""
+def measure(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, the carried columns and the counts that the rules look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    read = docs.select("doc_id", text.alias("_text"), words_of(text).alias("_words"), lines.alias("_lines"))
+    read = docs.select("doc_id", *carried, text.alias("_text"), words_of(text).alias("_words"), lines.alias("_lines"))
     bare = without(F.col("_text"), SPACE)
     words = F.col("_words")
     adjacent = bind(words, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))
     closed = F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?…:。！？।؟][\"'»”’)]*\s*$")))
     return read.select(
-        "doc_id",
+        *[c for c in read.columns if c not in ("_text", "_words", "_lines")],
         F.size("_words").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         F.length(without(bare, MARKS)).cast("long").alias("n_letters"),
@@ -110,8 +110,8 @@ def rules() -> dict[str, Column]:
     }
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, votes, ``p_good`` and ``kept``.
+def judge(docs: DataFrame, *carried: Column) -> DataFrame:
+    """One row per document: doc_id, what is carried, counts, votes, ``p_good`` and ``kept``.
 
     A null or empty text has no words: every count is 0, every rule abstains
     and ``base_failed`` is true. Equal documents get equal rows; a repeated
@@ -120,8 +120,13 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     votes = {f"vote_{name}": vote for name, vote in rules().items()}
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    voted = measure(docs).select("*", *[v.cast("int").alias(name) for name, v in votes.items()], base.alias("base_failed"))
-    voted = store.stash(voted, "quality-rules")  # narrow: the texts are scanned once
+    voted = measure(docs, *carried).select("*", *[v.cast("int").alias(name) for name, v in votes.items()], base.alias("base_failed"))
+    voted = store.stash(voted, "quality-rules")  # the texts are measured once
     model = weak.estimate(weak.vote_patterns(voted, list(votes)), len(votes))
     p_good = model.posterior({name: F.col(name) for name in votes})
     return voted.withColumn("p_good", p_good).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, columns as given."""
+    return judge(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).where("kept").select("_row.*")

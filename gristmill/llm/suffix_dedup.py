@@ -191,7 +191,7 @@ def _join(column: pa.ChunkedArray, kind) -> np.ndarray:
 REPEATED, EDGE, CROWDED = 1, 2, 3
 
 
-def judge_bucket(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def judge_bucket(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, hot: int = HOT) -> np.ndarray:
     """The answer for each anchor of a bucket (0 where nothing is to do)."""
     answer = np.zeros(len(gram), np.uint8)
     if not len(gram):
@@ -201,14 +201,14 @@ def judge_bucket(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.nd
     new_gram = np.concatenate([[True], g[1:] != g[:-1]])
     new_class = new_gram | np.concatenate([[True], a[1:] != a[:-1]])
     classes = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
-    answer[order] = np.where(~new_class, REPEATED, np.where(classes > HOT, CROWDED, np.where(classes > 1, EDGE, 0)))
+    answer[order] = np.where(~new_class, REPEATED, np.where(classes > hot, CROWDED, np.where(classes > 1, EDGE, 0)))
     return answer
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(table: pa.Table, hot: int) -> pa.Table:
     """Per bucket: what each block needs to know of the anchors that it sent."""
     counts = np.array([len(x) // 8 for x in table.column("gram").to_pylist()], np.int64)
-    answer = judge_bucket(_join(table.column("gram"), np.uint64), _join(table.column("around"), np.uint64), _join(table.column("doc"), np.int64))
+    answer = judge_bucket(_join(table.column("gram"), np.uint64), _join(table.column("around"), np.uint64), _join(table.column("doc"), np.int64), hot)
     parts = np.split(answer, np.cumsum(counts)[:-1]) if len(counts) else []
     said = [np.flatnonzero(p) for p in parts]
     keep = [i for i, s in enumerate(said) if len(s)]
@@ -354,13 +354,13 @@ def _refine_part(table: pa.Table) -> pa.Table:
 
 # --- the operator -------------------------------------------------------------------------
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(_doc, _name, spans) rows: what to remove, several rows for some documents."""
     size = store.byte_count(docs, "text")
     blocks, buckets = max(1, size // BLOCK_BYTES), max(1, 2 * size // (GRAMS * SORT_ROWS))
     dealt = docs.select("_doc", "_name", "text", F.pmod(F.xxhash64("_doc"), F.lit(blocks)).cast("int").alias("block"))
     offers = dealt.groupBy("block").applyInArrow(_offers(buckets), "bucket int, block int, gram binary, around binary, doc binary")
-    answers = offers.groupBy("bucket").applyInArrow(_answers, "block int, bucket int, place binary, answer binary")
+    answers = offers.groupBy("bucket").applyInArrow(lambda t: _answers(t, hot), "block int, bucket int, place binary, answer binary")
     found = store.stash(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve(buckets), _FOUND), "repeats")
     edges = found.where("key is not null")
     parts = max(1, store.byte_count(edges, "bytes") // REFINE_BYTES)
@@ -369,18 +369,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.where("spans is not null").select("_doc", "_name", "spans").union(refined)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The given columns and: n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The given columns and: n_bytes, n_removed, n_spans, kept (binary), kept_sha256, kept_text.
+
+    ``kept_text`` leaves out bytes of a character that was cut apart.
 
     Documents come in order of doc_id (null last), those with one doc_id in an
     order fixed by their texts. Rows equal in doc_id and text are one document,
     whose result each of them gets. A null text is empty: nothing is removed.
     An empty table gives no row. Columns of the added names are replaced.
     """
-    added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "kept_text")
     docs = docs.drop(*added)
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_name": F.xxhash64(F.coalesce("text", F.lit("")))})
-    spans = repeats(keyed).groupBy("_doc", "_name").agg(F.collect_list("spans").alias("_spans"))
+    spans = repeats(keyed, hot).groupBy("_doc", "_name").agg(F.collect_list("spans").alias("_spans"))
     joined = keyed.join(spans, ["_doc", "_name"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +397,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 for low, high in spans.tolist():
                     keep[low:high] = False
                 kept = raw[keep].tobytes()
-                rows.append((len(raw), len(raw) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                rows.append((len(raw), len(raw) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest(),
+                             kept.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]],
                                              names=[*batch.schema.names[:-1], *added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, kept_text string")
