@@ -69,12 +69,11 @@ def encode(word: Column, ranks: Column) -> Column:
         pieces, pairs = state["pieces"], state["pairs"]
 
         def with_merged(merged: Column) -> Column:
-            before = F.when(at > 1, F.concat(F.slice(pairs, 1, at - 2), F.array(rank_of(F.concat(F.get(pieces, at - 2), merged), ranks)))
-                            ).otherwise(F.slice(pairs, 1, 0))
-            after = F.when(at + 1 < F.size(pieces), F.concat(F.array(rank_of(F.concat(merged, F.get(pieces, at + 1)), ranks)),
-                                                             F.slice(pairs, at + 2, LONG))).otherwise(F.slice(pairs, 1, 0))
-            return F.struct(F.concat(F.slice(pieces, 1, at - 1), F.array(merged), F.slice(pieces, at + 2, LONG)).alias("pieces"),
-                            F.concat(before, after).alias("pairs"))
+            # the right piece and its pair go; the left piece and the pairs beside it change
+            left = F.transform(F.filter(pieces, lambda p, i: i != at), lambda p, i: F.when(i == at - 1, merged).otherwise(p))
+            beside = F.transform(pairs, lambda r, i: F.when(i == at - 2, rank_of(F.concat(F.get(pieces, at - 2), merged), ranks))
+                                 .when(i == at, rank_of(F.concat(merged, F.get(pieces, at + 1)), ranks)).otherwise(r))
+            return F.struct(left.alias("pieces"), F.filter(beside, lambda r, i: i != at - 1).alias("pairs"))
 
         return _bind(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), with_merged)
 
