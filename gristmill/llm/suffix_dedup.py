@@ -7,12 +7,13 @@ each refinement reuses the identifiers of the one before, so the known depth
 doubles until it reaches ``LENGTH``.
 
 Over a whole corpus only some positions need that. Of every window of LENGTH
-bytes the q-gram with the least hash is an anchor, so equal windows share an
-anchor at the same place; the anchors (about one position in forty) are the
-first, corpus-wide buckets. Spark deals them by q-gram:
+bytes the q-gram with the least hash is an anchor, which owns the window, so
+equal windows have equal anchors at the same place. The anchors (about one
+position in forty) are the first, corpus-wide buckets. Spark deals them by
+q-gram:
 
-1. an anchor whose q-gram occurs once has no repeated window around it;
-2. an anchor whose surroundings, all windows around it, occurred before is
+1. an anchor whose q-gram occurs once owns no repeated window;
+2. an anchor whose surroundings, the windows that it owns, occurred before is
    repeated with all of them;
 3. the others, at the edges of repeats, send their surroundings to the task of
    their q-gram, which refines their suffixes byte-exactly.
@@ -33,14 +34,15 @@ from gristmill.llm import store
 
 LENGTH = 100
 GRAM = 24
-#: Grams of a window; a window that holds the gram at a starts from a - REACH to a.
+#: Grams of a window; a window that holds the gram at place a starts from a - REACH to a.
 GRAMS = LENGTH - GRAM + 1
 REACH = GRAMS - 1
 #: Text of a block of documents, anchors that one task sorts, and bytes that one task refines.
 BLOCK_BYTES, SORT_ROWS, REFINE_BYTES = 8 << 20, 400_000, 2 << 20
-#: Different surroundings of one gram beyond which their windows are dealt
-#: singly, by their own content, so that no gram fills one task.
-HOT = 5_000
+#: Different surroundings of one gram beyond which their windows are dealt in
+#: slices of so many starts, by the bytes that all windows of a slice hold, so
+#: that no gram fills one task.
+HOT, SLICE = 20_000, 8
 
 _PIECE = 256 << 10
 _LAST = (1 << 63) - 1
@@ -77,10 +79,13 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """Anchors of a block: place in its bytes, document (row), gram hash, hash of the surroundings."""
+    """Anchors of a block: place in its bytes, document (row), bounds of the
+    surroundings, gram hash, hash of the surroundings."""
 
     at: np.ndarray
     doc: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     gram: np.ndarray
     around: np.ndarray
 
@@ -102,11 +107,33 @@ def _anchors_of_piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     first, last = starts[doc], ends[doc] - GRAM
     inside = (at >= first) & (at <= last)
     at, doc, first, last = at[inside], doc[inside], first[inside], last[inside]
-    left, right = np.minimum(at - first, REACH), np.minimum(last - at, LENGTH - GRAM)
-    around = (left * 1000 + right).astype(np.uint64)
+    gram = hashes[at]
+    low, high = _owned(at, doc, gram, first, last + GRAM)
+    around = ((at - low) * 1000 + high - at).astype(np.uint64)
     for step in (*range(-REACH, LENGTH - GRAM, GRAM), LENGTH - GRAM):
-        around = store.mix(around * np.uint64(0x9E3779B97F4A7C15) + hashes[np.clip(at + step, first, last)])
-    return at, doc, hashes[at], around
+        around = store.mix(around * np.uint64(0x9E3779B97F4A7C15) + hashes[np.clip(at + step, low, high - GRAM)])
+    return at, doc, low, high, gram, around
+
+
+def _owned(at: np.ndarray, doc: np.ndarray, gram: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[low, high) of the windows that each anchor owns: those without a lesser gram."""
+    low, high = np.maximum(at - REACH, first), np.minimum(at + LENGTH, end)
+    for side in (-1, 1):
+        left = np.arange(len(at))
+        for k in range(1, GRAMS):  # until a lesser gram is met or out of reach
+            left = left[(left + side * k >= 0) & (left + side * k < len(at))]
+            other = left + side * k
+            near = (doc[other] == doc[left]) & (np.abs(at[other] - at[left]) < GRAMS)
+            left, other = left[near], other[near]
+            if not len(left):
+                break
+            less = gram[other] < gram[left]
+            if side < 0:
+                low[left[less]] = np.maximum(low[left[less]], at[other[less]] + 1)
+            else:
+                high[left[less]] = np.minimum(high[left[less]], at[other[less]] + GRAM - 1)
+            left = left[~less]
+    return low, high
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
@@ -117,11 +144,11 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)
         low, high = offsets[row], offsets[end]
         if high - low >= LENGTH:
-            at, doc, gram, around = _anchors_of_piece(data[low:high], offsets[row:end] - low, offsets[row + 1:end + 1] - low)
-            found.append((at + low, doc + row, gram, around))
+            at, doc, left, right, gram, around = _anchors_of_piece(data[low:high], offsets[row:end] - low, offsets[row + 1:end + 1] - low)
+            found.append((at + low, doc + row, left + low, right + low, gram, around))
         row = end
     if not found:
-        return Anchors(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)))
+        return Anchors(*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2)))
     return Anchors(*(np.concatenate(c) for c in zip(*found)))
 
 
@@ -187,7 +214,7 @@ def _join(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 #: What a bucket answers about a leading anchor: nothing to do, all around it
-#: is repeated, to be refined, to be refined window by window.
+#: is repeated, to be refined, to be refined in slices.
 REPEATED, EDGE, CROWDED = 1, 2, 3
 
 
@@ -250,10 +277,9 @@ def _resolve(buckets: int):
             if bucket in answers:
                 place, answer = answers[bucket]
                 state[index[np.frombuffer(place, np.int32)]] = np.frombuffer(answer, np.uint8)
-        low = np.maximum(a.at - REACH, block.offsets[a.doc])
-        high = np.minimum(a.at + LENGTH, block.offsets[a.doc + 1])
+        low, high = a.low, a.high
         rows: list[tuple] = []
-        sure = np.flatnonzero((state == REPEATED) & (high - low >= LENGTH))
+        sure = np.flatnonzero(state == REPEATED)
         for part in np.split(sure, np.flatnonzero(np.diff(a.doc[sure])) + 1):
             if len(part):
                 doc = a.doc[part[0]]
@@ -261,15 +287,16 @@ def _resolve(buckets: int):
                 rows.append((block.docs[doc], block.names[doc], spans.astype(np.int64).tobytes(), None, None, None))
         raw = block.data.tobytes()
         for i in np.flatnonzero(state >= EDGE).tolist():
-            doc, p, q = a.doc[i], int(low[i]), int(high[i])
-            start = p - int(block.offsets[doc])
+            doc, p, q, at = a.doc[i], int(low[i]), int(high[i]), int(a.at[i])
+            shift = int(block.offsets[doc])
             if state[i] == EDGE:
-                rows.append((block.docs[doc], block.names[doc], None, int(a.gram[i].view(np.int64)), start, raw[p:q]))
-            else:
-                for s in range(p, q - LENGTH + 1):
-                    window = raw[s:s + LENGTH]
-                    rows.append((block.docs[doc], block.names[doc], None, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True),
-                                 s - int(block.offsets[doc]), window))
+                rows.append((block.docs[doc], block.names[doc], None, int(a.gram[i].view(np.int64)), p - shift, raw[p:q]))
+                continue
+            for step in range((p - at) // SLICE, (q - LENGTH - at) // SLICE + 1):
+                first, last = max(p, at + step * SLICE), min(q - LENGTH, at + step * SLICE + SLICE - 1)
+                core = raw[at + step * SLICE + SLICE - 1:at + step * SLICE + LENGTH]  # in every window of the slice
+                key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=b"%d" % step).digest(), "little", signed=True)
+                rows.append((block.docs[doc], block.names[doc], None, key, first - shift, raw[first:last + LENGTH]))
         return _found(rows)
 
     return run
