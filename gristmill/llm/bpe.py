@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm import store
+
 #: Texts of about so many characters share a block, and so one list of words.
 BLOCK = 12 << 20
 #: Maps that the ranks are spread over: one or two pieces each.
@@ -229,6 +231,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null or empty text has no tokens. Repeated rows each get theirs; an empty
     table gives no row. Other columns are not read.
     """
+    store.bound_batches(docs.sparkSession)
     field = docs.schema["doc_id"].dataType
     kind = pa.int32() if field.simpleString() == "int" else pa.string() if field.simpleString() == "string" else pa.int64()
     name = field.simpleString()

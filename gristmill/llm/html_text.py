@@ -251,6 +251,7 @@ def extract(pages: DataFrame) -> DataFrame:
     as often as they occur; an empty table gives no row. Other columns are
     not read.
     """
+    store.bound_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     known = pages.select("page_id", "url", host.alias("host"), "html")
     # written first, so that its true size decides whether it is broadcast or the pages are shuffled

@@ -144,5 +144,6 @@ def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     the text alone. Rows whose ``held_out`` is null count as not held out.
     """
     held = F.coalesce(held_out, F.lit(False))
+    store.bound_batches(docs.sparkSession)
     langs, table = fit(docs.where(~held & F.col("lang").isNotNull()))
     return predict(docs, langs, table, [held.alias("held_out")])

@@ -30,7 +30,7 @@ NODES, BRANCHES, STEPS = 20_000, 6, 400
 GROUP_ROWS = 100_000
 
 _TEXT_BYTES = 4 << 20
-_MOST_CACHED = 300_000
+_MOST_CACHED = 600_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies) by falling length
 
@@ -42,6 +42,8 @@ class Encoder:
 
     A single space between two other characters always starts a token in the
     byte-level pattern, so a text may be cut there and its words encoded alone.
+    A word of Latin letters is one match of the pattern and goes straight to
+    the tokenizer's merges; others pass its own pre-tokenizer first.
     """
 
     def __init__(self, path: str):
@@ -49,23 +51,29 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError("a byte-level tokenizer without a normalizer is needed")
+        self.cut_word, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        # how the pre-tokenizer writes each byte of letters and the space
+        self.written = {i: self.cut_word(chr(i))[0][0] for i in range(32, 127)}
+        pair = {c: self.cut_word(chr(c))[0][0] for c in range(192, 256)}
+        self.written |= {ord(chr(c).encode()[k:k + 1].decode("latin-1")): w[k] for c, w in pair.items() for k in (0, 1)}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.odd = re.compile(r"\s\s|^\s|\s$").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > _MOST_CACHED:
-            known.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+    def word(self, word: str, lead: str) -> bytes:
+        if self.latin(word):
+            matches = [(lead + word).encode().decode("latin-1").translate(self.written)]
+        else:
+            matches = [match for match, _ in self.cut_word(lead + word)] if lead or word else []
+        return np.array([token.id for match in matches for token in self.merge(match)], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         start = 0
@@ -78,11 +86,17 @@ class Encoder:
             heads, rest = {words[0] for words in cut}, set()
             for words in cut:
                 rest.update(words[1:])
-            self._learn(self.first, heads, "")
-            self._learn(self.later, rest, " ")
+            passing = []  # words beyond the cache's bound are forgotten after this round
+            for known, words, lead in ((self.first, heads, ""), (self.later, rest, " ")):
+                for w in words.difference(known):
+                    if len(known) >= _MOST_CACHED:
+                        passing.append((known, w))
+                    known[w] = self.word(w, lead)
             later = self.later.__getitem__
             for words in cut:
                 yield self.first[words[0]] + b"".join(map(later, words[1:]))
+            for known, w in passing:
+                del known[w]
             start = end
 
 
@@ -274,6 +288,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     A null or empty text is END alone. Repeated rows are pieces of their own.
     An empty table gives no row. Other columns are not read.
     """
+    store.bound_batches(docs.sparkSession)
     found = store.stash(pieces(docs, tokenizer), "pieces")
     salts = max(1, found.count() // GROUP_ROWS)
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))

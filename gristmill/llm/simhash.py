@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id (nulls apart; null if it has no other). An empty table
     gives no row; other columns are not read.
     """
+    store.bound_batches(docs.sparkSession)
     prints = store.stash(fingerprints(docs), "document-fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = firsts.join(graph.components(links(prints)), F.col("fp") == F.col("node"), "left").select(

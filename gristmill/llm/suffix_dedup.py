@@ -406,6 +406,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whose result each of them gets. A null text is empty: nothing is removed.
     An empty table gives no row. Columns of the added names are replaced.
     """
+    store.bound_batches(docs.sparkSession)
     added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "kept_text")
     docs = docs.drop(*added)
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_name": F.xxhash64(F.coalesce("text", F.lit("")))})

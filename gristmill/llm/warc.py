@@ -275,5 +275,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     stays null. Rows that repeat the response's page_id are responses too. An
     empty table writes no archive. Other columns are not read.
     """
+    store.bound_batches(pages.sparkSession)
     folder = store.new_path(pages.sparkSession, "warc")
     return read(write(pages, folder), folder)

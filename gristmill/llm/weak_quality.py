@@ -199,6 +199,7 @@ def judge(docs: DataFrame) -> DataFrame:
     get theirs; an empty table gives no row. Columns named ``score`` or
     ``good`` are replaced.
     """
+    store.bound_batches(docs.sparkSession)
     docs = docs.drop("score", "good")
     voted = labels({name: F.col(name) for name in ("words", *TEXT_STATISTICS)})
     known = store.stash(described(docs).select("doc_id", *[v.alias(n) for n, v in voted.items()]), "weak-votes")
@@ -211,21 +212,20 @@ def judge(docs: DataFrame) -> DataFrame:
     weights = train(marked)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)  # BUCKETS + 1 doubles
-    names, kinds = _passed(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, raw in enumerate(_each(batch)):
-                if len(raw):
-                    at, value = features(raw, statistics(raw))
-                    scores[i] = 1 / (1 + np.exp(-np.clip(w[at] @ value + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], batch.column("text"), pa.array(scores)],
-                                             names=[*names, "text", "score"])
-
-    scored = docs.select(*[F.col(f"`{n}`") for n in names], "text").mapInArrow(run, f"{kinds}, text string, score double")
-    return scored.select(*[F.col(f"`{n}`") for n in docs.columns], "score", (F.col("score") >= KEEP).alias("good"))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        w, scores = shared.value, np.zeros(len(texts))
+        data, ends = store.text_bytes(texts)
+        for i in range(len(texts)):
+            raw = data[ends[i]:ends[i + 1]]
+            if len(raw):
+                at, value = features(raw, statistics(raw))
+                scores[i] = 1 / (1 + np.exp(-np.clip(w[at] @ value + w[-1], -30, 30)))
+        return pa.array(scores)
+
+    # not deterministic only in that a filter on the score must not compute it again
+    return docs.withColumn("score", scored.asNondeterministic()(F.coalesce("text", F.lit("")))).withColumn("good", F.col("score") >= KEEP)
 
 
 def _with_votes(sample: DataFrame, model: weak.Accuracies, names: list[str]) -> DataFrame:
