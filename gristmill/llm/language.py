@@ -35,18 +35,19 @@ def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the joined texts, 0 before each, and the texts' starts."""
-    joined = "\0" + "\0".join(texts) + "\0"
+    """Code points of the joined texts, 0 before and after each, and where each begins."""
+    joined = "\0" + "\0\0".join(texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]]) if len(texts) else np.zeros(0, np.int64)
     return codes, starts
 
 
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (orders x places) of the n-grams that start at each place.
+    """Buckets (orders x places) of the n-grams that start at each place, and the texts' starts.
 
-    ASCII digits, punctuation and white space count as one separator.
+    Texts are lower-cased, and a separator stands at both ends of each. ASCII
+    digits, punctuation and white space are that separator too.
     """
     codes, starts = _codes([t.lower() for t in texts])
     plain = (codes < 97) | ((codes > 122) & (codes < 170))
@@ -58,6 +59,7 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         key = key * np.uint64(0x110001) + shifted + np.uint64(n)
         out[row] = (store.mix(key) >> np.uint64(50)).astype(np.int32)
         shifted = np.concatenate([shifted[1:], np.zeros(1, np.uint64)])
+    out[:, starts[1:] - 1] = out[:, -1:]  # grams at the end of a text do not look into the next
     return out, starts
 
 
