@@ -11,6 +11,7 @@ number of documents. Spark then deals the pieces to the planned places.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ NODES, BRANCHES, STEPS = 20_000, 6, 400
 GROUP_ROWS = 100_000
 
 _TEXT_BYTES = 4 << 20
-_MOST_CACHED = 600_000
+_MOST_CACHED = 500_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies) by falling length
 
@@ -73,7 +74,8 @@ class Encoder:
             matches = [(lead + word).encode().decode("latin-1").translate(self.written)]
         else:
             matches = [match for match, _ in self.cut_word(lead + word)] if lead or word else []
-        return np.array([token.id for match in matches for token in self.merge(match)], "<u4").tobytes()
+        ids = [token.id for match in matches for token in self.merge(match)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         start = 0
