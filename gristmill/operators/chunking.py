@@ -30,7 +30,7 @@ class ChunkRule:
     size: int = 200
     overlap: int = 30
     least: int = 15
-    most: int | None = 25
+    most: int | None = None
 
 
 def paragraphs(text: Column) -> Column:

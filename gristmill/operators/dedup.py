@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +10,6 @@ from gristmill.functions import text as tx
 from gristmill.session import cut_lineage
 
 STRATEGIES = ("primary_key", "text_hash", "composite_payload_hash", "primary_key_or_hash")
-#: Above this many rows of one query the quadratic steps are skipped.
-PAIRWISE_LIMIT = 500
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -72,124 +66,105 @@ def best_per_text(df: DataFrame, text: str = "chunk_text", score: str = "score",
     return form.withColumn("__n", place).filter(F.col("__n") == 1).drop("__n", "__form")
 
 
-# --- greedy steps inside one query's result set ------------------------------------------
+# --- near duplicates inside one query's result set -----------------------------------------
+
 
+def alike(rows: DataFrame, shingles: str, threshold: float) -> DataFrame:
+    """(query_id, earlier, later, similarity): Jaccard of at least ``threshold``.
 
-def by_query(df: DataFrame) -> DataFrame:
-    """Shuffled by query into the configured number of tasks. Python groups are
-    few rows but much work, so they must not be coalesced by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    ``rows`` has query_id, an ordered ``at`` that is unique in a query, and
+    distinct shingles. Two sets that alike share one of their rarest shingles
+    (the prefix filter), so only those are joined; no pair is missed at any
+    size of a result set, and common shingles hardly ever meet.
+    """
+    sets = cut_lineage(rows.select("query_id", "at", F.transform(shingles, lambda s: F.xxhash64(s)).alias("set")).where(F.size("set") > 0))
+    parts = sets.select("query_id", "at", F.explode("set").alias("part"))
+    seen = parts.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    rare = parts.join(seen, ["query_id", "part"]).groupBy("query_id", "at").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("by"))
+    size = F.size("by")
+    prefix = rare.select("query_id", "at", size.alias("size"), F.explode(
+        F.slice("by", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("p")).select("query_id", "at", "size", F.col("p.part").alias("part"))
+    later = prefix.select("query_id", "part", F.col("at").alias("later"), F.col("size").alias("later_size"))
+    met = prefix.withColumnRenamed("at", "earlier").join(later, ["query_id", "part"]).where(
+        (F.col("earlier") < F.col("later")) & (F.least("size", "later_size") >= F.greatest("size", "later_size") * threshold - 1e-9))
+    for side in ("earlier", "later"):
+        met = (met.select("query_id", "earlier", "later").distinct() if side == "earlier" else met).join(
+            sets.select("query_id", F.col("at").alias(side), F.col("set").alias(f"{side}_set")), ["query_id", side])
+    common = F.size(F.array_intersect("earlier_set", "later_set"))
+    value = common / (F.size("earlier_set") + F.size("later_set") - common)
+    return met.withColumn("similarity", value).where(value >= threshold - 1e-12).select("query_id", "earlier", "later", "similarity")
+
+
+def greedy_losers(edges: DataFrame) -> DataFrame:
+    """(query_id, at) of rows that an earlier kept row excludes, as a scan in order finds them.
+
+    A row that nothing undecided excludes is kept and everything it excludes
+    goes; each round settles one link of the longest chain.
+    """
+    edges = cut_lineage(edges.select("query_id", "earlier", "later"))
+    lost = edges.select("query_id", F.col("later").alias("at")).limit(0)
+    while not edges.isEmpty():
+        doubtful = edges.select("query_id", F.col("later").alias("earlier")).distinct()
+        gone = cut_lineage(edges.join(doubtful, ["query_id", "earlier"], "left_anti").select("query_id", "later").distinct())
+        lost = lost.unionByName(gone.withColumnRenamed("later", "at"))
+        edges = cut_lineage(edges.join(gone, ["query_id", "later"], "left_anti").join(
+            gone.withColumnRenamed("later", "earlier"), ["query_id", "earlier"], "left_anti"))
+    return lost
 
 
-def _guarded(df: DataFrame, rank: str, limit: int, step: Callable[[pd.DataFrame], pd.DataFrame], schema=None) -> tuple[DataFrame, DataFrame]:
-    """(rows of small queries through ``step``, rows of large ones unchanged).
+def _without_losers(rows: DataFrame, same: list[str], link) -> DataFrame:
+    """First row of each class of ``same`` columns, less what ``link`` excludes; rows without text stay.
 
-    A query with more than ``limit`` rows never reaches a Python group. The
-    input is used three times, so its lineage is cut first.
+    Rows equal in ``same`` share the fate of the first of them or repeat it.
     """
-    df = cut_lineage(df)
-    sizes = df.groupBy("query_id").agg(F.count("*").alias("__size"))
-    sized = df.join(sizes, "query_id")
-    small = by_query(sized.filter(F.col("__size") <= limit).drop("__size"))
-    out = small.groupBy("query_id").applyInPandas(step, schema or df.schema)
-    return out, sized.filter(F.col("__size") > limit).drop("__size")
+    place = F.row_number().over(Window.partitionBy("query_id", *same).orderBy("at"))
+    first = cut_lineage(rows.withColumn("__n", F.when(F.col("__form") == "", 1).otherwise(place)).where("__n = 1").drop("__n"))
+    lost = greedy_losers(link(first.where("__form != ''")))
+    return first.join(lost, ["query_id", "at"], "left_anti")
 
 
-def drop_near_duplicates(df: DataFrame, text: str = "text", rank: str = "rank", threshold: float = 0.85,
-                         limit: int = PAIRWISE_LIMIT) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, text: str = "text", rank: str = "rank", threshold: float = 0.85) -> DataFrame:
     """Greedy by rank: a text goes if its 5-word shingles reach ``threshold``
     Jaccard with a kept one, or its normal form is equal. Empty texts stay."""
-    prepared = df.withColumn("__form", tx.dedup_form(F.col(text))).withColumn("__shingles", tx.shingles(F.col("__form")))
-
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set[str]]] = []
-        chosen = []
-        ordered = frame.sort_values(rank)
-        for at, form, parts in zip(ordered.index, ordered["__form"], ordered["__shingles"]):
-            mine = set(parts)
-            repeats = bool(form) and any(
-                form == other or len(mine & theirs) >= threshold * len(mine | theirs) for other, theirs in kept if other)
-            if not repeats:
-                kept.append((form, mine))
-                chosen.append(at)
-        return frame.loc[chosen]
-
-    out, large = _guarded(prepared, rank, limit, step)
-    return out.unionByName(large).drop("__form", "__shingles")
+    rows = df.withColumns({"__form": tx.dedup_form(F.col(text)), "at": F.struct(rank)})
+    rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
+    kept = _without_losers(rows, ["__form"], lambda first: alike(first, "__shingles", threshold))
+    return kept.select(*df.columns)
 
 
 METADATA_KEYS = ("topic", "document_type", "source_type", "product_id", "parent_asin")
 
 
-def _same_metadata(a, b, keys: list[str]) -> float:
-    return min(sum(0.2 for k in keys if a[k] is not None and a[k] == a[k] and a[k] != "" and a[k] == b[k]), 1.0)
-
-
-def _common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit per character of a."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def _ratio(a: str, b: str, floor: float) -> float:
-    """Similarity of two texts, 0 where it is surely below ``floor``."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    match = SequenceMatcher(None, a, b)
-    # Each bound is never below the ratio (matched blocks form a common
-    # subsequence), so nothing is missed.
-    if match.real_quick_ratio() < floor or match.quick_ratio() < floor:
-        return 0.0
-    if 2 * _common_length(a, b) < floor * (len(a) + len(b)):
-        return 0.0
-    return match.ratio()
-
-
-def drop_similar(df: DataFrame, text: str = "chunk_text", score: str = "score", tie: str = "chunk_id",
-                 threshold: float = 0.92, limit: int = PAIRWISE_LIMIT) -> DataFrame:
-    """Greedy by score: a text goes if it is ``threshold`` alike to a kept one
-    and their metadata agree in two fields, or more than 0.97 alike."""
+def drop_similar(df: DataFrame, text: str = "chunk_text", score: str = "score", tie: str = "chunk_id", threshold: float = 0.92) -> DataFrame:
+    """Greedy by score: a text goes if its shingles are ``threshold`` alike to
+    those of a kept one and their metadata agree in two fields, or more than
+    0.97 alike."""
     keys = [k for k in METADATA_KEYS if k in df.columns]
-    prepared = df.withColumn("__form", tx.compare_form(F.col(text)))
-
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values([score, tie], ascending=[False, True]).to_dict("index")
-        kept: list = []
-        for at, row in rows.items():
-            for other in kept:
-                alike = _ratio(rows[other]["__form"], row["__form"], threshold)
-                if alike >= threshold and (alike > 0.97 or _same_metadata(row, rows[other], keys) >= 0.40 - 1e-9):
-                    break
-            else:
-                kept.append(at)
-        return frame.loc[kept]
-
-    out, large = _guarded(prepared, score, limit, step)
-    return out.unionByName(large).drop("__form")
-
-
-def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id", threshold: float = 0.92,
-                  limit: int = PAIRWISE_LIMIT) -> DataFrame:
-    """Report of alike texts inside each query's (bounded) result set."""
-    kind = df.schema[key].dataType.simpleString()
-    q_kind = df.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {q_kind}, left {kind}, right {kind}, similarity double"
-    prepared = df.select("query_id", F.col(key).alias("key"), tx.compare_form(F.col(text)).alias("form"))
-
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(frame["key"], frame["form"]))
-        found = [
-            (frame["query_id"].iloc[0], a, b, alike) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1:]
-            if (alike := _ratio(x, y, threshold)) >= threshold]
-        return pd.DataFrame(found, columns=["query_id", "left", "right", "similarity"])
-
-    return _guarded(prepared, key, limit, step, schema)[0]
+    at = F.struct((-F.coalesce(F.col(score), F.lit(float("-inf")))).alias("down"), F.col(tie).alias("tie"))
+    rows = df.withColumns({"__form": tx.compare_form(F.col(text)), "at": at})
+    rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
+
+    def link(first: DataFrame) -> DataFrame:
+        marks = first.select("query_id", "at", *[F.col(k).cast("string").alias(f"__{k}") for k in keys])
+        edges = alike(first, "__shingles", threshold)
+        for side in ("earlier", "later"):
+            edges = edges.join(marks.select("query_id", F.col("at").alias(side), *[F.col(f"__{k}").alias(f"{side}_{k}") for k in keys]), ["query_id", side])
+        agree = sum((F.when((F.col(f"earlier_{k}") == F.col(f"later_{k}")) & (F.col(f"earlier_{k}") != ""), 1).otherwise(0) for k in keys), F.lit(0))
+        return edges.where((F.col("similarity") > 0.97) | (agree >= 2))
+
+    return _without_losers(rows, ["__form", *keys], link).select(*df.columns)
+
+
+def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id", threshold: float = 0.92) -> DataFrame:
+    """Report of alike texts of each query: (query_id, left, right, similarity).
+
+    Texts of one form are represented by their first key: each other one is
+    paired with it alone (similarity 1), and pairs of different forms are
+    reported between representatives.
+    """
+    rows = df.select("query_id", F.col(key).alias("at"), tx.compare_form(F.col(text)).alias("form")).where("form != ''")
+    rows = rows.withColumn("first", F.min("at").over(Window.partitionBy("query_id", "form")))
+    rows = cut_lineage(rows.groupBy("query_id", "at").agg(F.first("form").alias("form"), F.first("first").alias("first")))
+    copies = rows.where("at != first").select("query_id", F.col("first").alias("left"), F.col("at").alias("right"), F.lit(1.0).alias("similarity"))
+    links = alike(rows.where("at = first").withColumn("parts", tx.shingles(F.col("form"))), "parts", threshold)
+    return links.withColumnsRenamed({"earlier": "left", "later": "right"}).unionByName(copies)

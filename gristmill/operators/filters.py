@@ -26,6 +26,12 @@ OPERATOR_ALIASES = {
     "endswith": "endswith", "ends_with": "endswith",
 }
 
+#: Spellings of ``predicate``'s other operators.
+OTHER_OPERATORS = {
+    "not_in": "not_in", "nin": "not_in", "is_null": "is_null", "is_not_null": "is_not_null", "ilike": "ilike",
+    "array_contains": "array_contains",
+}
+
 _ORDERED = {"gt", "gte", "lt", "lte", "between"}
 
 
@@ -76,23 +82,32 @@ def _is_numeric(df: DataFrame, name: str) -> bool:
 def from_spec(df: DataFrame, filters: dict[str, Any] | None = None,
               entities: dict[str, Any] | None = None) -> Column:
     """``{"price": {">=": 3}, "kind": {"in": [..]}, "brand": "x"}`` plus exact
-    entity values. Unknown operators are ignored."""
+    entity values. ``is_null`` and ``is_not_null`` take true, or false for their
+    opposite. An unknown operator or a malformed value is an error: a filter
+    that vanished would return too many rows."""
     tests = []
     for name, spec in (filters or {}).items():
         if not isinstance(spec, dict):
             tests.append(predicate(name, "eq", spec))
             continue
         for spelled, value in spec.items():
-            operator = OPERATOR_ALIASES.get(str(spelled).lower())
+            spelling = str(spelled).lower()
+            operator = OPERATOR_ALIASES.get(spelling) or OTHER_OPERATORS.get(spelling)
             if operator is None:
-                continue
+                raise ValueError(f"unknown operator {spelled!r} for {name}")
             numeric = operator in _ORDERED and _is_numeric(df, name)
             if operator == "between":
-                if isinstance(value, (list, tuple)) and len(value) == 2:
-                    tests.append(predicate(name, operator, *value, numeric=numeric))
-            elif operator == "in_list":
+                if not isinstance(value, (list, tuple)) or len(value) != 2:
+                    raise ValueError(f"between needs two values for {name}, not {value!r}")
+                tests.append(predicate(name, operator, *value, numeric=numeric))
+            elif operator in ("in_list", "not_in"):
                 many = list(value) if isinstance(value, (list, tuple, set)) else [value]
                 tests.append(predicate(name, operator, many))
+            elif operator in ("is_null", "is_not_null"):
+                if not isinstance(value, bool):
+                    raise ValueError(f"{operator} needs true or false for {name}, not {value!r}")
+                missing = (operator == "is_null") == value
+                tests.append(predicate(name, "is_null" if missing else "is_not_null"))
             else:
                 tests.append(predicate(name, operator, value, numeric=numeric))
     tests += [predicate(name, "eq", value) for name, value in (entities or {}).items()]
@@ -226,3 +241,17 @@ def tree(df: DataFrame, filters: dict[str, Any] | None) -> Column:
     if filters.get("must_not"):
         tests += [~c for c in _clauses(df, filters["must_not"])]
     return both(tests)
+
+
+def best_text_column(df: DataFrame) -> str:
+    """The text column with the longest values on average, the first on ties."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        raise ValueError("no text column to search")
+    sizes = df.agg(*[F.avg(F.length(f"`{n}`")).alias(n) for n in names]).first()
+    return max(names, key=lambda n: (sizes[n] or 0.0, -names.index(n)))
+
+
+def keyword_search(df: DataFrame, keyword: str, column: str | None = None) -> DataFrame:
+    """Rows whose ``column``, or best text column, holds the keyword, ignoring case."""
+    return df.filter(predicate(column or best_text_column(df), "contains", keyword))

@@ -38,7 +38,6 @@ TIME_FORMATS = [
 _SHAPES = {pattern: shape for pattern, shape, _ in TIME_FORMATS}
 #: Shape of a text the flexible parser may accept.
 _ANY_TIME = r"\d{4}-\d{1,2}(-\d{1,2}([T ].*)?)?"
-SAMPLE_ROWS = 50_000
 TOLERANCE = 0.02
 #: Columns tested together; each needs some thirty aggregates.
 COLUMNS_PER_PASS = 8
@@ -61,14 +60,6 @@ def narrowest_integer(low: int, high: int) -> str:
     return "decimal(38,0)" if -(10 ** 38) < low and high < 10 ** 38 else "string"
 
 
-def sample_rows(df: DataFrame, rows: int = SAMPLE_ROWS, exact: bool = False, seed: int = 42) -> DataFrame:
-    """About ``rows`` random rows, or all of them."""
-    if exact:
-        return df
-    total = df.count()
-    return df if total <= rows else df.sample(fraction=min(1.0, rows / total), seed=seed)
-
-
 def unsigned_text(cell: Column) -> Column:
     """Number text without currency, separators, percent and accounting brackets."""
     bare = F.regexp_replace(F.trim(cell), rf"[,%\s{CURRENCY}]", "")
@@ -149,6 +140,8 @@ def _decide_text(name: str, r: dict) -> Guess | None:
         notes = tuple(text for count, text in ((r["currency"], "currency stripped"), (r["percent"], "percent stripped")) if count)
         if not r["not_whole"] and max(abs(r["low"]), abs(r["high"])) < 1e15:
             return Guess(name, narrowest_integer(int(r["low"]), int(r["high"])), notes=notes)
+        if not r["scale"] and not r["not_whole"] and r["digits"] <= 38:  # beyond what a double can count
+            return Guess(name, "bigint" if r["digits"] <= 18 else "decimal(38,0)", notes=notes)
         if r["scale"] and r["scale"] <= 12 and r["scales"].bit_count() <= 3:
             size = min((r["digits"] or 1) + r["scale"], 38)
             return Guess(name, f"decimal({max(size, r['scale'] + 1)},{r['scale']})", notes=notes)
@@ -197,10 +190,9 @@ def _measure(sample: DataFrame, tests: dict[int, dict[str, Column]], views: dict
     return results
 
 
-def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance: float = TOLERANCE) -> list[Guess]:
-    """One guess per column; a cast that fails on more than ``tolerance`` of
-    the filled sampled values falls back to text."""
-    sample = sample_rows(df, rows, exact)
+def infer(df: DataFrame, tolerance: float = TOLERANCE) -> list[Guess]:
+    """One guess per column from all its values; a cast that fails on more than
+    ``tolerance`` of the filled ones falls back to text."""
     tests: dict[int, dict[str, Column]] = {}
     views: dict[int, list[dict[str, Column]]] = {}
     for i, f in enumerate(df.schema.fields):
@@ -212,10 +204,10 @@ def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance
             tests[i] = _number_tests(col)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             tests[i] = {"timed": F.count_if(col != F.date_trunc("day", col))}
-    results = _measure(sample, tests, views)
+    results = _measure(df, tests, views)
     settled = {i: _decide_text(df.columns[i], results[i]) for i in views}
     open_columns = {i: _time_tests(F.col(f"`{df.columns[i]}`")) for i, guess in settled.items() if guess is None}
-    times = _measure(sample, open_columns, {})
+    times = _measure(df, open_columns, {})
     guesses = []
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, T.StringType):
@@ -227,7 +219,7 @@ def infer(df: DataFrame, exact: bool = False, rows: int = SAMPLE_ROWS, tolerance
             guesses.append(Guess(f.name, f.dataType.simpleString() if stays else "date"))
         else:
             guesses.append(Guess(f.name, f.dataType.simpleString()))
-    return _downgrade(sample, guesses, tolerance)
+    return _downgrade(df, guesses, tolerance)
 
 
 def cast(df: DataFrame, guess: Guess) -> Column:
@@ -250,7 +242,8 @@ def cast(df: DataFrame, guess: Guess) -> Column:
         return as_number(col)
     if guess.kind.startswith("decimal"):
         return unsigned_text(col).try_cast(guess.kind)
-    return as_number(col).try_cast(guess.kind)
+    # whole numbers straight from their text: a double rounds beyond 2 ** 53
+    return F.coalesce(unsigned_text(col).try_cast("bigint").try_cast(guess.kind), as_number(col).try_cast(guess.kind))
 
 
 def cast_failures(df: DataFrame, guesses: list[Guess]) -> DataFrame:

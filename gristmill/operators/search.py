@@ -17,14 +17,11 @@ from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
 from gristmill.operators import filters as flt
 from gristmill.operators import vectors as vec
-from gristmill.operators.dedup import by_query
 
 #: Largest block of query vectors sent to every task.
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 #: Scores are rounded so that the order does not depend on how rows are batched.
 SCORE_PLACES = 6
-#: Above this many candidates of one query the quadratic steps are skipped.
-PAIRWISE_LIMIT = 500
 
 
 def _scores(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
@@ -207,23 +204,27 @@ def best_per_id(found: DataFrame, ids: list[str], payload: list[str]) -> DataFra
     return best.select("query_id", F.col("__id").alias("id"), "__hit.*")
 
 
-def mmr(candidates: DataFrame, top: int, weight: float = 0.5, vector: str = "vector", limit: int = PAIRWISE_LIMIT) -> DataFrame:
+def mmr(candidates: DataFrame, top: int, weight: float = 0.5, vector: str = "vector") -> DataFrame:
     """Maximal marginal relevance: ``query_id, point_id, relevance, position``.
 
-    The trade-off is quadratic: a query with more than ``limit`` candidates
-    keeps its order of relevance instead, so one task never holds more than
-    ``max(top, limit + 1)`` rows. Candidates without a vector follow by relevance.
+    All candidates of a query compete, whatever their number; those without a
+    vector follow by relevance. A candidate that even full novelty could not
+    lift above the ``top`` most relevant ones is left out beforehand, which
+    changes no pick: its value is at most w*r + (1-w), theirs at least w*r - (1-w).
     """
-    pool = max(top, limit + 1)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "point_id"))
-    bounded = candidates.withColumn("__n", place).filter(F.col("__n") <= pool)
+    filled = F.col(vector).isNotNull()
+    place = F.row_number().over(Window.partitionBy("query_id", filled).orderBy(F.desc("relevance"), "point_id"))
+    ranked = candidates.withColumn("__n", place)
+    least = ranked.filter(filled & (F.col("__n") == top)).select("query_id", (F.col("relevance") - 2 * (1 - weight) / max(weight, 1e-12)).alias("__least"))
+    bounded = ranked.join(least, "query_id", "left").filter(
+        F.when(filled, F.coalesce(F.col("relevance") >= F.col("__least"), F.lit(True))).otherwise(F.col("__n") <= top)).drop("__least")
     schema = bounded.select("query_id", "point_id", "relevance").withColumn("position", F.lit(1).cast("long")).schema
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__n", ignore_index=True)
         with_vector = frame[frame[vector].notna()]
         order: list[int] = []
-        if len(with_vector) and len(frame) <= limit:
+        if len(with_vector):
             m = np.stack(with_vector[vector].to_numpy()).astype(np.float64)
             size = np.linalg.norm(m, axis=1, keepdims=True)
             m = m / np.where(size == 0, 1e-12, size)
@@ -238,12 +239,12 @@ def mmr(candidates: DataFrame, top: int, weight: float = 0.5, vector: str = "vec
                 closest = np.maximum(closest, m @ m[chosen])
         chosen_rows = with_vector.iloc[order]
         rest = frame[frame[vector].isna()]
-        picked = frame.head(top) if len(frame) > limit else pd.concat([chosen_rows, rest]).head(top)
-        picked = picked[["query_id", "point_id", "relevance"]].copy()
+        picked = pd.concat([chosen_rows, rest]).head(top)[["query_id", "point_id", "relevance"]].copy()
         picked["position"] = np.arange(1, len(picked) + 1)
         return picked
 
-    return by_query(bounded).groupBy("query_id").applyInPandas(pick, schema)
+    parts = int(bounded.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work: not coalesced by size
+    return bounded.repartition(parts, "query_id").groupBy("query_id").applyInPandas(pick, schema)
 
 
 # --- query-dependent depth and confidence --------------------------------------------

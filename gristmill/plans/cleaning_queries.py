@@ -100,7 +100,7 @@ def inferred_types(t: Tables) -> DataFrame:
     parts = []
     for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("customer", "c_custkey"), ("events", "event_id"), ("part", "p_partkey")):
         text = as_text(t.spread(name, key))
-        guesses = inf.infer(text, exact=True)
+        guesses = inf.infer(text)
         parts.append(inf.schema_report(text, guesses).withColumn("table", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
@@ -118,7 +118,7 @@ def int_type_sql(column: str) -> str:
     for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
 def narrowest_integers(t: Tables) -> DataFrame:
     keys = as_text(t.spread("lineitem", "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    return inf.schema_report(keys, inf.infer(keys, exact=True)).select("column", "inferred", "row_count", "distinct_count")
+    return inf.schema_report(keys, inf.infer(keys)).select("column", "inferred", "row_count", "distinct_count")
 
 
 @query("T4", """select 'l_quantity' as "column", case when bool_and(l_quantity = round(l_quantity)) then 'tinyint' else 'double' end as inferred from lineitem
@@ -126,7 +126,7 @@ union all select 'l_discount', case when bool_and(abs(l_discount * 100 - round(l
 union all select 'l_extendedprice', case when bool_and(abs(l_extendedprice * 100 - round(l_extendedprice * 100)) <= 1e-6 + 1e-5 * abs(l_extendedprice * 100)) then 'decimal(' || greatest(length(cast(cast(floor(max(l_extendedprice)) as integer) as varchar)) + 2, 4) || ',2)' else 'double' end from lineitem""")
 def float_types(t: Tables) -> DataFrame:
     numbers = t.lineitem.select("l_quantity", "l_discount", "l_extendedprice")
-    return t.spark.createDataFrame([(g.column, g.kind) for g in inf.infer(numbers, exact=True)], "column string, inferred string")
+    return t.spark.createDataFrame([(g.column, g.kind) for g in inf.infer(numbers)], "column string, inferred string")
 
 
 NOISY = """with n as (select l_orderkey, case l_linenumber % 4 when 0 then '$' || cast(cast(l_quantity as integer) as varchar) when 1 then '(' || cast(cast(l_quantity as integer) as varchar) || ')'
@@ -149,7 +149,7 @@ def cast_noisy_text(t: Tables) -> DataFrame:
 @query("T9 T10 T11", """select o_orderkey, cast(o_orderdate as date) as day from orders""")
 def cast_dates(t: Tables) -> DataFrame:
     text = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd").alias("day"))
-    guesses = [g for g in inf.infer(text, exact=True) if g.column == "day"]
+    guesses = [g for g in inf.infer(text) if g.column == "day"]
     return text.select("o_orderkey", inf.cast(text, guesses[0]).alias("day"))
 
 

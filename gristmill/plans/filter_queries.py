@@ -63,7 +63,7 @@ select o_orderkey, o_orderpriority, o_totalprice from orders where o_totalprice
   and o_orderpriority in ('1-URGENT', '2-HIGH') and contains(lower(o_orderpriority), 'h') and o_orderstatus = 'O'""")
 def filter_spec(t: Tables) -> DataFrame:
     test = flt.from_spec(t.orders, {
-        "o_totalprice": {"min": 100000, "max": 200000, "near": 5},
+        "o_totalprice": {"min": 100000, "max": 200000},
         "o_orderpriority": {"one_of": ["1-URGENT", "2-HIGH"], "like": "H"},
     }, {"o_orderstatus": "O"})
     return t.orders.filter(test).select("o_orderkey", "o_orderpriority", "o_totalprice")
@@ -114,9 +114,21 @@ def filter_equal_ignoring_case(t: Tables) -> DataFrame:
     return t.documents.filter(test).select("doc_id", "lang")
 
 
-@query("F17", "select doc_id from documents where contains(lower(text), 'price')")
+@query("F17", "select doc_id from documents where contains(lower(text), 'worthless')")
 def keyword_search(t: Tables) -> DataFrame:
-    return t.documents.filter(flt.predicate("text", "contains", "Price")).select("doc_id")
+    return flt.keyword_search(t.documents, "Worthless").select("doc_id")
+
+
+@query("F11", """
+select o_orderkey, null_comment from (select o_orderkey, o_orderstatus, o_orderpriority, case when o_orderkey % 3 = 0 then null else o_orderpriority end as c,
+  case when o_orderkey % 3 = 0 then null else o_orderpriority end is null as null_comment from orders)
+where o_orderstatus not in ('F', 'P') and (o_orderpriority ilike '%h' or o_orderpriority ilike '%URGENT') and not (o_orderkey % 3 <> 0 and c is null)""")
+def filter_spec_nulls(t: Tables) -> DataFrame:
+    rows = t.orders.withColumn("c", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
+    urgent = flt.from_spec(rows, {"o_orderstatus": {"not_in": ["F", "P"]}, "o_orderpriority": {"ilike": "%urgent"}})
+    high = flt.from_spec(rows, {"o_orderstatus": {"nin": ["F", "P"]}, "o_orderpriority": {"ilike": "%H"}})
+    missing, filled = flt.from_spec(rows, {"c": {"is_null": True}}), flt.from_spec(rows, {"c": {"is_not_null": True}})
+    return rows.filter((urgent | high) & (missing | filled)).select("o_orderkey", missing.alias("null_comment"))
 
 
 @query("F18", "select s_suppkey, s_name, s_acctbal from supplier where s_acctbal < 0 order by s_suppkey limit 50")

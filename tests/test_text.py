@@ -215,3 +215,23 @@ def test_trained_text_classifier_separates(spark):
     model = routing.train_text(df, "q", "label")
     got = model(spark.createDataFrame([("total count",), ("happy people",)], "q string")).collect()
     assert [r["label"] for r in got] == ["sql", "text"] and all(r["confidence"] <= 0.95 for r in got)
+
+
+@pytest.mark.parametrize("spec, ids", [
+    ({"k": {"not_in": [1, 2]}}, {3}), ({"k": {"is_null": True}}, {4}), ({"k": {"is_null": False}}, {1, 2, 3}), ({"k": {"is_not_null": True}}, {1, 2, 3}),
+    ({"t": {"ilike": "A_"}}, {1}), ({"k": {"between": [2, 3]}}, {2, 3}),
+])
+def test_every_filter_filters(spark, spec, ids):
+    from gristmill.operators import filters as flt
+
+    df = spark.createDataFrame([(1, 1, "ab"), (2, 2, "abc"), (3, 3, "b"), (4, None, None)], "id int, k int, t string")
+    assert {r["id"] for r in df.filter(flt.from_spec(df, spec)).collect()} == ids
+
+
+@pytest.mark.parametrize("spec", [{"k": {"near": 1}}, {"k": {"between": [1]}}, {"k": {"is_null": 1}}])
+def test_unknown_filters_are_errors(spark, spec):
+    from gristmill.operators import filters as flt
+
+    df = spark.createDataFrame([(1, 1)], "id int, k int")
+    with pytest.raises(ValueError):
+        flt.from_spec(df, spec)
