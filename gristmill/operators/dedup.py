@@ -13,10 +13,16 @@ STRATEGIES = ("primary_key", "text_hash", "composite_payload_hash", "primary_key
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of each key by a unique order column. Only (key, order) is
-    aggregated, so a key with very many copies costs one row per task."""
-    first = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    """First row of each key by a unique order column; a null key is no key,
+    so such rows all stay. Only (key, order) is aggregated, so a key with very
+    many copies costs one row per task."""
+    return df.join(_firsts(df, key, order), order, "left_semi")
+
+
+def _firsts(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Orders of the first row of each key, and of all rows without a key."""
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order)).select(order)
+    return first.unionByName(df.where(F.col(key).isNull()).select(order))
 
 
 def keep_first(df: DataFrame, strategy: str, order: str, composite: list[str] | None = None,
@@ -41,16 +47,18 @@ def independent_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     Rounds: a row that comes first among the undecided ones in all its key
     groups is kept, everything that shares a value with it is dropped. The
     result equals the sequential scan; each round only aggregates and joins.
+    A null key is no key: it is shared with no row.
     """
+    keyless = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNull()
+    kept = df.where(keyless).select(order)
     # Rows equal in all keys follow the first of them, whatever its fate.
-    undecided = cut_lineage(df.groupBy(*keys).agg(F.min(order).alias(order)))
-    kept: DataFrame | None = None
+    undecided = cut_lineage(df.where(~keyless).groupBy(*keys).agg(F.min(order).alias(order)))
     while True:
         chosen = undecided.select(order)
         for key in keys:
-            chosen = chosen.join(undecided.groupBy(key).agg(F.min(order).alias(order)).select(order), order, "left_semi")
+            chosen = chosen.join(_firsts(undecided, key, order), order, "left_semi")
         winners = cut_lineage(undecided.join(chosen, order, "left_semi"))
-        kept = winners.select(order) if kept is None else kept.unionByName(winners.select(order))
+        kept = kept.unionByName(winners.select(order))
         rest = undecided
         for key in keys:
             rest = rest.join(winners.select(key).distinct(), key, "left_anti")

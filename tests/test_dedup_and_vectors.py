@@ -46,6 +46,13 @@ def test_near_duplicates_greedy(spark):
     assert {r["rank"] for r in dedup.drop_near_duplicates(df).collect()} == {1, 4, 5, 6}
 
 
+def test_null_keys_are_shared_with_no_row(spark):
+    rows = [(i, f"id{i}", None) for i in range(12)] + [(12, None, None), (13, None, "h"), (14, "id3", "h"), (15, None, "h")]
+    df = spark.createDataFrame(rows, "ord int, point_id string, text_hash string")
+    kept = {s: {r["ord"] for r in dedup.keep_first(df, s, "ord").collect()} for s in ("text_hash", "primary_key", "primary_key_or_hash")}
+    assert kept["text_hash"] == set(range(14)) and kept["primary_key"] == set(range(14)) | {15} and kept["primary_key_or_hash"] == set(range(14))
+
+
 def test_near_duplicates_of_any_number(spark):
     same = spark.range(501).select(F.lit("q").alias("query_id"), F.col("id").alias("rank"), F.lit("one text of several words again").alias("text"))
     assert [r["rank"] for r in dedup.drop_near_duplicates(same).collect()] == [0]
