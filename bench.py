@@ -27,7 +27,7 @@ HEADLINES = (
     "sentiment", "topic_words", "intelligence_table", "chunk_documents", "shingle_counts",
     "search_top_k", "rank_fusion", "quantize", "embed_documents", "unique_texts",
     "hybrid_rerank", "rank_evidence", "chunked_documents", "messages_within_budget", "trailing_hour",
-    "stream_deduplicate",
+    "stream_deduplicate", "drop_near_duplicates", "drop_similar", "diverse_hits", "approximate_recall", "discover_relationships",
 )
 
 

@@ -14,6 +14,7 @@ MODULES = (
     "vector_queries",
     "evidence_queries",
     "conversation_queries",
+    "storage_queries",
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from gristmill.operators import dedup
 from gristmill.operators import inference as inf
 from gristmill.operators import profile as pf
 from gristmill.plans.registry import Tables, query
+from gristmill.session import shared_path
 from gristmill.sources import readers, tables, writers
 
 
@@ -210,7 +210,7 @@ def reconcile_stage(t: Tables) -> DataFrame:
 
 @query("S1 S2 S14", "select n_nationkey, n_name, n_regionkey from nation")
 def csv_round_trip(t: Tables) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="gristmill-csv-")
+    folder = shared_path(t.spark, "csv")
     writers.write_splits({"nation": t.nation}, folder, "csv")
     return inf.typed(readers.read_csv(t.spark, f"{folder}/nation", infer=False)).select(
         F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))

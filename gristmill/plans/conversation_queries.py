@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators import conversation as cv
 from gristmill.operators import metrics as me
 from gristmill.plans.registry import Tables, query
+from gristmill.session import shared_path
 from gristmill.streaming import ingest, memory, rates
 
 SIZE = "greatest(length(text) // 4, 1)"
@@ -78,7 +77,7 @@ def rolling_metrics(t: Tables) -> DataFrame:
 
 
 def scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"gristmill-{name}-")
+    return shared_path(SparkSession.active(), name)
 
 
 @query("M4", """with w as (select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as requests from events group by all)

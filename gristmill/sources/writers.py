@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing as hs
 from gristmill.operators import dedup
 from gristmill.operators.cleaning import payload
+from gristmill.session import cut_lineage
 
 STATUSES = ("uploaded", "duplicate", "skipped", "invalid")
 
@@ -79,8 +81,28 @@ def accounting(tagged: DataFrame) -> DataFrame:
 
 
 def write_points(tagged: DataFrame, folder: str, order: str, buckets: int = 64) -> None:
-    """Uploaded points by hash bucket of their id, the rest as rejects."""
-    good = tagged.filter(F.col("status") == "uploaded")
-    bucketed = good.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int"))
-    bucketed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/points")
-    tagged.filter(F.col("status") != "uploaded").select(order, "point_id", "text_hash", "status").write.mode("append").parquet(f"{folder}/rejects")
+    """Uploaded points keyed by their id, the rest as rejects keyed by ``order``.
+
+    Both are stored in hash buckets of the key; a bucket that gets rows is
+    rewritten with its other stored rows, so a rerun replaces and never repeats.
+    """
+    _replace_by_key(tagged.filter(F.col("status") == "uploaded"), f"{folder}/points", "point_id", buckets)
+    rejects = tagged.filter(F.col("status") != "uploaded").select(order, "point_id", "text_hash", "status")
+    _replace_by_key(rejects, f"{folder}/rejects", order, buckets)
+
+
+def _replace_by_key(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    spark = rows.sparkSession
+    fresh = cut_lineage(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    out = fresh
+    try:
+        stored = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = fresh.select("bucket").distinct()
+        rest = stored.join(touched, "bucket", "left_semi").join(fresh.select(key), key, "left_anti")
+        out = cut_lineage(fresh.unionByName(rest))  # read before its buckets are written
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
