@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gristmill.llm import store
 
@@ -40,3 +44,28 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         edges = store.stash(_small_star(store.stash(_large_star(edges), "stars")), "edges")
+
+
+def first_rows(docs: DataFrame, mark: Callable[[str | None], int], marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first row of each component by doc_id (null last), text and the other columns.
+
+    ``mark`` gives the node of a text, ``marked`` has (doc_id, node) of every
+    row and ``roots`` (node, root) of nodes that are no root. Only ids and
+    nodes are compared first; of a component only rows with its least doc_id
+    bring their text.
+    """
+    pairs = marked.select("doc_id", "node").distinct().join(roots, "node", "left").select(
+        "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    pairs = store.stash(pairs, "document-roots")
+    least = pairs.groupBy("root").agg(F.min("doc_id").alias("least"))
+    chosen = pairs.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(
+        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("root").alias("_root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_mark", pa.array([mark(t.as_py()) for t in batch.column("text")], pa.int64()))
+
+    every = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_mark", LongType())]))
+    order = Window.partitionBy("_root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return (every.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_node")))
+            .withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns))

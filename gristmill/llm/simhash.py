@@ -36,22 +36,27 @@ TILE = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle in order; all words are one shingle where they are fewer than ``size``."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) < size:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends + 1 - lengths)[: len(words) - size + 1].tolist()
-        digest, seed = xxhash.xxh64_intdigest, SEED
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1:].tolist())]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends + 1 - lengths)[: len(words) - size + 1].tolist()
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1:].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
+    values = shingle_hashes(text, size)
+    if not len(values):
+        return 0
     ones = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
     for at in range(0, len(values), 1 << 16):  # bounded memory for very long texts
         part = values[at:at + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -216,15 +221,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one that names it, columns as given.
+    """One document of each component, columns as given.
 
-    Of repeated rows under that doc_id the first by all columns stays, and of
-    a component without any doc_id the first by text.
+    The one with the smallest doc_id stays (null last); of several under it,
+    or without any, the first by text and then by the other columns.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-            .withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place"))
+    store.bound_batches(docs.sparkSession)
+    prints = store.stash(fingerprints(docs), "document-fingerprints")
+    return graph.first_rows(docs, lambda t: int(np.uint64(fingerprint(t)).view(np.int64)),
+                            prints.withColumnRenamed("fp", "node"), graph.components(links(prints)))

@@ -330,6 +330,15 @@ def test_keep_first_of_each_component(odd):
     assert simhash.keep_first(odd.limit(0)).count() == 0
 
 
+def test_keep_first_without_or_with_clashing_ids(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (9, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4])}
+    got = [tuple(r) for r in simhash.keep_first(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(i, 0) for i in range(1, 60)}
