@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import (
-    bpe, graph, html_text, kmeans_tree, language, packing, quality_rules, queries, simhash, suffix_dedup, warc, weak, weak_quality,
+    bpe, graph, html_text, kmeans_tree, language, near_sets, packing, quality_rules, queries, simhash, suffix_dedup, warc, weak, weak_quality,
 )
 
 FOLDER = "/root/testdata/sf0.001"
@@ -339,6 +339,54 @@ def test_keep_first_without_or_with_clashing_ids(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def jaccard_firsts(texts):
+    """Of each component of 5-word Jaccard 0.8 or more, the least id."""
+    sets = {}
+    for i, t in texts.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return set(root.values())
+
+
+def edited(rng, base, n):
+    w = base.split()
+    for k in rng.sample(range(len(w)), n):
+        w[k] = f"e{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("cell", [2000, 7])
+def test_near_copies_equal_brute_force(spark, documents, cell, monkeypatch):
+    monkeypatch.setattr(near_sets, "CELL", cell)
+    rng, texts = random.Random(5), []
+    for n in (12, 60, 300):
+        base = " ".join(f"b{rng.randrange(10**9)}" for _ in range(n))
+        texts += [base, base.upper()] + [edited(rng, base, k) for k in range(1, n // 40 + 6) for _ in range(6)]
+    line = " ".join(f"common{k}" for k in range(30))
+    texts += [f"{line} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(4, 40))) for _ in range(40)]
+    rows = list(enumerate([*texts, None, "", "a b", "A  b", "a b c d e", "a b c d e f"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(documents.select(F.col("doc_id") + 1000, "text"))
+    every = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"] for r in near_sets.keep_first(docs).collect()} == jaccard_firsts(every)
+    assert near_sets.keep_first(docs.limit(0)).count() == 0
+
+
+def test_parity_never_rules_out_alike_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 255, 257, 1025, 40_000):
+        every = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for part in (n, n - n // 9, n - n // 5):
+            other = every[:part]
+            if 5 * part >= 4 * n:
+                assert near_sets.possible(n, near_sets.parity(every), part, near_sets.parity(other))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(i, 0) for i in range(1, 60)}
