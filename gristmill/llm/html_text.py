@@ -8,11 +8,14 @@ and all pages of the host are extracted again at the winning path.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ DROPPED = frozenset((
     "aside", "audio", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "menu", "nav",
     "noscript", "object", "option", "script", "select", "style", "svg", "template", "textarea", "title", "video",
 ))
-#: Words of classes, ids and roles that mark other content than the article.
+#: Words of classes, ids and roles that mark other content than the article; see ``_mark_other``.
 OTHER = frozenset((
     "ad", "ads", "adbox", "advert", "advertisement", "advertising", "adverts", "alert", "aside", "banner", "breadcrumb",
     "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog",
@@ -43,24 +46,46 @@ CONTAINERS = frozenset(("article", "body", "center", "div", "html", "main", "sec
 #: An open element of these ends where one of the others begins.
 ENDS_AT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",)}
+#: Parts of a page that are articles by their tag.
+ARTICLES = frozenset(("article", "main"))
+#: First parts of class names that say what surrounds an element, not what it is.
+QUALIFIERS = frozenset(("has", "have", "no", "not", "with", "without"))
+#: Words of classes that mark what readers wrote; it is left out however long it is.
+READERS = frozenset(("comment", "comments", "disqus", "replies", "reply", "respond"))
+TEXTUAL = frozenset(("blockquote", "dd", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td"))
 #: The best container is sought downwards while one child keeps this share.
 SHARE = 0.7
-
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
-    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A block of this many characters is text whatever holds it.
+LONG = 80
+#: Attributes up to this length are matched at once; longer ones by the page's table of quotes.
+NEAR = 4096
+
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>""")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW_ENDS = {tag: re.compile("</" + tag, re.I) for tag in RAW}
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 
+#: How an element is marked as other content: not, by a part of a name, by a whole name, by readers' words, by its tag.
+PLAIN, DOUBTFUL, NAMED, READER, TAGGED = range(5)
 
-@dataclass
+
+@dataclass(slots=True)
 class Element:
     parent: int
     tag: str
-    path: str
-    other: bool
+    #: The tag with its generalised classes; empty for inline elements, which are no part of a path.
+    step: str
+    #: Hash of the path's steps.
+    key: int
+    mark: int
+    #: The nearest block element, itself included.
+    holder: int
+    other: bool = False
     score: float = 0.0
 
 
@@ -72,27 +97,74 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step of a path, and whether the element holds other content."""
+def path_key(above: int, step: str) -> int:
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), above)
+
+
+def path_of(page: Page, at: int) -> str:
+    steps = []
+    while at > 0:
+        if page.elements[at].step:
+            steps.append(page.elements[at].step)
+        at = page.elements[at].parent
+    return "/".join(reversed(steps))
+
+
+def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """The generalised step of a path, and how the element is marked."""
     if not attributes.strip():
-        return tag, False
+        return tag, PLAIN
     values = {a.lower(): unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)}
     names = values.get("class", "").split()
-    marked = set()
-    for name in (*names, values.get("id", ""), values.get("role", "")):
-        marked.update(_WORD.findall(_CAMEL.sub(" ", name).lower()))
-    other = bool(marked & OTHER) or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-    steps = sorted({_DIGITS.sub("#", n.lower()) for n in names})
-    return ".".join([tag, *steps]), other
+    mark = PLAIN
+    for name in (*names, *values.get("id", "").split(), *values.get("role", "").split()):
+        words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+        found = OTHER.intersection(words) - ({"header", "masthead"} if in_article else set())
+        if found and words[0] not in QUALIFIERS:
+            mark = max(mark, READER if found & READERS else NAMED if len(words) == 1 else DOUBTFUL)
+    if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
+        mark = max(mark, NAMED)
+    steps = sorted({_DIGITS.sub("#", n.lower()).replace("/", ":") for n in names})
+    return ".".join([tag, *steps]), mark
+
+
+class _TagEnds:
+    """Where tags end, in time that is linear in the page however its quotes are left open."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.ends = html, html.rfind(">"), None
+
+    def after(self, at: int) -> int:
+        """The place after the tag whose attributes start at ``at``; -1 if nothing closes it.
+        A quote that is never closed doesn't hide the end."""
+        if at > self.last:
+            return -1
+        found = _ATTRIBUTES.match(self.html, at, at + NEAR)
+        if found:
+            return found.end()
+        if self.ends is None:
+            self.places = [m.start() for m in _SPECIAL.finditer(self.html)]
+            self.ends = [0] * len(self.places)
+            later: dict[str, int] = {}
+            for k in range(len(self.places) - 1, -1, -1):  # the end seen from each sign outside quotes
+                sign = self.html[self.places[k]]
+                if sign == ">":
+                    self.ends[k] = self.places[k] + 1
+                else:
+                    close = later.get(sign)
+                    self.ends[k] = self.ends[close + 1] if close is not None and close + 1 < len(self.ends) else 0
+                    later[sign] = k
+        k = bisect_left(self.places, at)
+        return self.ends[k] or self.html.find(">", at) + 1
 
 
 def parse(html: str) -> Page:
-    """Blocks of a page; tolerant of tags that are missing, stray or unclosed."""
-    page, stack, texts, linked = Page(), [], [], 0
-    page.elements.append(Element(-1, "", "", False))
-    stack.append(0)
-    links = 0
-    lowered = None
+    """Blocks of a page; tolerant of tags that are missing, stray or unclosed. Time and memory are
+    linear in the page, however deep its elements lie."""
+    page, texts, linked, links = Page(), [], 0, 0
+    elements = page.elements
+    elements.append(Element(-1, "", "", 0, PLAIN, 0))
+    stack, open_now, tag_ends = [0], Counter(), _TagEnds(html)
 
     def end_block() -> None:
         nonlocal linked
@@ -114,38 +186,48 @@ def parse(html: str) -> Page:
     def close(tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
         """Pop to the nearest open element of these tags, unless ``within`` is met first."""
         nonlocal links
+        if not any(open_now[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
-            tag = page.elements[stack[depth]].tag
+            tag = elements[stack[depth]].tag
             if tag in tags:
-                end = page.elements[stack[depth]]
-                if end.tag in BLOCKS or any(page.elements[e].tag in BLOCKS for e in stack[depth:]):
+                if any(elements[e].tag in BLOCKS for e in stack[depth:]):
                     end_block()
-                links -= sum(page.elements[e].tag == "a" for e in stack[depth:])
+                for e in stack[depth:]:
+                    open_now[elements[e].tag] -= 1
+                    links -= elements[e].tag == "a"
                 del stack[depth:]
                 return
             if tag in within:
                 return
 
-    at = 0
+    at = said = 0
     while True:
-        found = _TAG.search(html, at)
-        if not found:
-            say(html[at:])
+        found = _OPENS.search(html, at)
+        if not found or found.start() > tag_ends.last and not found[1]:
             break
-        say(html[at:found.start()])
-        at = found.end()
-        if found[1]:
-            tag = found[1].lower()
+        comment, declared, closing, tag = found.groups()
+        if comment:
+            end = html.find("-->", found.end()) + 3
+            end = len(html) if end < 3 else end
+        elif declared:
+            end = html.find(">", found.end()) + 1
+        else:
+            end = html.find(">", found.end()) + 1 if closing else tag_ends.after(found.end())
+        say(html[said:found.start()])
+        at = said = end
+        if not tag:
+            continue  # comment, doctype or processing instruction
+        tag = tag.lower()
+        if closing:
             if tag == "br":
                 texts.append(" ")
-            elif tag == "p" and not any(page.elements[e].tag == "p" for e in stack):
+            elif tag == "p" and not open_now["p"]:
                 end_block()
             else:
                 close((tag,), CONTAINERS - {tag} if tag not in BLOCKS else frozenset())
             continue
-        tag, attributes = (found[2] or found[4] or "").lower(), found[3] or found[5] or ""
-        if not tag:
-            continue  # comment, doctype or processing instruction
+        attributes = html[found.end():end - 1]
         if tag in VOID:
             if tag == "hr":
                 end_block()
@@ -157,57 +239,108 @@ def parse(html: str) -> Page:
             end_block()
         if tag in ENDS_AT:
             close(ENDS_AT[tag], frozenset(("ul", "ol", "dl", "table", "select")))
-        step, other = _describe(tag, attributes)
-        above = page.elements[stack[-1]]
-        other = other and tag not in ("html", "body", "article", "main")
-        other = above.other or other or tag in DROPPED or tag == "header" and not any(page.elements[e].tag in ("article", "main") for e in stack)
         if tag in RAW:
-            lowered = html.lower() if lowered is None else lowered
-            end = lowered.find("</" + tag, at)
-            at = len(html) if end < 0 else (html.find(">", end) + 1 or len(html))
+            end = _RAW_ENDS[tag].search(html, at)
+            at = said = end and html.find(">", end.end()) + 1 or len(html)
             continue
+        in_article = bool(open_now["article"] or open_now["main"])
+        step, mark = _describe(tag, attributes, in_article)
+        if tag in ("html", "body", "article", "main"):
+            mark = PLAIN
+        if tag in DROPPED or tag == "header" and not in_article:
+            mark = TAGGED
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        page.elements.append(Element(stack[-1], tag, f"{above.path}/{step}" if tag in BLOCKS else above.path, other))
-        stack.append(len(page.elements) - 1)
+        above, number = elements[stack[-1]], len(elements)
+        if tag in BLOCKS:
+            elements.append(Element(stack[-1], tag, step, path_key(above.key, step), mark, number))
+        else:
+            elements.append(Element(stack[-1], tag, "", above.key, mark, above.holder))
+        stack.append(number)
+        open_now[tag] += 1
         links += tag == "a"
+    say(html[said:])
     end_block()
+    _mark_other(page)
     return page
 
 
+def _mark_other(page: Page) -> None:
+    """Decide which elements hold other content than the article.
+
+    Tags and readers' words always do. A name is not believed of an element
+    that holds nearly all of the page's text, or most of it if only a part of
+    the name says so or an article or first heading lies inside.
+    """
+    elements = page.elements
+    gone = [False] * len(elements)
+    for i, e in enumerate(elements):  # parents come first
+        gone[i] = e.mark == TAGGED or i > 0 and gone[e.parent]
+    held, heads = [0] * len(elements), [e.tag in ARTICLES or e.tag == "h1" for e in elements]
+    for at, text, linked in page.blocks:
+        held[at] += 0 if gone[at] else len(text) - linked
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+        heads[elements[i].parent] |= heads[i]
+    for i, e in enumerate(elements):
+        share = held[i] / held[0] if held[0] else 0
+        believed = e.mark >= READER or e.mark != PLAIN and not (share >= 0.9 or share >= 0.5 and (e.mark == DOUBTFUL or heads[i]))
+        e.other = believed or i > 0 and elements[e.parent].other
+
+
+def _is_text(page: Page, block: tuple[int, str, int]) -> bool:
+    """Whether a block that a container leaves behind would be missed."""
+    at, text, linked = block
+    holder = page.elements[page.elements[at].holder]
+    return not page.elements[at].other and linked * 2 < len(text) and (holder.tag in TEXTUAL or len(text) >= LONG) and not _RIGHTS.match(text)
+
+
 def best_container(page: Page) -> int:
     """The element that the page votes for; 0, the whole page, if none stands out.
 
     A block's worth is its length outside links, counted for all elements
-    around it. From the top, a child container that keeps most of its parent's
-    worth is better: it has less of the rest.
+    around it. From the top, the child container that keeps most of its
+    parent's worth is better if it leads to an article or main element, which
+    is the best, or if it leaves no text behind.
     """
+    elements = page.elements
     for at, text, linked in page.blocks:
-        if not page.elements[at].other:
-            worth = len(text) - linked - min(len(text), 20) * 0.5
-            while at >= 0:
-                page.elements[at].score += worth
-                at = page.elements[at].parent
+        if not elements[at].other:
+            elements[at].score += len(text) - linked - min(len(text), 20) * 0.5
+    article, around, missed = [0.0] * len(elements), [0] * len(elements), [0] * len(elements)
+    for block in page.blocks:
+        missed[block[0]] += _is_text(page, block)
+    for i in range(len(elements) - 1, 0, -1):
+        e = elements[i]
+        elements[e.parent].score += e.score
+        article[i] = e.score if e.tag in ARTICLES and not e.other else article[i]
+        article[e.parent] = max(article[e.parent], article[i])
+        missed[e.parent] += missed[i]
     children: dict[int, list[int]] = {}
-    for i, e in enumerate(page.elements):
-        if i and not e.other and (e.tag in CONTAINERS):
-            up = e.parent
-            while up > 0 and page.elements[up].tag not in CONTAINERS:
-                up = page.elements[up].parent
-            children.setdefault(up, []).append(i)
+    for i, e in enumerate(elements):
+        if i:
+            around[i] = e.parent if not e.parent or elements[e.parent].tag in CONTAINERS else around[e.parent]
+            if e.tag in CONTAINERS and not e.other:
+                children.setdefault(around[i], []).append(i)
     best = 0
-    while True:
-        below = max(children.get(best, []), key=lambda i: page.elements[i].score, default=0)
-        if not below or page.elements[below].score <= 0 or page.elements[below].score < SHARE * page.elements[best].score:
-            return best
+    while elements[best].tag not in ARTICLES:
+        below = max(children.get(best, []), key=lambda i: elements[i].score, default=0)
+        if not below or elements[below].score <= 0 or elements[below].score < SHARE * elements[best].score:
+            break
+        if article[below] < SHARE * elements[best].score and missed[best] > missed[below]:
+            break
         best = below
+    return best
 
 
 def text_at(page: Page, path: str | None) -> str:
     """The blocks under the elements at ``path``, or under the page's own best
     container where the path is not on the page or holds less than half of it."""
     own = best_container(page)
-    inside = _under(page, {i for i, e in enumerate(page.elements) if e.path == path and e.tag in CONTAINERS and not e.other}) if path else []
+    key = 0
+    for step in path.split("/") if path else ():
+        key = path_key(key, step)
+    inside = _under(page, {i for i, e in enumerate(page.elements) if e.key == key and e.tag in CONTAINERS and not e.other}) if path else []
     mine = _under(page, {own})
     chosen = inside if sum(map(len, inside)) * 2 >= sum(map(len, mine)) else mine
     return "\n".join(chosen)
@@ -227,9 +360,9 @@ def votes(pages: DataFrame) -> DataFrame:
             paths, scores = [], []
             for html in batch.column("html"):
                 page = parse(html.as_py() or "")
-                best = page.elements[best_container(page)]
-                paths.append(best.path)
-                scores.append(best.score)
+                best = best_container(page)
+                paths.append(path_of(page, best))
+                scores.append(page.elements[best].score)
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(scores, pa.float64())],
                                              names=["host", "path", "score"])
 
