@@ -54,18 +54,19 @@ def first_rows(docs: DataFrame, mark: Callable[[str | None], int], marked: DataF
     nodes are compared first; of a component only rows with its least doc_id
     bring their text.
     """
+    spare = store.unused(docs.columns)
     pairs = marked.select("doc_id", "node").distinct().join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
     pairs = store.stash(pairs, "document-roots")
     least = pairs.groupBy("root").agg(F.min("doc_id").alias("least"))
     chosen = pairs.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(
-        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("root").alias("_root"))
+        *(F.col(c).alias(spare(c)) for c in ("doc_id", "node", "root")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("_mark", pa.array([mark(t.as_py()) for t in batch.column("text")], pa.int64()))
+            yield batch.append_column(spare("mark"), pa.array([mark(t.as_py()) for t in batch.column("text")], pa.int64()))
 
-    every = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_mark", LongType())]))
-    order = Window.partitionBy("_root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return (every.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_node")))
-            .withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns))
+    every = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(spare("mark"), LongType())]))
+    order = Window.partitionBy(spare("root")).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return (every.join(chosen, F.col("doc_id").eqNullSafe(F.col(spare("doc_id"))) & (F.col(spare("mark")) == F.col(spare("node"))))
+            .withColumn(spare("place"), F.row_number().over(order)).where(F.col(spare("place")) == 1).select(*docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str]) -> Callable[[str], str]:
+    """Names of columns that clash with none of these, however Spark compares them."""
+    taken = {c.lower() for c in columns}
+
+    def name(wish: str) -> str:
+        while f"_{wish}".lower() in taken:
+            wish = f"_{wish}"
+        return f"_{wish}"
+
+    return name
+
+
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Have Arrow batches closed at ``size`` bytes at the latest.
 

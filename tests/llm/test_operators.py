@@ -405,14 +405,28 @@ def test_near_copies_equal_brute_force(spark, documents, cell, monkeypatch):
     assert near_sets.keep_first(docs.limit(0)).count() == 0
 
 
-def test_parity_never_rules_out_alike_sets():
+def test_sketches_never_rule_out_alike_sets():
     rng = np.random.default_rng(3)
-    for n in (1, 9, 255, 257, 1025, 40_000):
+    for n in (1, 9, 63, 65, 255, 257, 1025, 40_000):
         every = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        for part in (n, n - n // 9, n - n // 5):
-            other = every[:part]
-            if 5 * part >= 4 * n:
-                assert near_sets.possible(n, near_sets.parity(every), part, near_sets.parity(other))
+        parts = [every[:k] for k in sorted({n, n - n // 9, n - n // 5, n // 2}) if k]
+        args = np.array([len(p) for p in parts]), [near_sets.parity(p) for p in parts], np.arange(len(parts))
+        found = {(int(a), int(b)) for a, b in zip(*near_sets.close_pairs(*args, np.zeros(len(parts), bool)))}
+        assert found >= {(a, b) for b in range(len(parts)) for a in range(b) if 5 * len(parts[a]) >= 4 * len(parts[b])}
+        assert not any(5 * len(parts[a]) < 4 * len(parts[b]) for a, b in found)
+
+
+def test_crowded_shingles_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "ENTRIES", 20)
+    monkeypatch.setattr(near_sets, "TASK", 50)
+    rng = random.Random(9)
+    base = " ".join(f"b{k}" for k in range(60))
+    texts = [edited(rng, base, rng.randrange(6)) for _ in range(80)]
+    rows = [(i, t, 1, "x", 2, 3, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _root int, _place string, root int, node long, _DOC_ID string")
+    got = near_sets.keep_first(docs)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == jaccard_firsts(dict(enumerate(texts)))
+    assert simhash.keep_first(docs.withColumnRenamed("node", "_mark").limit(9)).count() > 0
 
 
 def test_components_of_a_chain(spark):
