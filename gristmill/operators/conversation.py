@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from gristmill.functions.text import tokens_by_chars
 from gristmill.operators.ordered import running_total
 
-#: Most messages and tokens a conversation keeps.
-MAX_MESSAGES, MAX_TOKENS = 50, 4096
-
-
 def last_messages(df: DataFrame, n: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Newest ``n`` messages per conversation; only ``n`` rows per
     conversation and task reach the shuffle (for n below Spark's limit of 1000)."""
@@ -19,7 +15,7 @@ def last_messages(df: DataFrame, n: int, conv: str = "conv_id", turn: str = "tur
     return df.withColumn("__n", place).filter(F.col("__n") <= n).drop("__n")
 
 
-def within_budget(df: DataFrame, budget: int = MAX_TOKENS, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+def within_budget(df: DataFrame, budget: int, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Newest messages whose tokens fit the budget; the newest always stays."""
     newest = df.groupBy(conv).agg(F.max(turn).alias(turn), F.lit(True).alias("__newest"))
     totals = running_total(df, [conv], [turn], tokens_by_chars(F.col(text)), "__used", descending=True)
@@ -27,15 +23,15 @@ def within_budget(df: DataFrame, budget: int = MAX_TOKENS, conv: str = "conv_id"
     return kept.drop("__used", "__newest")
 
 
-def remember(df: DataFrame, messages: int = MAX_MESSAGES, tokens: int = MAX_TOKENS) -> DataFrame:
+def remember(df: DataFrame, messages: int, tokens: int) -> DataFrame:
     return within_budget(last_messages(df, messages), tokens)
 
 
-def transcript(df: DataFrame, messages: int = MAX_MESSAGES, conv: str = "conv_id") -> DataFrame:
-    """``Role: text`` lines of the newest messages of each conversation."""
+def transcript(df: DataFrame, messages: int | None = None, conv: str = "conv_id") -> DataFrame:
+    """``Role: text`` lines of each conversation, or of its newest ``messages``."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.col("text"))
     listed = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return last_messages(df, messages).groupBy(conv).agg(
+    return (df if messages is None else last_messages(df, messages)).groupBy(conv).agg(
         F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("transcript"))
 
 
@@ -53,9 +49,11 @@ def budget_report(df: DataFrame, context: Column, limit: int = 32_768, reserved:
     return sums.withColumn("available", F.lit(limit) - used).withColumn("over_budget", F.col("available") < 0)
 
 
-def latest_values(df: DataFrame, key: str, value: str, most: int = 25, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Newest value per conversation and key, for the ``most`` keys that were
-    first named last."""
+def latest_values(df: DataFrame, key: str, value: str, most: int | None = None, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Newest value per conversation and key, for all keys or the ``most`` that
+    were first named last."""
     named = df.groupBy(conv, key).agg(F.min(turn).alias("__first"), F.max_by(value, turn).alias(value))
+    if most is None:
+        return named.drop("__first")
     place = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("__first"), key))
     return named.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n", "__first")

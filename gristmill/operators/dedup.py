@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing as hs
 from gristmill.functions import text as tx
+from gristmill.operators import setjoin
 from gristmill.session import cut_lineage
 
 STRATEGIES = ("primary_key", "text_hash", "composite_payload_hash", "primary_key_or_hash")
@@ -80,55 +83,25 @@ def best_per_text(df: DataFrame, text: str = "chunk_text", score: str = "score",
 def alike(rows: DataFrame, shingles: str, threshold: float) -> DataFrame:
     """(query_id, earlier, later, similarity): Jaccard of at least ``threshold``.
 
-    ``rows`` has query_id, an ordered ``at`` that is unique in a query, and
-    distinct shingles. Two sets that alike share one of their rarest shingles
-    (the prefix filter), so only those are joined; no pair is missed at any
-    size of a result set, and common shingles hardly ever meet.
-    """
-    sets = cut_lineage(rows.select("query_id", "at", F.transform(shingles, lambda s: F.xxhash64(s)).alias("set")).where(F.size("set") > 0))
-    parts = sets.select("query_id", "at", F.explode("set").alias("part"))
-    seen = parts.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    rare = parts.join(seen, ["query_id", "part"]).groupBy("query_id", "at").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("by"))
-    size = F.size("by")
-    prefix = rare.select("query_id", "at", size.alias("size"), F.explode(
-        F.slice("by", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("p")).select("query_id", "at", "size", F.col("p.part").alias("part"))
-    later = prefix.select("query_id", "part", F.col("at").alias("later"), F.col("size").alias("later_size"))
-    met = prefix.withColumnRenamed("at", "earlier").join(later, ["query_id", "part"]).where(
-        (F.col("earlier") < F.col("later")) & (F.least("size", "later_size") >= F.greatest("size", "later_size") * threshold - 1e-9))
-    for side in ("earlier", "later"):
-        met = (met.select("query_id", "earlier", "later").distinct() if side == "earlier" else met).join(
-            sets.select("query_id", F.col("at").alias(side), F.col("set").alias(f"{side}_set")), ["query_id", side])
-    common = F.size(F.array_intersect("earlier_set", "later_set"))
-    value = common / (F.size("earlier_set") + F.size("later_set") - common)
-    return met.withColumn("similarity", value).where(value >= threshold - 1e-12).select("query_id", "earlier", "later", "similarity")
-
-
-def greedy_losers(edges: DataFrame) -> DataFrame:
-    """(query_id, at) of rows that an earlier kept row excludes, as a scan in order finds them.
-
-    A row that nothing undecided excludes is kept and everything it excludes
-    goes; each round settles one link of the longest chain.
+    ``rows`` has query_id, an ordered struct ``at`` that is unique in a query,
+    and distinct shingles.
     """
-    edges = cut_lineage(edges.select("query_id", "earlier", "later"))
-    lost = edges.select("query_id", F.col("later").alias("at")).limit(0)
-    while not edges.isEmpty():
-        doubtful = edges.select("query_id", F.col("later").alias("earlier")).distinct()
-        gone = cut_lineage(edges.join(doubtful, ["query_id", "earlier"], "left_anti").select("query_id", "later").distinct())
-        lost = lost.unionByName(gone.withColumnRenamed("later", "at"))
-        edges = cut_lineage(edges.join(gone, ["query_id", "later"], "left_anti").join(
-            gone.withColumnRenamed("later", "earlier"), ["query_id", "earlier"], "left_anti"))
-    return lost
+    return setjoin.links(_sets(rows, shingles), threshold)
+
+
+def _sets(rows: DataFrame, shingles: str, marks: list[str] | None = None) -> DataFrame:
+    named = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in marks or []]).cast("array<string>")
+    return rows.select("query_id", "at", named.alias("marks"), F.transform(shingles, lambda s: F.xxhash64(s)).alias("set"))
 
 
-def _without_losers(rows: DataFrame, same: list[str], link) -> DataFrame:
-    """First row of each class of ``same`` columns, less what ``link`` excludes; rows without text stay.
+def _without_losers(rows: DataFrame, same: list[str], lost: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """First row of each class of ``same`` columns, less what ``lost`` finds; rows without text stay.
 
     Rows equal in ``same`` share the fate of the first of them or repeat it.
     """
     place = F.row_number().over(Window.partitionBy("query_id", *same).orderBy("at"))
     first = cut_lineage(rows.withColumn("__n", F.when(F.col("__form") == "", 1).otherwise(place)).where("__n = 1").drop("__n"))
-    lost = greedy_losers(link(first.where("__form != ''")))
-    return first.join(lost, ["query_id", "at"], "left_anti")
+    return first.join(lost(first.where("__form != ''")), ["query_id", "at"], "left_anti")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", rank: str = "rank", threshold: float = 0.85) -> DataFrame:
@@ -136,7 +109,7 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", rank: str = "rank",
     Jaccard with a kept one, or its normal form is equal. Empty texts stay."""
     rows = df.withColumns({"__form": tx.dedup_form(F.col(text)), "at": F.struct(rank)})
     rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
-    kept = _without_losers(rows, ["__form"], lambda first: alike(first, "__shingles", threshold))
+    kept = _without_losers(rows, ["__form"], lambda first: setjoin.losers(_sets(first, "__shingles"), threshold))
     return kept.select(*df.columns)
 
 
@@ -152,15 +125,10 @@ def drop_similar(df: DataFrame, text: str = "chunk_text", score: str = "score",
     rows = df.withColumns({"__form": tx.compare_form(F.col(text)), "at": at})
     rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
 
-    def link(first: DataFrame) -> DataFrame:
-        marks = first.select("query_id", "at", *[F.col(k).cast("string").alias(f"__{k}") for k in keys])
-        edges = alike(first, "__shingles", threshold)
-        for side in ("earlier", "later"):
-            edges = edges.join(marks.select("query_id", F.col("at").alias(side), *[F.col(f"__{k}").alias(f"{side}_{k}") for k in keys]), ["query_id", side])
-        agree = sum((F.when((F.col(f"earlier_{k}") == F.col(f"later_{k}")) & (F.col(f"earlier_{k}") != ""), 1).otherwise(0) for k in keys), F.lit(0))
-        return edges.where((F.col("similarity") > 0.97) | (agree >= 2))
+    def linked(similarity: float, one: list, two: list) -> bool:
+        return similarity > 0.97 or sum(a == b != "" for a, b in zip(one, two)) >= 2
 
-    return _without_losers(rows, ["__form", *keys], link).select(*df.columns)
+    return _without_losers(rows, ["__form", *keys], lambda first: setjoin.losers(_sets(first, "__shingles", keys), threshold, linked)).select(*df.columns)
 
 
 def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id", threshold: float = 0.92) -> DataFrame:
@@ -170,9 +138,11 @@ def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id"
     paired with it alone (similarity 1), and pairs of different forms are
     reported between representatives.
     """
-    rows = df.select("query_id", F.col(key).alias("at"), tx.compare_form(F.col(text)).alias("form")).where("form != ''")
-    rows = rows.withColumn("first", F.min("at").over(Window.partitionBy("query_id", "form")))
-    rows = cut_lineage(rows.groupBy("query_id", "at").agg(F.first("form").alias("form"), F.first("first").alias("first")))
-    copies = rows.where("at != first").select("query_id", F.col("first").alias("left"), F.col("at").alias("right"), F.lit(1.0).alias("similarity"))
-    links = alike(rows.where("at = first").withColumn("parts", tx.shingles(F.col("form"))), "parts", threshold)
-    return links.withColumnsRenamed({"earlier": "left", "later": "right"}).unionByName(copies)
+    rows = df.select("query_id", F.struct(F.col(key).alias("key")).alias("at"), tx.compare_form(F.col(text)).alias("form")).where("form != ''")
+    rows = rows.withColumn("digest", F.sha2("form", 256))
+    firsts = rows.groupBy("query_id", "digest").agg(F.min("at").alias("first"))
+    rows = cut_lineage(rows.join(firsts, ["query_id", "digest"]))
+    copies = rows.where("at != first").select("query_id", "first.key", "at", F.lit(1.0).alias("similarity")).distinct()
+    links = alike(rows.where("at = first").dropDuplicates(["query_id", "at"]).withColumn("parts", tx.shingles(F.col("form"))), "parts", threshold)
+    return links.select("query_id", F.col("earlier.key").alias("left"), F.col("later.key").alias("right"), "similarity").union(
+        copies.select("query_id", F.col("key").alias("left"), F.col("at.key").alias("right"), "similarity"))

@@ -21,7 +21,6 @@ from gristmill.operators.vectors import clamp
 IDENTIFIERS = ["product_id", "asin", "movie_id", "sku", "document_id", "id", "title", "name"]
 DATE_FIELDS = ["created_at", "updated_at", "timestamp", "date", "review_date"]
 HIDDEN_FIELDS = ["embedding", "vector", "raw", "_id", "_qdrant_id"]
-MAX_CHUNKS, MAX_EVIDENCE = 20, 8
 
 
 def _has(df: DataFrame, name: str) -> Column:
@@ -64,7 +63,7 @@ def rerank(df: DataFrame, score: str, tie: str) -> DataFrame:
     return _place(df, ["query_id"], [F.desc(score), F.col(tie)], "rank")
 
 
-def limit_per_query(df: DataFrame, score: str, tie: str, most: int = MAX_CHUNKS) -> DataFrame:
+def limit_per_query(df: DataFrame, score: str, tie: str, most: int) -> DataFrame:
     return rerank(df, score, tie).filter(F.col("rank") <= most)
 
 
@@ -77,8 +76,8 @@ def one_per(df: DataFrame, key: Column, score: str, tie: str) -> DataFrame:
     return best.filter(F.col("__n") == 1).drop("__n", "__key")
 
 
-def compress(df: DataFrame, as_of: Column, tie: str = "chunk_id", most: int = MAX_CHUNKS) -> tuple[DataFrame, dict[str, Observation]]:
-    """Exact dedup, similar dedup, rerank, one per document and topic, cap.
+def compress(df: DataFrame, as_of: Column, tie: str = "chunk_id", most: int | None = None) -> tuple[DataFrame, dict[str, Observation]]:
+    """Exact dedup, similar dedup, one per document and topic, rerank; the best ``most`` if given.
 
     The stage counts fill in when the result runs.
     """
@@ -94,7 +93,8 @@ def compress(df: DataFrame, as_of: Column, tie: str = "chunk_id", most: int = MA
     rows = with_hybrid_score(rows, as_of)
     rows = one_per(rows, F.coalesce(_has(rows, "parent_asin").cast("string"), _has(rows, "record_id").cast("string")), "hybrid_score", tie)
     rows = one_per(rows, _has(rows, "topic").cast("string"), "hybrid_score", tie)
-    return seen(limit_per_query(rows, "hybrid_score", tie, most), "final"), counts
+    rows = rerank(rows, "hybrid_score", tie)
+    return seen(rows if most is None else rows.filter(F.col("rank") <= most), "final"), counts
 
 
 def checked_compressor(df: DataFrame, custom: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -190,7 +190,7 @@ def fresh(name: str = "record") -> Column:
     return F.exists(F.array(*[F.try_element_at(F.col(name), F.lit(f)) for f in DATE_FIELDS]), lambda v: F.coalesce(v != "", F.lit(False)))
 
 
-def rank_evidence(evidence: DataFrame, most: int | None = MAX_EVIDENCE) -> DataFrame:
+def rank_evidence(evidence: DataFrame, most: int | None = None) -> DataFrame:
     """0.55 confidence + 0.30 richness + 0.05 freshness + 0.10 if linked."""
     richness = F.coalesce(F.try_divide(_filled(), F.size(F.map_keys("record"))), F.lit(0.0))
     total = (0.55 * F.col("confidence") + 0.30 * richness + F.when(fresh(), 0.05).otherwise(0.0)
@@ -208,32 +208,43 @@ def combined_confidence(structured: Column, semantic: Column, answer: Column) ->
     return F.when(weight > 0, clamp(total / weight)).otherwise(0.0)
 
 
-def harvest_entities(df: DataFrame, columns: list[str], rank: str = "rank", rows: int = 8) -> DataFrame:
-    """Distinct texts per field of the first rows of each query, in order."""
-    head = df.filter(F.col(rank) <= rows)
+def harvest_entities(df: DataFrame, columns: list[str], rank: str = "rank", rows: int | None = None) -> DataFrame:
+    """Distinct texts per field of each query, or of its first ``rows``, in order.
+
+    Only the first place of each text is listed.
+    """
+    head = _head(df, rank, rows)
     cells = head.select("query_id", rank, F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c"))
     filled = cells.filter(F.coalesce(F.col("c.value") != "", F.lit(False)))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(rank), F.col("c.value").alias("v"))))
-    return filled.groupBy("query_id", "c.field").agg(F.array_distinct(F.transform(listed, lambda x: x["v"])).alias("values"))
+    firsts = filled.groupBy("query_id", "c.field", "c.value").agg(F.min(rank).alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "value")))
+    return firsts.groupBy("query_id", "field").agg(F.transform(listed, lambda x: x["value"]).alias("values"))
+
+
+def _head(df: DataFrame, rank: str, rows: int | None) -> DataFrame:
+    return df if rows is None else df.filter(F.col(rank) <= rows)
 
 
 # --- context for an answer ------------------------------------------------------------------
 
 
-def clean_context(df: DataFrame, text: str, score: str, order: str, items: int = 8, sources: int = 8,
-                  chars: int = 800) -> DataFrame:
-    """Best-scored rows first (no score last), texts cut, repeats removed,
-    capped; flags item and source rows."""
-    body = tx.truncate(tx.strip(F.coalesce(F.col(text), F.lit(""))), chars)
-    form = F.sha2(tx.collapse_punctuation(tx.squeeze(F.lower("context_text"))), 256)
-    empty = F.col("context_text") == ""
-    key = F.struct(F.when(~empty, form).alias("form"), F.when(empty, F.col(order)).alias("own"))
-    rows = df.withColumn("context_text", body).withColumn("__key", key)
+def clean_context(df: DataFrame, text: str, score: str, order: str, items: int | None = None, sources: int | None = None,
+                  chars: int | None = None) -> DataFrame:
+    """Best-scored rows first (no score last), without texts whose whole normal
+    form repeats one before. ``chars`` cuts only the text shown; ``items`` and
+    ``sources``, where given, are flagged and bound the rows."""
+    whole = tx.strip(F.coalesce(F.col(text), F.lit("")))
+    form = F.sha2(tx.collapse_punctuation(tx.squeeze(F.lower(whole))), 256)
+    key = F.struct(F.when(whole != "", form).alias("form"), F.when(whole == "", F.col(order)).alias("own"))
+    rows = df.withColumn("context_text", whole if chars is None else tx.truncate(whole, chars)).withColumn("__key", key)
     by_score = [F.col(score).isNull(), F.desc(score), F.col(order)]
     kept = _place(rows, ["query_id", "__key"], by_score, "__n").filter(F.col("__n") == 1).drop("__n", "__key")
-    placed = _place(kept, ["query_id"], by_score, "position").filter(F.col("position") <= max(items, sources))
-    return placed.withColumns({"is_item": F.col("position") <= items, "is_source": F.col("position") <= sources})
+    placed = _place(kept, ["query_id"], by_score, "position")
+    if items is not None and sources is not None:
+        placed = placed.filter(F.col("position") <= max(items, sources))
+    return placed.withColumns({name: F.lit(True) if most is None else F.col("position") <= most
+                               for name, most in (("is_item", items), ("is_source", sources))})
 
 
 def context_confidence(context: DataFrame, score: str) -> DataFrame:
@@ -269,20 +280,21 @@ def records_from_json(df: DataFrame, cell: str) -> DataFrame:
 # --- rendering ----------------------------------------------------------------------------------
 
 
-def render_table(df: DataFrame, columns: list[str], rank: str = "rank", rows: int = 10) -> DataFrame:
-    """Markdown table of the first rows of each query."""
+def render_table(df: DataFrame, columns: list[str], rank: str = "rank", rows: int | None = None) -> DataFrame:
+    """Markdown table of each query's rows, or of its first ``rows``."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns]), F.lit(" |\n"))
     head = "## Structured Facts\n| " + " | ".join(columns) + " |\n| " + " | ".join(["---"] * len(columns)) + " |\n"
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank), line.alias("line"))))
-    return df.filter(F.col(rank) <= rows).groupBy("query_id").agg(
+    return _head(df, rank, rows).groupBy("query_id").agg(
         F.concat(F.lit(head), F.array_join(F.transform(listed, lambda x: x["line"]), "")).alias("facts"))
 
 
-def render_snippets(df: DataFrame, text: str, score: str, rank: str = "rank", rows: int = 5, chars: int = 300) -> DataFrame:
-    """Numbered snippets with score of the first rows of each query."""
-    line = F.concat(F.col(rank).cast("string"), F.lit(". ★"), F.round(score, 4).cast("string"), F.lit(" — "), F.substring(text, 1, chars), F.lit("\n"))
+def render_snippets(df: DataFrame, text: str, score: str, rank: str = "rank", rows: int | None = None, chars: int | None = None) -> DataFrame:
+    """Numbered snippets with score of each query's rows, or of its first ``rows``; texts whole or cut to ``chars``."""
+    shown = F.col(text) if chars is None else F.substring(text, 1, chars)
+    line = F.concat(F.col(rank).cast("string"), F.lit(". ★"), F.round(score, 4).cast("string"), F.lit(" — "), shown, F.lit("\n"))
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank), line.alias("line"))))
-    return df.filter(F.col(rank) <= rows).groupBy("query_id").agg(
+    return _head(df, rank, rows).groupBy("query_id").agg(
         F.concat(F.lit("## Key Evidence Snippets\n"), F.array_join(F.transform(listed, lambda x: x["line"]), "")).alias("snippets"))
 
 
@@ -301,8 +313,8 @@ def render_context(queries: DataFrame, question: str, facts: DataFrame, snippets
     return out.select("query_id", F.when(F.length("context") <= chars, F.col("context")).when(at > 0, around).otherwise(cut).alias("context"))
 
 
-def source_list(df: DataFrame, columns: list[str], rank: str = "position", rows: int = 8) -> DataFrame:
-    """Ordered list of the visible fields of the first rows of each query."""
+def source_list(df: DataFrame, columns: list[str], rank: str = "position", rows: int | None = None) -> DataFrame:
+    """Ordered list of the visible fields of each query's rows, or of its first ``rows``."""
     shown = [c for c in columns if c not in HIDDEN_FIELDS]
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("n"), F.to_json(F.struct(*shown)).alias("source"))))
-    return df.filter(F.col(rank) <= rows).groupBy("query_id").agg(F.transform(listed, lambda x: x["source"]).alias("sources"))
+    return _head(df, rank, rows).groupBy("query_id").agg(F.transform(listed, lambda x: x["source"]).alias("sources"))

@@ -178,10 +178,10 @@ def hits_with_metadata(hits: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     return scored.join(meta, key)
 
 
-def retrieve(hits: DataFrame, meta: DataFrame, key: str, cap: int = 1000) -> DataFrame:
-    """Hits once per id in hit order with metadata, at most ``cap`` per query."""
+def retrieve(hits: DataFrame, meta: DataFrame, key: str, cap: int | None = None) -> DataFrame:
+    """Hits once per id in hit order with metadata, of each query all or the first ``cap``."""
     best = hits.groupBy("query_id", key).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    return best.filter(F.col("rank") <= cap).join(meta, key)
+    return (best if cap is None else best.filter(F.col("rank") <= cap)).join(meta, key)
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

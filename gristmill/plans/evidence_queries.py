@@ -29,11 +29,6 @@ def hits(t: Tables) -> DataFrame:
         F.when(i % 4 == 0, "4.5").otherwise("n/a").alias("rating"))
 
 
-def retrieved(t: Tables) -> DataFrame:
-    """The best 50 hits per query, the depth a search returns by default."""
-    return ev.limit_per_query(hits(t), "score", "chunk_id", 50).drop("rank")
-
-
 def as_of():
     return F.lit("2024-02-01").cast("timestamp")
 
@@ -44,20 +39,46 @@ def best_of_equal_texts(t: Tables) -> DataFrame:
     return dedup.best_per_text(hits(t)).select("query_id", "chunk_id", "score")
 
 
-@query("E3 X28 X29")
+#: Distinct forms ``f`` (query_id, spot, form) to alike pairs ``e``, by shared runs of five words.
+ALIKE = """ g as (select query_id, spot, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as gram
+   from (select *, list_filter(string_split(form, ' '), lambda x: x <> '') as w from f where form <> '')),
+ z as (select query_id, spot, count(*) as n from g group by all),
+ p as (select a.query_id, a.spot as earlier, b.spot as later, count(*) as c from g a join g b on a.query_id = b.query_id and a.gram = b.gram and a.spot < b.spot group by all),
+ e as (select p.query_id, earlier, later, c / (x.n + y.n - c) as similarity from p join z x on x.query_id = p.query_id and x.spot = earlier join z y on y.query_id = p.query_id and y.spot = later)"""
+#: The rows of ``f`` that a scan by ``at`` drops, given linked pairs ``l``.
+SCAN = """ o as (select query_id, spot, row_number() over (partition by query_id order by spot) as n from (select query_id, earlier as spot from l union select query_id, later from l)),
+ r as (select o.query_id, o.n, o.spot, list(q.n) filter (q.n is not null) as before from o left join l on l.query_id = o.query_id and l.later = o.spot
+   left join o q on q.query_id = l.query_id and q.spot = l.earlier group by all),
+ walk as (select distinct query_id, 0::bigint as n, []::bigint[] as kept from o union all
+   select w.query_id, r.n, case when list_has_any(w.kept, coalesce(r.before, [])) then w.kept else list_append(w.kept, r.n) end from walk w join r on r.query_id = w.query_id and r.n = w.n + 1),
+ ends as (select query_id, arg_max(kept, n) as kept from walk group by query_id),
+ lost as (select query_id, spot from r join ends using (query_id) where not list_contains(ends.kept, r.n))"""
+RANKED = HITS.replace("with h", "with recursive h") + """, k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as spot from h),"""
+
+
+@query("E3 X28 X29", RANKED + rf""" n as (select *, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as form from k),
+ f as (select * from n qualify form = '' or row_number() over (partition by query_id, form order by spot) = 1),{ALIKE},
+ l as (select * from e where similarity >= 0.85),{SCAN}
+select query_id, chunk_id, spot as rank from f anti join lost using (query_id, spot)""")
 def drop_near_duplicates(t: Tables) -> DataFrame:
     ranked = ev.rerank(hits(t), "score", "chunk_id")
     return dedup.drop_near_duplicates(ranked, "chunk_text").select("query_id", "chunk_id", "rank")
 
 
-@query("E4 X30")
+@query("E4", RANKED + f""" n as (select *, {FORM} as form from k),
+ f as (select * from n qualify form = '' or row_number() over (partition by query_id, form, topic order by spot) = 1),{ALIKE},
+ l as (select * from e where similarity > 0.97),{SCAN}
+select query_id, chunk_id from f anti join lost using (query_id, spot)""")
 def drop_similar(t: Tables) -> DataFrame:
-    return dedup.drop_similar(retrieved(t)).select("query_id", "chunk_id")
+    return dedup.drop_similar(hits(t)).select("query_id", "chunk_id")
 
 
-@query("E5")
+@query("E5", HITS + f""", n as (select query_id, chunk_id as spot, {FORM} as form from h),
+ f as (select query_id, form, min(spot) as spot from n where form <> '' group by query_id, form),{ALIKE}
+select query_id, earlier as "left", later as "right", similarity from e where similarity >= 0.85
+union all select query_id, f.spot, n.spot, 1.0::double from n join f using (query_id, form) where n.spot <> f.spot""")
 def similar_pairs(t: Tables) -> DataFrame:
-    return dedup.similar_pairs(retrieved(t), threshold=0.85)
+    return dedup.similar_pairs(hits(t), threshold=0.85)
 
 
 SCORES = HITS + r""", w as (select *, len(regexp_extract_all(text, '[^\s]+')) as words, date_diff('day', review_date, timestamp '2024-02-01') as days from h),
@@ -87,21 +108,26 @@ def one_per_topic(t: Tables) -> DataFrame:
     return ev.one_per(hits(t), F.when(F.col("chunk_id") % 5 != 0, F.col("topic")), "score", "chunk_id").select("query_id", "chunk_id")
 
 
-@query("E9 E2 E4 E7 E8 K6")
+@query("E9 E2 E4 E7 E8 K6", SCORES.replace("with h", "with recursive h") + f""", n as (select *, {FORM} as form, row_number() over (partition by query_id order by score desc, chunk_id) as spot from x),
+ f as (select * from n qualify row_number() over (partition by query_id, sha256(form) order by spot) = 1),{ALIKE},
+ l as (select * from e where similarity > 0.97),{SCAN},
+ u as (select * from f anti join lost using (query_id, spot)),
+ v as (select * from u where topic is not null qualify row_number() over (partition by query_id, topic order by hybrid_score desc, chunk_id) = 1 union all select * from u where topic is null)
+select query_id, chunk_id, hybrid_score, row_number() over (partition by query_id order by hybrid_score desc, chunk_id) as rank from v qualify rank <= 10""")
 def compress_context(t: Tables) -> DataFrame:
-    out, _ = ev.compress(retrieved(t), as_of(), most=10)
+    out, _ = ev.compress(hits(t), as_of(), most=10)
     return out.select("query_id", "chunk_id", "hybrid_score", "rank")
 
 
 EVENT_HITS = """with e as (select event_type as query_id, user_id as doc, event_id as point_id, event_id % 5 as pos, props || ' ' || event_type as text, value / 997 as score from events),
  r as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from e),
- h as (select *, (score + 1) / 2 as normal from r where rank <= 300)"""
+ h as (select *, (score + 1) / 2 as normal from r)"""
 
 
 def event_hits(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("event_type").alias("query_id"), F.col("user_id").alias("doc"), F.col("event_id").alias("point_id"),
                            (F.col("event_id") % 5).alias("at"), F.concat_ws(" ", "props", "event_type").alias("text"), (F.col("value") / 997).alias("score"))
-    return se.ranked(rows).filter(F.col("rank") <= 300).withColumn("normalized_score", (F.col("score") + 1) / 2)
+    return se.ranked(rows).withColumn("normalized_score", (F.col("score") + 1) / 2)
 
 
 @query("E10", EVENT_HITS + """ select query_id, doc as document_id, text, round(score, 4) as score, round(normal, 4) as normalized_score, round(normal, 4) as rerank_score,
@@ -143,9 +169,9 @@ def link_evidence(t: Tables) -> DataFrame:
     return ev.link(evidence(t)).select("query_id", "evidence_id", "source", "linked_sources")
 
 
-@query("E13 D5 K6", EVIDENCE + """, r as (select *, round(0.55::double * confidence + 0.30::double * richness + 0.05::double * fresh + case when linked then 0.10::double else 0 end, 9) as rank_score from k),
+@query("E13 D5", EVIDENCE + """, r as (select *, round(0.55::double * confidence + 0.30::double * richness + 0.05::double * fresh + case when linked then 0.10::double else 0 end, 9) as rank_score from k),
  n as (select *, row_number() over (partition by query_id order by rank_score desc, evidence_id) as rank from r)
-select query_id, evidence_id, round(rank_score, 6) as rank_score, rank from n where rank <= 8""")
+select query_id, evidence_id, round(rank_score, 6) as rank_score, rank from n""")
 def rank_evidence(t: Tables) -> DataFrame:
     return ev.rank_evidence(ev.link(evidence(t))).select("query_id", "evidence_id", F.round("rank_score", 6).alias("rank_score"), "rank")
 
@@ -169,7 +195,7 @@ def combined_confidence(t: Tables) -> DataFrame:
 
 
 @query("E16", HITS + """, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from h),
- c as (select query_id, rank, topic, sentiment_label from r where rank <= 8),
+ c as (select query_id, rank, topic, sentiment_label from r),
  u as (select query_id, 'topic' as field, topic as value, min(rank) as first from c group by all union all select query_id, 'sentiment_label', sentiment_label, min(rank) from c group by all)
 select query_id, field, string_agg(value, ',' order by first) as "values" from u group by all""")
 def harvest_entities(t: Tables) -> DataFrame:
@@ -177,9 +203,11 @@ def harvest_entities(t: Tables) -> DataFrame:
     return ev.harvest_entities(ranked, ["topic", "sentiment_label"]).select("query_id", "field", F.array_join("values", ",").alias("values"))
 
 
-CONTEXT = HITS + r""", b as (select *, case when length(trim(text, E' \n\t\r')) > 100 then rtrim(trim(text, E' \n\t\r')[1:100], E' \n\t\r') || '…' else trim(text, E' \n\t\r') end as body,
-   case when chunk_id % 9 = 0 then null else score end as s from h),
- d as (select * from b qualify row_number() over (partition by query_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(body), '\s+', ' ', 'g')), '([.])[.]+', '\1', 'g'), '([,])[,]+', '\1', 'g') order by s is null, s desc, chunk_id) = 1),
+CONTEXT = HITS + r""", b as (select *, trim(text, E' \n\t\r') as whole, case when chunk_id % 9 = 0 then null else score end as s from h),
+ c as (select *, case when length(whole) > 100 then rtrim(whole[1:100], E' \n\t\r') || '…' else whole end as body,
+   list_reduce(list_prepend(trim(regexp_replace(lower(whole), '\s+', ' ', 'g')), ['.', ',', '#', '*', '%', '&', '$', '!', '?', ';', ':', '-', '+', '=', '~', '@', '/', '(', ')', '<', '>', '|', '"', chr(39)]),
+     lambda t, m: regexp_replace(t, '[' || m || '][' || m || ']+', m, 'g')) as form from b),
+ d as (select * from c qualify whole = '' or row_number() over (partition by query_id, sha256(form) order by s is null, s desc, chunk_id) = 1),
  p as (select *, row_number() over (partition by query_id order by s is null, s desc, chunk_id) as position from d)"""
 
 
@@ -188,7 +216,7 @@ def context(t: Tables) -> DataFrame:
     return ev.clean_context(rows, "chunk_text", "score", "chunk_id", chars=100)
 
 
-@query("E17 X44", CONTEXT + " select query_id, chunk_id, body as context_text, position from p where position <= 8")
+@query("E17 X44", CONTEXT + " select query_id, chunk_id, body as context_text, position from p")
 def clean_context(t: Tables) -> DataFrame:
     return context(t).select("query_id", "chunk_id", "context_text", "position")
 
@@ -215,31 +243,31 @@ select query_id, '## Structured Facts' || chr(10) || '| o_orderkey | o_orderprio
   string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' |' || chr(10), '' order by rank) as facts from r where rank <= 10 group by query_id""")
 def render_facts(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderstatus").alias("query_id"), "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("score"))
-    return ev.render_table(ev.rerank(rows, "score", "o_orderkey"), ["o_orderkey", "o_orderpriority"])
+    return ev.render_table(ev.rerank(rows, "score", "o_orderkey"), ["o_orderkey", "o_orderpriority"], rows=10)
 
 
 @query("E19")
 def render_contexts(t: Tables) -> DataFrame:
     ranked = ev.limit_per_query(hits(t), "score", "chunk_id", 10)
     facts = ev.render_table(ranked, ["chunk_id", "topic", "score"])
-    snippets = ev.render_snippets(ranked, "chunk_text", "score")
+    snippets = ev.render_snippets(ranked, "chunk_text", "score", rows=5, chars=300)
     asked = t.documents.select(F.col("source").alias("query_id")).distinct().withColumn("question", F.concat(F.lit("What is in "), "query_id"))
     return ev.render_context(asked, "question", facts, snippets, "Answer from the context.", 1500)
 
 
 @query("E20", HITS + """, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from h)
-select query_id, count(*) as n, min(chunk_id) filter (rank = 1) as first from r where rank <= 5 group by query_id""")
+select query_id, count(*) as n, min(chunk_id) filter (rank = 1) as first from r group by query_id""")
 def source_lists(t: Tables) -> DataFrame:
     ranked = ev.rerank(hits(t), "score", "chunk_id")
-    out = ev.source_list(ranked, ["chunk_id", "topic", "score"], "rank", 5)
+    out = ev.source_list(ranked, ["chunk_id", "topic", "score"], "rank")
     return out.select("query_id", F.size("sources").cast("long").alias("n"), F.get_json_object(F.col("sources")[0], "$.chunk_id").cast("long").alias("first"))
 
 
 @query("J10", HITS + """, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from h)
-select query_id, chunk_id as doc_id, rank, score, quality from r join labels on chunk_id = doc_id where rank <= 30""")
+select query_id, chunk_id as doc_id, rank, score, quality from r join labels on chunk_id = doc_id""")
 def retrieve_in_hit_order(t: Tables) -> DataFrame:
     ranked = ev.rerank(hits(t), "score", "chunk_id").withColumnRenamed("chunk_id", "doc_id")
-    return rel.retrieve(ranked, t.labels, "doc_id", 30).select("query_id", "doc_id", "rank", "score", "quality")
+    return rel.retrieve(ranked, t.labels, "doc_id").select("query_id", "doc_id", "rank", "score", "quality")
 
 
 @query("X28 X29", r"""with b as (select item_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), '\s+'), lambda w: w <> '') as w from benchmark),
