@@ -410,7 +410,7 @@ def test_sketches_never_rule_out_alike_sets():
     for n in (1, 9, 63, 65, 255, 257, 1025, 40_000):
         every = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         parts = [every[:k] for k in sorted({n, n - n // 9, n - n // 5, n // 2}) if k]
-        args = np.array([len(p) for p in parts]), [near_sets.parity(p) for p in parts], np.arange(len(parts))
+        args = np.zeros(len(parts), np.int64), np.array([len(p) for p in parts]), [near_sets.parity(p) for p in parts], np.arange(len(parts))
         found = {(int(a), int(b)) for a, b in zip(*near_sets.close_pairs(*args, np.zeros(len(parts), bool)))}
         assert found >= {(a, b) for b in range(len(parts)) for a in range(b) if 5 * len(parts[a]) >= 4 * len(parts[b])}
         assert not any(5 * len(parts[a]) < 4 * len(parts[b]) for a, b in found)
