@@ -11,7 +11,6 @@ number of documents. Spark then deals the pieces to the planned places.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,11 @@ NODES, BRANCHES, STEPS = 20_000, 6, 400
 GROUP_ROWS = 100_000
 
 _TEXT_BYTES = 4 << 20
-_MOST_CACHED = 500_000
+_MOST_CACHED = 800_000
+#: Unknown words that are merged as one text.
+_TOGETHER = 20_000
+# Fixed value: the pattern of the byte-level pre-tokenizer.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies) by falling length
 
@@ -42,40 +45,60 @@ class Encoder:
     """Token ids as little-endian bytes, with a bounded cache of encoded words.
 
     A single space between two other characters always starts a token in the
-    byte-level pattern, so a text may be cut there and its words encoded alone.
-    A word of Latin letters is one match of the pattern and goes straight to
-    the tokenizer's merges; others pass its own pre-tokenizer first.
+    byte-level pattern, so a text may be cut there and its words encoded by
+    themselves. Words of common characters that are not known yet are merged together, as one
+    text with single spaces, by ranks: where the tokenizer lists its merges by
+    rising id, the least merge first is the least id first. Other words, and
+    texts that name an added token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
+        import json
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
             raise ValueError("a byte-level tokenizer without a normalizer is needed")
-        self.cut_word, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        # how the pre-tokenizer writes each byte of letters and the space
-        self.written = {i: self.cut_word(chr(i))[0][0] for i in range(32, 127)}
-        pair = {c: self.cut_word(chr(c))[0][0] for c in range(192, 256)}
-        self.written |= {ord(chr(c).encode()[k:k + 1].decode("latin-1")): w[k] for c, w in pair.items() for k in (0, 1)}
+        cut, vocabulary = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.get_vocab(with_added_tokens=False)
+        written = {cut(chr(c))[0][0]: c for c in range(128)}  # how the pre-tokenizer writes each byte
+        for c in (*range(128, 2048, 64), *range(128, 192), 0x800, *range(0x1000, 0x10000, 0x1000), 0x10000, *range(0x40000, 0x110000, 0x40000)):
+            if not 0xD800 <= c < 0xE000:
+                written.update(zip(cut(chr(c))[0][0], chr(c).encode()))
+        added = self.tokenizer.get_added_tokens_decoder()
+        ranks = {bytes(map(written.__getitem__, name)): i for name, i in vocabulary.items() if i not in added and all(ch in written for ch in name)}
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        self.plain = re.compile("[!-~\u00a1-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]+").fullmatch if made == sorted(made) else lambda word: None
+        self.ranks = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.starts = np.zeros(max(ranks.values()) + 1, bool)
+        self.starts[[i for name, i in ranks.items() if name.startswith(b" ")]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|^\s|\s$").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-
-    def word(self, word: str, lead: str) -> bytes:
-        if self.latin(word):
-            matches = [(lead + word).encode().decode("latin-1").translate(self.written)]
-        else:
-            matches = [match for match, _ in self.cut_word(lead + word)] if lead or word else []
-        ids = [token.id for match in matches for token in self.merge(match)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.added = [t.content for t in added.values()]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as the tokenizer gives them."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of words after ``lead``."""
+        plain = [w for w in words if self.plain(w)] if lead else []
+        known = set(plain)
+        others = [w for w in words if w not in known]
+        found = dict(zip(others, self.ids([lead + w for w in others])))
+        for k in range(0, len(plain), _TOGETHER):
+            some = plain[k:k + _TOGETHER]
+            ids = np.array(self.ranks.encode_ordinary("".join(lead + w for w in some)), "<u4")
+            at, raw = (np.flatnonzero(self.starts[ids]) * 4).tolist(), ids.tobytes()
+            found.update(zip(some, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         start = 0
@@ -84,19 +107,25 @@ class Encoder:
             while end < len(texts) and (end == start or size + len(texts[end]) <= _TEXT_BYTES):
                 size += len(texts[end])
                 end += 1
-            cut = [self.cut(t) if self.odd(t) else t.split(" ") for t in texts[start:end]]
-            heads, rest = {words[0] for words in cut}, set()
-            for words in cut:
-                rest.update(words[1:])
+            cut = [None if any(name in t for name in self.added) else t.split(" ") for t in texts[start:end]]
+            fresh = set().union(*filter(None, cut)).difference(self.later)
+            odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
+            heads, rest = set(), set()
+            for k, words in enumerate(cut):
+                if words and not odd.isdisjoint(words):
+                    cut[k] = words = self.cut(texts[start + k])
+                if words:
+                    heads.add(words[0])
+                    rest.update(words[1:])
             passing = []  # words beyond the cache's bound are forgotten after this round
             for known, words, lead in ((self.first, heads, ""), (self.later, rest, " ")):
-                for w in words.difference(known):
-                    if len(known) >= _MOST_CACHED:
-                        passing.append((known, w))
-                    known[w] = self.word(w, lead)
+                new = list(words.difference(known))
+                room = max(0, _MOST_CACHED - len(known))
+                known.update(self.words(new, lead))
+                passing += [(known, w) for w in new[room:]]
             later = self.later.__getitem__
-            for words in cut:
-                yield self.first[words[0]] + b"".join(map(later, words[1:]))
+            for text, words in zip(texts[start:end], cut):
+                yield self.first[words[0]] + b"".join(map(later, words[1:])) if words else self.ids([text])[0]
             for known, w in passing:
                 del known[w]
             start = end

@@ -467,7 +467,6 @@ def test_packing_of_documents(spark, documents, odd):
 
     path = vocabularies.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for docs in (documents.select("doc_id", "text"), odd.dropDuplicates(["doc_id"])):
         rows = packing.pack(docs, path).collect()
         by_doc, by_sequence = {}, {}
