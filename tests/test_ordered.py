@@ -18,9 +18,10 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
-def test_dense_index(skewed, parts):
+def test_dense_index(skewed, parts, monkeypatch):
+    monkeypatch.setattr(o, "RANGES", 7)
     frame, df = skewed
-    out = o.dense_index(df.repartition(parts), ["at"], "i").toPandas().sort_values("at")
+    out = o.dense_index(df.repartition(parts), ["at"], "i", piece_rows=50).toPandas().sort_values("at")
     assert out["i"].tolist() == list(range(len(frame)))
     back = o.dense_index(df.repartition(parts), ["at"], "i", start=1, descending=True).toPandas().sort_values("at", ascending=False)
     assert back["i"].tolist() == list(range(1, len(frame) + 1))
@@ -30,26 +31,44 @@ def test_dense_index(skewed, parts):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_total(skewed, parts, descending):
     frame, df = skewed
-    out = o.running_total(df.repartition(parts), ["key"], ["at"], F.col("v"), "t", descending=descending).toPandas()
+    out = o.running_total(df.repartition(parts), ["key"], ["at"], F.col("v"), "t", descending=descending, piece_rows=70).toPandas()
     want = frame.sort_values("at", ascending=not descending).assign(t=lambda f: f.groupby("key")["v"].cumsum())
     pd.testing.assert_frame_equal(out.sort_values("at", ignore_index=True)[["key", "at", "t"]],
                                   want.sort_values("at", ignore_index=True)[["key", "at", "t"]], check_dtype=False)
 
 
-def test_percentiles_spread_equals_numpy(skewed):
+@pytest.mark.parametrize("piece_rows", [5, 100_000])
+def test_percentiles_equal_numpy(skewed, monkeypatch, piece_rows):
+    monkeypatch.setattr(o, "RANGES", 16)
     frame, df = skewed
     marks = {"a": 0.0, "b": 0.37, "c": 0.95, "d": 1.0}
-    out = o.percentiles(df, ["key"], "v", marks, method="spread").toPandas().set_index("key")
+    out = o.percentiles(df, ["key"], "v", marks, piece_rows).toPandas().set_index("key")
     for key, part in frame.groupby("key")["v"]:
         for name, p in marks.items():
             assert out.loc[key, name] == pytest.approx(np.percentile(part, 100 * p))
-
-
-def test_percentiles_use_the_spread_path_above_the_bound(skewed):
-    _, df = skewed
-    plan = o.percentiles(df, ["key"], "v", {"m": 0.5}, bound=100)._jdf.queryExecution().toString()
-    assert "percentile(" not in plan
-    assert "percentile(" in o.percentiles(df, ["key"], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    whole = o.percentiles(df, [], "at", {"m": 0.5, "q": 0.9}, piece_rows).first()
+    assert (whole["m"], whole["q"]) == pytest.approx(tuple(np.percentile(frame["at"], [50, 90])))
+
+
+def test_pieces_grow_with_rows(spark, monkeypatch):
+    df = spark.range(0, 4000).withColumn("x", F.col("id") * F.col("id"))
+    assert [o.cut_points(df.limit(n), "x", 100).pieces for n in (90, 900)] == [1, 9]
+    monkeypatch.setattr(o, "RANGES", 8)
+    cuts = o.cut_points(df, "x", 100)
+    assert cuts.steps == 5 and cuts.pieces == 40
+    held = [r["count"] for r in o.with_piece(df, F.col("x").cast("double"), cuts).groupBy("__piece").count().collect()]
+    assert len(held) > 30 and max(held) < 500 and sum(held) == 4000
+
+
+def test_order_with_odd_keys(spark, monkeypatch):
+    monkeypatch.setattr(o, "RANGES", 3)
+    keys = [None, float("-inf"), float("inf"), float("nan"), *([2.0] * 30), *map(float, range(-20, 20))]
+    df = spark.createDataFrame(list(enumerate(keys)), "id int, x double")
+    got = [r["id"] for r in o.dense_index(df, ["x", "id"], "i", piece_rows=5).orderBy("i").collect()]
+    assert got == [r["id"] for r in df.orderBy("x", "id").collect()]
+    assert o.dense_index(df.limit(0), ["x"], "i").count() == 0
+    total = o.running_total(df, [], ["x", "id"], F.lit(1), "t", piece_rows=5)
+    assert [r["t"] for r in total.orderBy("x", "id").collect()] == list(range(1, len(keys) + 1))
 
 
 def test_mode_takes_the_smallest_tie(spark):
