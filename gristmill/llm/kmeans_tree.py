@@ -55,15 +55,15 @@ class Tree:
                 low, n = self.first[node], self.many[node]
                 at[rows] = low + _nearest(vectors[rows], self.centres[low:low + n])
 
-    def order(self, query: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first.
+    def order(self, query: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """``most`` leaves, best bin first, and more while those found hold fewer than ``least`` vectors.
 
         The queue holds the siblings that the descent passed by, keyed by the
         inner product of the query with their centres.
         """
         scores = self.centres @ query
-        queue, found = [(-math.inf, 0)], []
-        while queue and len(found) < most:
+        queue, found, have = [(-math.inf, 0)], [], 0
+        while queue and (len(found) < most or held is not None and have < least):
             node = heapq.heappop(queue)[1]
             while self.first[node] >= 0:
                 low, n = int(self.first[node]), int(self.many[node])
@@ -73,6 +73,7 @@ class Tree:
                         heapq.heappush(queue, (-scores[child], child))
                 node = best
             found.append(node)
+            have += held.get(node, 0) if held is not None else 0
         return found
 
 
@@ -129,31 +130,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of one row: greater score, then smaller id."""
-    if len(scores) > 4 * k:
-        line = -np.partition(-scores, k - 1)[k - 1]
-        keep = np.flatnonzero(scores >= line)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
 def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
-    """(query_id, vec_id, score) columns of each query's k best of these vectors, itself apart."""
+    """(query_id, vec_id, score) columns of each query's k best of these vectors, itself apart.
+
+    The matrix product only says which vectors are near enough; their scores
+    are then summed vector by vector, so equal vectors have equal scores.
+    """
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     if not len(ids) or not len(query_ids):
         return [c[0] for c in out]
     step = max(1, TILE // len(ids)) if len(ids) < TILE else 1
+    blur = 4 * vectors.shape[1] * np.finfo(float).eps * np.linalg.norm(vectors, axis=1).max()
     for at in range(0, len(queries), step):
         scores = queries[at:at + step] @ vectors.T
-        for row, q in zip(scores, query_ids[at:at + step]):
-            other = ids != q
-            best = _best(np.where(other, row, -np.inf), ids, k + 1)
-            best = best[other[best]][:k]
+        for row, q, query in zip(scores, query_ids[at:at + step], queries[at:at + step]):
+            other = np.flatnonzero(ids != q)
+            if len(other) > k:
+                near = row[other]
+                other = other[near >= np.partition(near, len(near) - k)[len(near) - k] - blur * np.linalg.norm(query)]
+            exact = (vectors[other] * query).sum(axis=1)
+            best = np.lexsort((ids[other], -exact))[:k]
             out[0].append(np.full(len(best), q))
-            out[1].append(ids[best])
-            out[2].append(row[best])
+            out[1].append(ids[other[best]])
+            out[2].append(exact[best])
     return [np.concatenate(c) for c in out]
 
 
@@ -203,11 +202,15 @@ def search(points: DataFrame, is_query: Column, k: int = 20, recall: float = REC
     ``points`` has ``vec_id`` and ``embedding``; rows where ``is_query`` holds
     are the queries, and all rows but the query's own id are candidates.
     Vectors that are null, zero or hold null or non-finite components take no
-    part, on either side. Ties go to the smaller vec_id; a repeated row is a
+    part, on either side, nor do those of another length than most (the
+    shorter, if two lengths are as common). A query goes on to further leaves
+    until those it visits hold ``k`` candidates. Ties go to the smaller vec_id; a repeated row is a
     candidate as often as it occurs. No vector, no row.
     """
     spark = points.sparkSession
     points = store.stash(usable(points).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
+    lengths = points.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").head()
+    points = points.where(F.size("v") == (lengths["d"] if lengths else 0))
     total, asked = points.agg(F.count(F.lit(1)), F.count_if("q")).head()
     drawn = lambda salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1_000_000))
     sample = points.where(drawn(1) < math.ceil(1e6 * min(1.0, SAMPLE / max(1, total)))).select("v").limit(2 * SAMPLE)
@@ -228,14 +231,15 @@ def search(points: DataFrame, is_query: Column, k: int = 20, recall: float = REC
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.order(q, visits) for q in _matrix(batch.column("v"))]
+            found = [shared.value.order(q, visits, held.value, k + 1) for q in _matrix(batch.column("v"))]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(found, pa.list_(pa.int64()))],
                                              names=["vec_id", "v", "leaves"])
 
     kind = points.schema["v"].dataType.simpleString()
     filed = store.stash(points.select("vec_id", "v").mapInArrow(file, f"vec_id long, v {kind}, leaf long"), "filed-vectors")
     # a leaf that holds very many vectors is searched in several cells; one row a leaf, so bounded by the tree
-    cells = {r["leaf"]: -(-r["n"] // CELL) for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held, cells = spark.sparkContext.broadcast(counts), {leaf: -(-n // CELL) for leaf, n in counts.items()}
     parts = spark.createDataFrame(sorted(cells.items()), "leaf long, cells long")
     left = filed.join(F.broadcast(parts), "leaf").select(
         "leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).alias("cell"), "vec_id", "v")

@@ -460,6 +460,29 @@ def test_neighbours_odd_rows(spark):
     assert kmeans_tree.search(points.limit(0), F.lit(True)).count() == 0
 
 
+def test_equal_vectors_go_by_id():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.normal(size=(900, 33)), rng.normal(size=(300, 33))
+    vectors[[17, 401, 872]] = queries[:1] * 3
+    for k in range(1, 300):
+        vectors[[k, k + 300, k + 600]] = queries[k] + 0.01
+    found = kmeans_tree._search(np.arange(900), vectors, np.arange(300) + 5000, queries, 3)
+    for q in range(1, 300):
+        at = found[0] == q + 5000
+        ids, scores = found[1][at], found[2][at]
+        assert all(a < b or x > y for a, b, x, y in zip(ids, ids[1:], scores, scores[1:]))
+
+
+def test_ragged_vectors_and_small_leaves(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(200)] + [(500 + i, (rng.normal(size=3) * 0.01 + [90, 90 * i, 7]).tolist()) for i in range(7)]
+    rows += [(900, [1.0, 2.0]), (920, [1.0, 2.0, 3.0, 4.0]), (940, [])]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kmeans_tree.search(points, F.col("vec_id") % 20 == 0, 20, recall=0.1).collect()
+    asked = {i for i, v in rows if i % 20 == 0 and len(v) == 3}
+    assert {r["query_id"] for r in got} == asked and len(got) == 20 * len(asked) and not {r["vec_id"] for r in got} & {900, 920, 940}
+
+
 # --- packing -----------------------------------------------------------------------------------
 
 def test_packing_of_documents(spark, documents, odd):
