@@ -77,16 +77,19 @@ CURRENCY = r"\$|₹|rs\.?|usd|inr|eur"
 # --- stop words -----------------------------------------------------------------
 
 TOPIC_STOPWORDS = (
-    "the a an and or but in on at to for of with by from is it its this that these those are was were be been "
-    "being have has had do does did will would could should may might shall can not no nor so yet both either "
-    "neither i we you he she they me us him her them my our your his their what which who whom when where why "
-    "how all each every few more most other some such than too very just also as if then into about up out "
-    "there here get got like"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it",
+    "its", "this", "that", "these", "those", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "not", "no", "nor", "so",
+    "yet", "both", "either", "neither", "i", "we", "you", "he", "she", "they", "me", "us", "him", "her", "them", "my",
+    "our", "your", "his", "their", "what", "which", "who", "whom", "when", "where", "why", "how", "all", "each",
+    "every", "few", "more", "most", "other", "some", "such", "than", "too", "very", "just", "also", "as", "if",
+    "then", "into", "about", "up", "out", "there", "here", "get", "got", "like",
+)
 QUERY_STOPWORDS = (
-    "a an the is are was were be been being of in on at to for with about as by and or but if so do does did "
-    "please can could would should will shall me you i we it this that these those"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "in", "on", "at", "to", "for", "with",
+    "about", "as", "by", "and", "or", "but", "if", "so", "do", "does", "did", "please", "can", "could", "would",
+    "should", "will", "shall", "me", "you", "i", "we", "it", "this", "that", "these", "those",
+)
 QUESTION_WORDS = (
     "what|who|whom|when|where|which|why|how|is|are|was|were|does|do|did|can|could|should|would"
 )
@@ -105,36 +108,20 @@ CANONICAL_NAMES = {
     "price": ["price", "cost", "amount"],
     "brand": ["brand", "store", "manufacturer"],
 }
-COLUMN_SYNONYMS = [
-    "sales revenue income earnings turnover",
-    "price cost amount value fee charge",
-    "rating score grade rank",
-    "count quantity qty number volume total",
-    "customer client user buyer account",
-    "product item sku good",
-    "date day time period timestamp",
-    "category type class group segment",
-    "region location area zone territory",
-    "employee staff worker personnel",
-    "name title label",
-    "id identifier key code",
-]
-QUERY_SYNONYMS = [
-    "count total number quantity volume",
-    "average avg mean typical",
-    "sum aggregate combined",
-    "top best highest largest greatest most",
-    "bottom worst lowest smallest least",
-    "distinct unique different",
-    "trend trends overtime history historical growth change",
-    "percentage percent proportion ratio share",
-    "compare comparison versus vs",
-    "negative critical poor bad urgent problem issue",
-    "opinion feedback sentiment experience review",
-    "date time period when",
-    "category type class group segment",
-    "identifier id key code reference",
-]
+COLUMN_SYNONYMS = (
+    ("sales", "revenue", "income", "earnings", "turnover"),
+    ("price", "cost", "amount", "value", "fee", "charge"),
+    ("rating", "score", "grade", "rank"),
+    ("count", "quantity", "qty", "number", "volume", "total"),
+    ("customer", "client", "user", "buyer", "account"),
+    ("product", "item", "sku", "good"),
+    ("date", "day", "time", "period", "timestamp"),
+    ("category", "type", "class", "group", "segment"),
+    ("region", "location", "area", "zone", "territory"),
+    ("employee", "staff", "worker", "personnel"),
+    ("name", "title", "label"),
+    ("id", "identifier", "key", "code"),
+)
 
 # --- query labels, signals and routing rules ----------------------------------------
 
@@ -230,5 +217,6 @@ METRIC_LIKE = (
 ROLE_PREFIXES = ["assistant:", "assistant\n", "user:", "user\n", "<|im_start|>"]
 DATE_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
 TEXT_NAME_HINTS = (
-    "text chunk body content description review summary notes comment message abstract transcript"
-).split()
+    "text", "chunk", "body", "content", "description", "review", "summary", "notes", "comment", "message", "abstract",
+    "transcript",
+)

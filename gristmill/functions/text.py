@@ -256,12 +256,12 @@ def identifier_tokens(name: Column) -> Column:
     return tokens(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", " "))
 
 
-def synonym_map(groups: list[str]) -> dict[str, list[str]]:
+def synonym_map(groups: Iterable[tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
     """Word to its group; a word of several groups keeps the last."""
-    return {word: group.split() for group in groups for word in group.split()}
+    return {word: group for group in groups for word in group}
 
 
-def expand_synonyms(parts: Column, groups: list[str]) -> Column:
+def expand_synonyms(parts: Column, groups: Iterable[tuple[str, ...]]) -> Column:
     table = F.create_map(*[x for word, group in synonym_map(groups).items()
                            for x in (F.lit(word), F.array(*[F.lit(g) for g in group]))])
     more = F.flatten(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), F.array().cast("array<string>"))))
@@ -294,7 +294,7 @@ def without_question_word(text: Column) -> Column:
 def keywords(text: Column) -> Column:
     """Word tokens without the generic stop words, in order."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(parts, lambda w: ~w.isin(lx.QUERY_STOPWORDS))
+    return F.filter(parts, lambda w: ~w.isin(*lx.QUERY_STOPWORDS))
 
 
 def build_query(text: Column, entities: dict[str, Column] | None = None, boosters: Iterable[Column] = (),
@@ -341,7 +341,7 @@ def entities(text: Column) -> Column:
     """Struct of concepts, dates, metrics and acronyms found by pattern."""
     found = {
         "concepts": F.filter(F.regexp_extract_all(text, F.lit(f"(?U){lx.CAPITALISED}"), F.lit(0)),
-                             lambda m: ~F.lower(m).isin(lx.QUERY_STOPWORDS)),
+                             lambda m: ~F.lower(m).isin(*lx.QUERY_STOPWORDS)),
         "dates": F.regexp_extract_all(text, F.lit(f"(?iU){lx.DATE_LIKE}"), F.lit(1)),
         "metrics": F.regexp_extract_all(text, F.lit(f"(?iU){lx.METRIC_LIKE}"), F.lit(1)),
         "acronyms": F.regexp_extract_all(text, F.lit(f"(?U){lx.ACRONYM}"), F.lit(0)),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lx
+from gristmill.operators import graph_search
 from gristmill.operators import search as se
 from gristmill.operators import vectors as vec
 from gristmill.plans.registry import Tables, query
@@ -146,6 +147,16 @@ def approximate_recall(t: Tables) -> DataFrame:
     return se.recall(exact, se.approximate(points(t), label_queries(t), 10, distance=1.4))
 
 
+@query("V8")
+def graph_recall(t: Tables) -> DataFrame:
+    """Recall of ten by graph walks for every twentieth vector against all, and the share of the vectors touched."""
+    asked = t.embeddings.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    guess = cut_lineage(graph_search.search(graph_search.build(points(t)), asked, 10, ef=48))
+    exact = se.top_k(points(t), asked, 10)
+    share = guess.where("rank = 1").agg(F.avg("touched").alias("touched")).join(t.embeddings.agg(F.count("*").alias("n")))
+    return se.recall(exact, guess).join(share.select(F.round(F.col("touched") / F.col("n"), 4).alias("touched_share")))
+
+
 @query("V1 V2", r"""with p as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents), h as (select doc_id, sha256(t) as text_hash from p where t <> ''),
  f as (select text_hash, min(doc_id) as doc_id from h group by text_hash)
 select doc_id, text_hash, row_number() over (order by doc_id) - 1 as embedding_index from f""")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import dedup, evidence as ev
+from gristmill.operators import dedup, graph_search, evidence as ev
 from gristmill.operators import search as se
 from gristmill.operators import vectors as vec
 from gristmill.sources import writers
@@ -207,3 +207,21 @@ def test_compressor_guard_and_counts(spark):
     assert counts["final"].get["rows"] == 2
     assert ev.checked_compressor(df, lambda d: d.unionByName(d)).count() == 8
     assert ev.checked_compressor(df, lambda d: d.limit(2)).count() == 2
+
+
+def test_graph_walks_find_neighbours_and_touch_few(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    vectors = centres[rng.integers(0, 40, 6000)] + 0.5 * rng.normal(size=(6000, 24))
+    vectors[100:103] = vectors[50]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9000, None), (9001, []), (9002, [0.0] * 24), (9003, [1.0])],
+                                   "point_id long, vector array<double>")
+    asked = points.where("point_id % 50 = 0").withColumnRenamed("point_id", "query_id")
+    for rows in (20_000, 3000):
+        got = graph_search.search(graph_search.build(points, shard_rows=rows), asked, 10, ef=128).collect()
+        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        true = {q: set(np.argsort(-(units @ units[q]), kind="stable")[:10].tolist()) for q in range(0, 6000, 50)}
+        assert sum(r["point_id"] in true[r["query_id"]] for r in got) >= 0.9 * 10 * len(true)
+        assert all(r["touched"] < 0.2 * 6000 * (20_000 // rows if rows < 20_000 else 1) for r in got)
+        assert [r["point_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][:4] == [50, 100, 101, 102]
+    assert graph_search.search(graph_search.build(points.limit(0)), asked, 10).count() == 0
