@@ -28,6 +28,7 @@ HEADLINES = (
     "search_top_k", "rank_fusion", "quantize", "embed_documents", "unique_texts",
     "hybrid_rerank", "rank_evidence", "chunked_documents", "messages_within_budget", "trailing_hour",
     "stream_deduplicate", "drop_near_duplicates", "drop_similar", "diverse_hits", "approximate_recall", "discover_relationships",
+    "similar_pairs", "graph_recall",
 )
 
 

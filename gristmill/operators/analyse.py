@@ -35,15 +35,29 @@ def clean_alias(text: str) -> str:
 def join_edges(tables: dict[str, DataFrame], start: str, edges: list[tuple[str, str, str, str]]) -> DataFrame:
     """Inner equi-joins along (from_table, from_column, to_table, to_column).
 
-    The strategy is left to Catalyst and AQE; columns should be distinct.
+    The strategy is left to Catalyst and AQE. A column whose name an earlier
+    table has already is named ``<table>_<column>`` in the result (with more
+    underscores if that is taken).
     """
     joined, seen = tables[start], {start}
+    names = {(start, c): c for c in joined.columns}
     for left, left_col, right, right_col in edges:
         if left not in seen:
             left, left_col, right, right_col = right, right_col, left, left_col
         if left not in seen or right in seen:
             raise ValueError(f"edge {left}.{left_col} - {right}.{right_col} does not extend the join")
-        joined = joined.join(tables[right], F.col(left_col) == F.col(right_col), "inner")
+        added = tables[right]
+        taken = {*joined.columns, *added.columns}
+        for column in added.columns:
+            name = column
+            if column in joined.columns:
+                name = f"{right}_{column}"
+                while name in taken:
+                    name += "_"
+                taken.add(name)
+            names[right, column] = name
+        added = added.withColumnsRenamed({c: names[right, c] for c in added.columns if names[right, c] != c})
+        joined = joined.join(added, F.col(names[left, left_col]) == F.col(names[right, right_col]), "inner")
         seen.add(right)
     return joined
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
 from gristmill.operators import profile as pf
 from gristmill.operators.ordered import dense_index
+from gristmill.session import cut_lineage
 
 #: Lookup sides up to this many rows are broadcast.
 BROADCAST_ROWS = 200_000
@@ -107,6 +110,77 @@ def verify(tables: dict[str, DataFrame], candidates: DataFrame, least: float = 0
     return reduce(DataFrame.unionByName, parts)
 
 
+def column_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, family, value, n): how often each column holds each value, of columns that can be keys.
+
+    Every table is read once and all its columns at once; whole numbers, texts
+    and dates can be keys.
+    """
+    parts = []
+    for name, df in tables.items():
+        kinds = {c: "number" if isinstance(k, T.IntegralType) else "text" if isinstance(k, T.StringType) else "date" if isinstance(k, T.DateType) else None
+                 for c, k in ((f.name, f.dataType) for f in df.schema)}
+        cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("family"), F.col(c).cast("string").alias("value")) for c, k in kinds.items() if k]
+        if cells:
+            parts.append(df.select(F.lit(name).alias("table"), F.explode(F.array(*cells)).alias("c")).select("table", "c.*"))
+    held = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
+    return held.groupBy("table", "column", "family", "value").agg(F.count("*").alias("n"))
+
+
+def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
+    """from_table, from_column, to_table, to_column, distinct_values, included, ratio, to_unique.
+
+    All pairs of columns of different tables and one type family that share a
+    value, from one pass: each value is listed with the columns that hold it,
+    equal lists are counted, and only these counted lists become pairs. So the
+    rows that are compared number lists of columns, not values.
+    """
+    held = cut_lineage(column_values(tables))
+    of_column = held.groupBy("table", "column").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("rows"))
+    lists = held.groupBy("family", "value").agg(F.array_sort(F.collect_set(F.struct("table", "column"))).alias("columns"))
+    counted = lists.groupBy("columns").agg(F.count("*").alias("shared"))
+    pairs = counted.select(F.explode("columns").alias("a"), "columns", "shared").select("a", F.explode("columns").alias("b"), "shared").where("a.table != b.table")
+    met = pairs.groupBy("a", "b").agg(F.sum("shared").alias("included")).select(
+        F.col("a.table").alias("from_table"), F.col("a.column").alias("from_column"), F.col("b.table").alias("to_table"), F.col("b.column").alias("to_column"), "included")
+    own = of_column.select(F.col("table").alias("from_table"), F.col("column").alias("from_column"), "distinct_values")
+    key = of_column.select(F.col("table").alias("to_table"), F.col("column").alias("to_column"), (F.col("distinct_values") == F.col("rows")).alias("to_unique"))
+    return met.join(own, ["from_table", "from_column"]).join(key, ["to_table", "to_column"]).select(
+        "from_table", "from_column", "to_table", "to_column", "distinct_values", "included", (F.col("included") / F.col("distinct_values")).alias("ratio"), "to_unique")
+
+
+def foreign_keys(found: DataFrame, least: float = 1.0) -> DataFrame:
+    """Of ``inclusions`` those that reach ``least`` in a unique column, each column's best by name
+    (ties: more values in common, then by name), with ``confidence``."""
+    name = name_similarity(F.col("from_column"), F.col("to_column"), F.col("to_table"))
+    fit = found.filter(F.col("to_unique") & (F.col("ratio") >= least)).withColumn("confidence", F.round(0.6 * name + 0.4 * F.col("ratio"), 3))
+    best = F.max_by(F.struct("to_table", "to_column", "confidence"), F.struct("confidence", "included", "to_table", "to_column"))
+    return fit.groupBy("from_table", "from_column").agg(best.alias("b")).select("from_table", "from_column", "b.*")
+
+
+def join_path(keys: DataFrame, start: str, wanted: Iterable[str]) -> list[tuple[str, str, str, str]]:
+    """Edges for ``analyse.join_edges`` from ``start`` to all ``wanted`` tables along ``keys`` (from_table,
+    from_column, to_table, to_column, confidence): nearest first, then the surest. Keys are column metadata."""
+    edges = sorted(((r["from_table"], r["from_column"], r["to_table"], r["to_column"]), -r["confidence"]) for r in keys.collect())
+    edges = [e for e, _ in sorted(edges, key=lambda e: (e[1], e[0]))]
+    reached, path, todo = {start: None}, [], [start]
+    while todo:
+        here = todo.pop(0)
+        for edge in edges:
+            other = edge[2] if edge[0] == here else edge[0] if edge[2] == here else None
+            if other is not None and other not in reached:
+                reached[other] = (here, edge)
+                todo.append(other)
+    for name in wanted:
+        if name not in reached:
+            raise ValueError(f"no key leads from {start} to {name}")
+        steps = []
+        while reached[name]:
+            name, edge = reached[name]
+            steps.append(edge)
+        path += [e for e in reversed(steps) if e not in path]
+    return path
+
+
 # --- merging --------------------------------------------------------------------------------
 
 

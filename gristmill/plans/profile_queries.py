@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators import analyse as an
 from gristmill.operators import profile as pf
 from gristmill.operators import relations as rel
 from gristmill.plans.registry import Tables, query
@@ -126,6 +127,29 @@ def discover_relationships(t: Tables) -> DataFrame:
     return rel.discover(rel.describe(t.named("region", "nation", "customer", "orders")))
 
 
+KEYED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+         "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+INCLUSION = "with c as (" + " union all ".join(
+    f"select '{table}' as tbl, '{column}' as col, {'1' if column.endswith('key') else '2'} as family, {column}::varchar as v from {table} where {column} is not null"
+    for table, columns in KEYED.items() for column in columns) + """), d as (select tbl, col, family, v, count(*) as n from c group by all),
+ k as (select tbl, col, count(*) as distinct_values, count(*) = sum(n) as uniq from d group by all),
+ m as (select a.tbl as from_table, a.col as from_column, b.tbl as to_table, b.col as to_column, count(*) as included from d a join d b on a.family = b.family and a.v = b.v and a.tbl <> b.tbl group by all)"""
+
+
+@query("P13 P14 P15", INCLUSION + """ select from_table, from_column, to_table, to_column, x.distinct_values, included, included / x.distinct_values as ratio, y.uniq as to_unique
+ from m join k x on x.tbl = from_table and x.col = from_column join k y on y.tbl = to_table and y.col = to_column""")
+def inclusion_dependencies(t: Tables) -> DataFrame:
+    return rel.inclusions(t.named(*KEYED))
+
+
+@query("P13 J1 A1", "select r_name, count(*) as orders, count(distinct c_custkey) as customers from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name")
+def orders_by_region_over_found_keys(t: Tables) -> DataFrame:
+    """The joins follow keys that are discovered in the tables."""
+    tables = t.named("region", "nation", "customer", "orders")
+    path = rel.join_path(rel.foreign_keys(rel.inclusions(tables)), "orders", ["region"])
+    return an.join_edges(tables, "orders", path).groupBy("r_name").agg(F.count("*").alias("orders"), F.count_distinct("c_custkey").alias("customers"))
+
+
 PAIRS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
          ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "orders", "o_orderkey"),
          ("labels", "doc_id", "documents", "doc_id")]
