@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.ordered import percentiles
+from gristmill.session import cut_lineage
 
 
 def run_metrics(log: DataFrame, mode: str, success: Column, latency: str) -> DataFrame:
@@ -17,8 +18,8 @@ def run_metrics(log: DataFrame, mode: str, success: Column, latency: str) -> Dat
 
 def latency_summary(log: DataFrame, latency: str, order: list[Column], samples: int = 1000) -> DataFrame:
     """Mean, min, max, p95 and p99 of the newest samples."""
-    recent = log.orderBy(*order).limit(samples).select(latency)
-    tail = percentiles(recent, [], latency, {"p95": 0.95, "p99": 0.99}, method="builtin")
+    recent = cut_lineage(log.orderBy(*order).limit(samples).select(latency))
+    tail = percentiles(recent, [], latency, {"p95": 0.95, "p99": 0.99})
     basic = recent.agg(F.count("*").alias("samples"), F.avg(latency).alias("avg"), F.min(latency).alias("min"), F.max(latency).alias("max"))
     return basic.withColumn("__one", F.lit(1)).join(tail.withColumn("__one", F.lit(1)), "__one").drop("__one")
 

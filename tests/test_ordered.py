@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.operators import metrics
 from gristmill.operators import ordered as o
 
 
@@ -87,3 +88,11 @@ def test_join_same_matches_nulls(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
     b = spark.createDataFrame([(None, 3)], "k string, b int")
     assert [tuple(r) for r in o.join_same(a, b, ["k"]).collect()] == [(None, 1, 3)]
+
+
+def test_latency_of_the_newest_samples(spark):
+    log = spark.range(5000).select("id", (F.col("id") % 1000).cast("double").alias("wait"))
+    row = metrics.latency_summary(log, "wait", [F.desc("id")], 101).first()
+    want = np.arange(899.0, 1000.0)
+    assert (row["samples"], row["avg"], row["min"], row["max"]) == (101, 949.0, 899.0, 999.0)
+    assert row["p95"] == pytest.approx(np.quantile(want, 0.95)) and row["p99"] == pytest.approx(np.quantile(want, 0.99))
