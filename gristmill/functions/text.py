@@ -49,6 +49,12 @@ def clean(text: Column) -> Column:
     return strip(F.coalesce(flat, F.lit("")))
 
 
+def rounded(number: Column, places: int) -> Column:
+    """Half away from zero by the double itself, the sign kept at zero, as SQL
+    engines round; Spark's own ``round`` goes by the shortest decimal that prints it."""
+    return F.signum(number) * F.round(F.abs(number) * 10.0 ** places) / 10.0 ** places
+
+
 # --- counts and readability ------------------------------------------------------
 
 
@@ -58,14 +64,14 @@ def sentence_count(text: Column) -> Column:
 
 
 def average_word_length(chars: Column, count: Column) -> Column:
-    return F.when(count > 0, F.round(chars / count, 2)).otherwise(F.lit(0.0))
+    return F.when(count > 0, rounded(chars / count, 2)).otherwise(F.lit(0.0))
 
 
 def readability(count: Column, sentences: Column, average: Column) -> Column:
     per_sentence = count / F.greatest(sentences, F.lit(1))
     weight = F.greatest(average / 5, F.lit(0.1))
     score = 206.835 - 1.015 * per_sentence - 84.6 * weight
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
+    return rounded(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
 
 
 def readability_label(score: Column) -> Column:
@@ -104,7 +110,7 @@ def sentiment(lower: Column) -> Column:
     positive = F.when(negated, positive * 0.5).otherwise(positive.cast("double"))
     total = positive + negative
     score = F.when(total > 0, (positive - negative) / total).otherwise(F.lit(0.0))
-    return F.round(score, 3)
+    return rounded(score, 3)
 
 
 def sentiment_label(score: Column) -> Column:

@@ -235,3 +235,11 @@ def test_unknown_filters_are_errors(spark, spec):
     df = spark.createDataFrame([(1, 1)], "id int, k int")
     with pytest.raises(ValueError):
         flt.from_spec(df, spec)
+
+
+def test_rounding_goes_by_the_double(spark):
+    values = [686 / 80, 4899 / 600, -0.0000004, 2.5, -2.5, 0.0]
+    row = spark.createDataFrame([(v,) for v in values], "v double").select("v", tx.rounded(F.col("v"), 2).alias("r")).collect()
+    assert [repr(r["r"]) for r in row] == ["8.57", "8.16", "-0.0", "2.5", "-2.5", "0.0"]
+    counts = spark.createDataFrame([(686, 80)], "chars int, n int")
+    assert counts.select(tx.average_word_length(F.col("chars"), F.col("n"))).first()[0] == 8.57
