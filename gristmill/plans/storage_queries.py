@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import text as tx
 from gristmill.operators import cleaning, evidence, relations, vectors
 from gristmill.plans.registry import Tables, query
 from gristmill.session import shared_path
@@ -26,7 +27,7 @@ def embedding_store(t: Tables) -> DataFrame:
     unique = first.join(t.embeddings, "vec_id", "left").select("text_hash", F.col("embedding").alias("vector"))
     writers.write_vectors(rows, unique, folder, "given")
     manifest = t.spark.read.json(f"{folder}/manifest").select("rows", "unique_texts", "dimension")
-    vector = F.transform("vector", lambda x: F.round(x.cast("double"), 6))
+    vector = F.transform("vector", lambda x: tx.rounded(x.cast("double"), 6))
     return readers.read_vectors(t.spark, folder).select("doc_id", vector.alias("vector")).join(manifest, F.lit(True))
 
 
