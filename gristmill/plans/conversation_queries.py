@@ -84,7 +84,7 @@ def scratch(name: str) -> str:
 select start, event_type, requests from w where start + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""")
 def stream_request_rate(t: Tables) -> DataFrame:
     """Hourly counts of a stream; windows the watermark has not closed are not out yet."""
-    source = ingest.stream_files(t.spark, t.folder, t.events.schema, "events.parquet")
+    source = ingest.stream_table(t.spark, t.path("events"), t.events.schema)
     counts = rates.request_rate(source, "ts", "event_type", "1 hour", None, "10 minutes")
     out = scratch("rate")
     ingest.run_to_end(counts, f"{out}/data", f"{out}/state")
@@ -94,7 +94,7 @@ def stream_request_rate(t: Tables) -> DataFrame:
 @query("M5", """with w as (select date_trunc('day', ts) as start, event_type, count(*) as requests, round(avg(value), 6) as mean from events group by all)
 select start, event_type, requests, mean from w where start + interval 1 day <= (select max(ts) - interval 10 minutes from events)""")
 def stream_latency(t: Tables) -> DataFrame:
-    source = ingest.stream_files(t.spark, t.folder, t.events.schema, "events.parquet")
+    source = ingest.stream_table(t.spark, t.path("events"), t.events.schema)
     out = scratch("latency")
     ingest.run_to_end(rates.latency(source, "ts", "event_type", "value", F.col("value") < 20, "1 day", "10 minutes"), f"{out}/data", f"{out}/state")
     return t.spark.read.parquet(f"{out}/data").select("start", "event_type", "requests", F.round("mean", 6).alias("mean"))
@@ -105,7 +105,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     """Ingests, then runs again from the same checkpoint, which must add nothing."""
     out = scratch("ingest")
     for _ in range(2):
-        source = ingest.stream_files(t.spark, t.folder, t.events.schema, "events.parquet")
+        source = ingest.stream_table(t.spark, t.path("events"), t.events.schema)
         ingest.run_to_end(source.select("event_id", "event_type", "value"), f"{out}/data", f"{out}/state")
     return t.spark.read.parquet(f"{out}/data")
 
@@ -114,7 +114,7 @@ def stream_ingest(t: Tables) -> DataFrame:
 def stream_deduplicate(t: Tables) -> DataFrame:
     """Stores each text once; short texts go to the rejects."""
     out = scratch("dedup")
-    source = ingest.stream_files(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    source = ingest.stream_table(t.spark, t.path("documents"), t.documents.schema)
     rows = source.select("doc_id", F.sha2("text", 256).alias("text_hash"), "n_chars")
     ingest.deduplicate(rows, f"{out}/data", f"{out}/rejects", f"{out}/state", "doc_id", ["text_hash"], F.col("n_chars") >= 100)
     return t.spark.read.parquet(f"{out}/data").select("doc_id", "text_hash")
@@ -125,7 +125,7 @@ def stream_deduplicate(t: Tables) -> DataFrame:
 select conv_id, count(*) as messages, cast(sum(n) as bigint) as tokens from s where used <= 400 or r = 1 group by conv_id""")
 def stream_memory(t: Tables) -> DataFrame:
     out = scratch("memory")
-    source = ingest.stream_files(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
+    source = ingest.stream_table(t.spark, t.path("conversations"), t.conversations.schema)
     ingest.run_to_end(memory.bounded_memory(source, 50, 400), f"{out}/data", f"{out}/state")
     kept = t.spark.read.parquet(f"{out}/data")
     return kept.groupBy("conv_id").agg(F.max_by("messages", "version").alias("messages"), F.max_by("tokens", "version").alias("tokens"))

@@ -20,6 +20,14 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType, pattern
     return reader.load(folder)
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
+    """Stream of a parquet table that is one file or a folder of files."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    reader = spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    # As a glob the path may be either; a plain one must be a folder.
+    return reader.load(f"{folder}/{{{name}}}")
+
+
 def run_to_end(df: DataFrame, target: str, checkpoint: str) -> None:
     """Writes everything there is as parquet and stops; a later run with the
     same checkpoint continues where this one ended."""

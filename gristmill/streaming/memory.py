@@ -26,7 +26,8 @@ def bounded_memory(df: DataFrame, messages: int = 50, tokens: int = 4096, idle_m
         turns, sizes, lines, version = state.get if state.exists else ([], [], [], 0)
         kept = list(zip(turns, sizes, lines))
         for frame in frames:
-            sized = frame.assign(n=(frame["text"].str.len() // 4).clip(lower=1))
+            sized = frame.assign(text=frame["text"].fillna(""), role=frame["role"].fillna(""))
+            sized = sized.assign(n=(sized["text"].str.len() // 4).clip(lower=1))
             kept += [(int(t), int(n), f"{r.capitalize()}: {x}") for t, n, r, x in zip(sized["turn"], sized["n"], sized["role"], sized["text"])]
             # Trimmed per Arrow batch, so a long conversation never piles up.
             kept = _trim(sorted(kept), messages, tokens)

@@ -5,8 +5,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.plans import catalog
+from gristmill.plans.registry import REGISTRY
 from gristmill.streaming import ingest, memory
 
+catalog.load()
+
 SCHEMA = "id long, point_id string, text_hash string"
 
 
@@ -48,6 +52,26 @@ def test_memory_keeps_the_newest_over_several_batches(spark, folder):
     assert len(rows) == 2 and rows[-1]["messages"] == 3 and rows[-1]["tokens"] == 30
 
 
+def test_streams_of_tables_that_are_a_file_or_a_folder(spark, folder):
+    names = ("documents", "conversations", "events")
+    for name in names:
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        table.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    for name in ("stream_deduplicate", "stream_memory", "stream_ingest"):
+        query = REGISTRY[name]
+        rows = [sorted(map(tuple, query(spark, f).collect())) for f in ("/root/testdata/sf0.001", folder)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_memory_of_messages_without_text(spark, folder):
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "hello you")], schema).coalesce(1).write.parquet(f"{folder}/in")
+    source = ingest.stream_table(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+    ingest.run_to_end(memory.bounded_memory(source, 5, 30), f"{folder}/out", f"{folder}/state")
+    row = spark.read.parquet(f"{folder}/out").first()
+    assert (row["messages"], row["tokens"], row["transcript"]) == (2, 3, "User: \n: hello you")
+
+
 @pytest.mark.parametrize("sizes,messages,tokens,kept", [([5, 5, 5], 2, 100, 2), ([5, 5, 5], 9, 10, 2), ([5, 50], 9, 10, 1), ([], 3, 3, 0)])
 def test_trim(sizes, messages, tokens, kept):
     assert len(memory._trim([(i, n, "") for i, n in enumerate(sizes)], messages, tokens)) == kept
