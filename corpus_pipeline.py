@@ -22,7 +22,8 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 5-word Jaccard 0.8 or more: that with the smallest doc_id."""
+    """One document, with the smallest doc_id, of each component of near copies: found by SimHash, checked by
+    5-word Jaccard of 0.8 or more; copies of that Jaccard beyond the fingerprints' radius are found exactly."""
     return near_sets.keep_first(docs)
 
 

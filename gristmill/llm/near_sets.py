@@ -1,10 +1,11 @@
-"""Near duplicates by exact Jaccard of word shingles.
-
-Texts are read once: each becomes a node (its set of shingles), a sketch from
-which the difference of two sets is bounded from below, its first shingles and
-a few least hashes. Sets with a least hash in common are linked in stars first,
-which joins most copies at a linear number of pairs. Exactness comes from the
-prefix filter: two sets that are alike share one of their first shingles in any
+"""Near duplicates by SimHash, checked by exact Jaccard of word shingles.
+
+Texts are read once: each becomes a node (its set of shingles), a fingerprint,
+a sketch from which the difference of two sets is bounded from below, its first
+shingles and a few least hashes. Sets whose SimHash fingerprints are linked, or
+that have a least hash in common, are candidates in stars first, which joins
+most copies at a linear number of pairs. Copies beyond the fingerprints' radius
+are found by the prefix filter, so no link is lost: two sets that are alike share one of their first shingles in any
 one order of all shingles (frequent ones last), so only sets that meet there and
 are not of one component yet are compared, by their sketches, inside the task
 where they meet. Of the pairs that sketches cannot rule out, a task first passes
@@ -31,8 +32,8 @@ ALIKE, OF = 4, 5
 SAMPLE, MOST = 5000, 200_000
 #: Least hashes of each set, by multipliers.
 STARS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
-#: Slots of a sketch per shingle, at least.
-SLOTS = 4
+#: Slots of a sketch per shingle, at least. Common shingles cancel, so few are enough.
+SLOTS = 1
 #: Prefix entries of one task, members of one cell of a large group, and members compared in one task.
 ENTRIES, CELL, TASK = 500_000, 2000, 100_000
 #: Bytes of sketches that one task holds.
@@ -101,7 +102,7 @@ def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prepare(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, node, size, sketch, prefix and mins of every row."""
+    """doc_id, text_hash, node, size, fp (SimHash of the set), sketch, prefix and mins of every row."""
     order = np.argsort(late)
     shared = docs.sparkSession.sparkContext.broadcast((late[order], order))
 
@@ -111,12 +112,21 @@ def prepare(docs: DataFrame, late: np.ndarray) -> DataFrame:
             mins = [(s * STARS[:, None]).min(axis=1).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([parity(s) for s in sets], pa.binary()), pa.array([prefix(s, *shared.value).tobytes() for s in sets], pa.binary()),
-                 pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "size", "sketch", "prefix", "mins"])
+                 pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)), pa.array([parity(s) for s in sets], pa.binary()), pa.array([prefix(s, *shared.value).tobytes() for s in sets], pa.binary()),
+                 pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "size", "fp", "sketch", "prefix", "mins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash long, node long, size long, sketch binary, prefix binary, mins array<long>")
+        run, f"doc_id {kind}, text_hash long, node long, size long, fp long, sketch binary, prefix binary, mins array<long>")
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(u, v): the least node of each component of linked fingerprints with its others."""
+    prints = nodes.where("size > 0").select("node", "fp")
+    roots = graph.components(simhash.links(prints)).withColumnsRenamed({"node": "fp"})
+    rooted = prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u != last").select("root", "u")
+    return rooted.join(first, "root").where("u != node").select("u", F.col("node").alias("v"))
 
 
 def stars(marked: DataFrame) -> DataFrame:
@@ -328,8 +338,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(docs: DataFrame, marked: DataFrame, crowded: np.ndarray) -> DataFrame:
     """(node, root) of the nodes that are linked to a lesser one; ``marked`` is what ``prepare`` returns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = store.stash(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), first), "nodes")
-    linked = store.stash(verified(docs, nodes, ruled_in(stars(marked), nodes)), "star-links")
+    nodes = store.stash(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), first), "nodes")
+    near = by_fingerprint(nodes).union(stars(marked)).distinct()
+    linked = store.stash(verified(docs, nodes, ruled_in(near, nodes)), "star-links")
     groups = store.stash(meetings(marked, crowded), "meetings")
     # most of what is still apart joins through few pairs; after that, every pair that is left is looked at
     for forest in (True, False):

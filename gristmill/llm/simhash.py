@@ -53,7 +53,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Majority of the bits of the shingles' XXH64; 0 for a text without words."""
-    values = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
     if not len(values):
         return 0
     ones = np.zeros(64, np.int64)

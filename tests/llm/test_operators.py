@@ -405,6 +405,25 @@ def test_near_copies_equal_brute_force(spark, documents, cell, monkeypatch):
     assert near_sets.keep_first(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_name_the_first_candidates(spark, monkeypatch):
+    rng, asked = random.Random(7), []
+    base = [" ".join(f"b{rng.randrange(10**9)}" for _ in range(400)) for _ in range(3)]
+    texts = [edited(rng, b, k % 3) for b in base for k in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = np.zeros(0, np.uint64)
+    nodes = near_sets.prepare(docs, none).select("node", "size", "fp")
+    prints = {r["node"]: r["fp"] for r in nodes.collect()}
+    root = slow_components(prints.values())
+    least = {}
+    for name, p in prints.items():
+        least[root[p]] = min(name, least.get(root[p], name))
+    want = {(least[root[p]], name) for name, p in prints.items() if least[root[p]] != name}
+    assert want and {tuple(r) for r in near_sets.by_fingerprint(nodes.distinct()).collect()} == want
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda p: asked.append(1) or links(p))
+    assert corpus_pipeline.near_dedup(spark, docs, FOLDER).count() == 3 and asked
+
+
 def test_sketches_never_rule_out_alike_sets():
     rng = np.random.default_rng(3)
     for n in (1, 9, 63, 65, 255, 257, 1025, 40_000):
