@@ -32,17 +32,21 @@ def ratio(hit: Column) -> Column:
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, name: str = "recent") -> DataFrame:
     """Rows of the same key in the ``seconds`` up to each row.
 
-    Time is cut into spans of that length and each row also serves the span
-    after its own, so one busy key is counted by many tasks.
+    Time is cut into spans of that length, so one busy key is counted by many
+    tasks. A row counts those of its own span up to its offset, and those of
+    the span before from the same offset on. Both counts run on from row to
+    row; a sliding frame would count its rows anew for each.
     """
     width = seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("__at", at).withColumn("__span", F.floor(F.col("__at") / width))
-    copies = F.array(F.struct(F.col("__span").alias("span"), F.lit(True).alias("own")),
-                     F.struct((F.col("__span") + 1).alias("span"), F.lit(False).alias("own")))
+    rows = df.withColumn("__at", at).withColumn("__span", F.floor(F.col("__at") / width)).withColumn("__offset", F.col("__at") - F.col("__span") * width)
+    copies = F.array_compact(F.array(F.struct(F.col("__span").alias("span"), F.lit(True).alias("own")),
+                                     F.when(F.col("__span").isNotNull(), F.struct((F.col("__span") + 1).alias("span"), F.lit(False).alias("own")))))
     spread = rows.withColumn("__c", F.explode(copies))
-    window = Window.partitionBy(key, "__c.span").orderBy("__at").rangeBetween(-width, 0)
-    return spread.withColumn(name, F.count("*").over(window)).filter("__c.own").drop("__at", "__span", "__c")
+    span = Window.partitionBy(key, "__c.span").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.count_if("__c.own").over(span.orderBy("__offset"))
+    before = F.count_if(~F.col("__c.own")).over(span.orderBy(F.desc("__offset")))
+    return spread.withColumn(name, own + before).filter("__c.own").drop("__at", "__span", "__offset", "__c")
 
 
 def rolling_metrics(df: DataFrame, key: str, ts: str, value: str, success: Column, width: str = "1 day") -> DataFrame:

@@ -96,3 +96,16 @@ def test_latency_of_the_newest_samples(spark):
     want = np.arange(899.0, 1000.0)
     assert (row["samples"], row["avg"], row["min"], row["max"]) == (101, 949.0, 899.0, 999.0)
     assert row["p95"] == pytest.approx(np.quantile(want, 0.95)) and row["p99"] == pytest.approx(np.quantile(want, 0.99))
+
+
+def test_trailing_count_equals_a_loop_and_grows_with_the_rows(spark):
+    rng = np.random.default_rng(4)
+    seconds = rng.integers(-9000, 9000, 300).tolist() + [0, 0, 3600, 7200, -3600]
+    rows = [(i, i % 2, s) for i, s in enumerate(seconds)] + [(900, 0, None), (901, 0, None)]
+    df = spark.createDataFrame(rows, "id int, key int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = metrics.trailing_count(df, "key", "ts", 3600)
+    assert out.columns == ["id", "key", "s", "ts", "recent"]
+    want = {i: sum(k == q and (s is None and u is None or None not in (s, u) and s - 3600 <= u <= s) for _, q, u in rows) for i, k, s in rows}
+    assert {r["id"]: r["recent"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "-3600000000" not in plan
