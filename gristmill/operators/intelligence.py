@@ -100,7 +100,7 @@ def signals(df: DataFrame, text: str = "chunk_text") -> DataFrame:
         "intent": tx.intent(lower),
         "severity": tx.severity(F.col("complaint_score"), F.col("__sentiment"), F.size(types) > 0, F.col("is_urgent")),
         "entity_count": tx.list_length(F.col("entities")), "topic_count": tx.list_length(F.col("topics")),
-        **{name: lower.rlike(pattern) for name, pattern in lx.SIGNALS.items()},
+        **{name: lower.rlike(tx.quick(pattern)) for name, pattern in lx.SIGNALS.items()},
     })
     return out.drop("__lower", "__aspects", "__types", "__sentiment", "__readability")
 

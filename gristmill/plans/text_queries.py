@@ -93,10 +93,10 @@ def text_flags(t: Tables) -> DataFrame:
 select doc_id, score, case when score >= 70 then 'easy' when score >= 50 then 'moderate' when score >= 30 then 'difficult'
   else 'very_difficult' end as label from r""")
 def readability(t: Tables) -> DataFrame:
-    c = F.col("clean")
-    n = tx.word_count(c)
-    score = tx.readability(n, tx.sentence_count(c), tx.average_word_length(F.length(c), n))
-    return documents(t).select("doc_id", score.alias("score"), tx.readability_label(score).alias("label"))
+    c, n = F.col("clean"), F.col("words")
+    rows = documents(t).withColumn("words", tx.word_count(c))
+    rows = rows.withColumn("score", tx.readability(n, tx.sentence_count(c), tx.average_word_length(F.length(c), n)))
+    return rows.select("doc_id", "score", tx.readability_label(F.col("score")).alias("label"))
 
 
 @query("X7", f"""{DOCS}{SENTIMENT}
@@ -112,8 +112,8 @@ def sentiment(t: Tables) -> DataFrame:
 @query("X8", f"""{DOCS}, a as (select doc_id, {labels_sql('l', lx.ASPECTS)} as found from d)
 select doc_id, case when len(found) = 0 then 'none' else array_to_string(found, ',') end as aspects, len(found) as n from a""")
 def aspects(t: Tables) -> DataFrame:
-    found = tx.labels_found(F.col("lower"), lx.ASPECTS)
-    return documents(t).select("doc_id", tx.joined_or_none(found).alias("aspects"), F.size(found).cast("long").alias("n"))
+    found = F.col("found")
+    return documents(t).withColumn("found", tx.labels_found(F.col("lower"), lx.ASPECTS)).select("doc_id", tx.joined_or_none(found).alias("aspects"), F.size(found).cast("long").alias("n"))
 
 
 STOP_SQL = "[" + ", ".join(quoted(w) for w in sorted(set(lx.TOPIC_STOPWORDS))) + "]"
@@ -142,8 +142,8 @@ def topic_words(t: Tables) -> DataFrame:
 select doc_id, case when len(found) = 0 then 'none' else array_to_string(found, ',') end as types,
   {count_sql('l', lx.NEGATIVE_STRONG)} * 2 + {count_sql('l', lx.NEGATIVE_MILD)} as score from a""")
 def complaints(t: Tables) -> DataFrame:
-    found = tx.labels_found(F.col("lower"), lx.COMPLAINT_TYPES)
-    return documents(t).select("doc_id", tx.joined_or_none(found).alias("types"),
+    found = F.col("found")
+    return documents(t).withColumn("found", tx.labels_found(F.col("lower"), lx.COMPLAINT_TYPES)).select("doc_id", tx.joined_or_none(found).alias("types"),
                                tx.complaint_score(F.col("lower")).cast("long").alias("score"))
 
 
@@ -161,13 +161,16 @@ select doc_id, case when n >= 4 and (score <= -0.6 or urgent) then 'CRITICAL' wh
   when n >= 1 or score <= -0.2 then 'MEDIUM' else 'LOW' end as severity from q""")
 def severity(t: Tables) -> DataFrame:
     low = F.col("lower")
-    level = tx.severity(tx.complaint_score(low), tx.sentiment(low), F.size(tx.labels_found(low, lx.COMPLAINT_TYPES)) > 0, tx.is_urgent(low))
-    return documents(t).select("doc_id", level.alias("severity"))
+    # As columns, so that each is computed once and not in every branch.
+    rows = documents(t).withColumns({
+        "complaint": tx.complaint_score(low), "score": tx.sentiment(low),
+        "typed": F.size(tx.labels_found(low, lx.COMPLAINT_TYPES)) > 0, "urgent": tx.is_urgent(low)})
+    return rows.select("doc_id", tx.severity(F.col("complaint"), F.col("score"), F.col("typed"), F.col("urgent")).alias("severity"))
 
 
 @query("X14", f"{DOCS} select doc_id, {', '.join(f'{has_sql(chr(108), p)} as {n}' for n, p in lx.SIGNALS.items())} from d")
 def domain_signals(t: Tables) -> DataFrame:
-    return documents(t).select("doc_id", *[F.col("lower").rlike(p).alias(n) for n, p in lx.SIGNALS.items()])
+    return documents(t).select("doc_id", *[F.col("lower").rlike(tx.quick(p)).alias(n) for n, p in lx.SIGNALS.items()])
 
 
 @query("X15", """select conv_id, turn, len(list_filter(regexp_split_to_array(text, '[,|;]'), lambda p: trim(p) <> '')) as n from conversations""")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import hashing as hs
+from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
 from gristmill.operators import chunking as ch
 from gristmill.operators import intelligence as intel
@@ -243,3 +244,16 @@ def test_rounding_goes_by_the_double(spark):
     assert [repr(r["r"]) for r in row] == ["8.57", "8.16", "-0.0", "2.5", "-2.5", "0.0"]
     counts = spark.createDataFrame([(686, 80)], "chars int, n int")
     assert counts.select(tx.average_word_length(F.col("chars"), F.col("n"))).first()[0] == 8.57
+
+
+def test_quick_patterns_find_the_same():
+    rng = random.Random(2)
+    lists = [lx.POSITIVE_STRONG, lx.POSITIVE_MILD, lx.NEGATIVE_STRONG, lx.NEGATIVE_MILD, lx.NEGATIONS, lx.URGENCY,
+             *lx.ASPECTS.values(), *lx.COMPLAINT_TYPES.values(), *lx.INTENTS.values(), *lx.SIGNALS.values()]
+    for pattern in lists:
+        assert tx.quick(pattern) != pattern
+        pieces = [p.replace("?", "") for p in pattern.split("|")] + [p[:-1] for p in pattern.split("|")] + [" ", "x", "day ago", "userxfriendly", "followup", "é"]
+        for _ in range(200):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+            assert re.findall(tx.quick(pattern), text) == re.findall(pattern, text)
+    assert tx.quick("a?b|cd") == "a?b|cd" and tx.quick(lx.CURRENCY) == lx.CURRENCY
