@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.session import bound_batches  # noqa: F401 - part of this module's helpers
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, seen by all executors.
@@ -55,17 +56,6 @@ def unused(columns: list[str]) -> Callable[[str], str]:
     return name
 
 
-def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Have Arrow batches closed at ``size`` bytes at the latest.
-
-    Batches are counted in rows by default, and ten thousand long texts do not
-    fit in a task. A smaller bound that the session has already is kept.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= size:
-        spark.conf.set(key, str(size))
-
-
 def byte_count(docs: DataFrame, column: str) -> int:
     """Bytes of a text or binary column, by which work is split."""
     return docs.agg(F.sum(F.octet_length(column))).head()[0] or 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
+from gristmill.session import bound_batches
 
 #: A matcher turns the normalised text into a score column.
 Matcher = Callable[[Column], Column]
@@ -106,6 +107,7 @@ def classify(df: DataFrame, text: str, rules: dict[str, list[Matcher]] | None =
     A clear leader wins, a close second sends the text to ``fallback``; stores
     that are not ``available`` are switched off.
     """
+    bound_batches(df.sparkSession)  # whole texts go through Python to be folded
     rules = rules or default_rules()
     normal = F.col("__normal")
     scored = []

@@ -257,3 +257,17 @@ def test_quick_patterns_find_the_same():
             text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
             assert re.findall(tx.quick(pattern), text) == re.findall(pattern, text)
     assert tx.quick("a?b|cd") == "a?b|cd" and tx.quick(lx.CURRENCY) == lx.CURRENCY
+
+
+def test_classifying_long_texts_holds_few_bytes_at_a_time(spark):
+    long = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("count rows "), 1000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        routed = routing.classify(long, "text").select("label")
+        held = F.pandas_udf(lambda s: s.map(len).sum() + 0 * s.map(len), "long")
+        assert long.agg(F.max(held("text"))).first()[0] <= 9 << 20
+        assert {r["label"] for r in routed.limit(5).collect()} == {"structured"}
+    finally:
+        spark.conf.set(key, before)
