@@ -6,10 +6,14 @@ spelled as Unicode classes (``(?U)``) wherever text of any language may occur.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,6 +235,48 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.array_distinct(F.filter(let(words(text), runs), lambda s: s != ""))
 
 
+def shingle_hashes(words: pa.ListArray, size: int = 5) -> list[np.ndarray]:
+    """64-bit hashes of the distinct runs of ``size`` words of each row; fewer words are one run."""
+    named = words.flatten().dictionary_encode()
+    known = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in named.dictionary.to_pylist()], np.uint64)
+    hashed = known[named.indices.to_numpy()]
+    ends = np.cumsum([0, *pc.list_value_length(words).to_numpy(zero_copy_only=False).tolist()])
+
+    def mixed(total: np.ndarray, word: np.ndarray) -> np.ndarray:
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
+        return (total ^ (total >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+    runs = np.full(max(len(hashed) - size + 1, 0), size, np.uint64)
+    for i in range(size):
+        runs = mixed(runs, hashed[i:i + len(runs)])
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if b - a >= size:
+            out.append(np.unique(runs[a:b - size + 1]))
+        else:
+            short = np.full(min(b - a, 1), b - a, np.uint64)
+            for i in range(a, b):
+                short = mixed(short, hashed[i:i + 1])
+            out.append(short)
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
+def shingle_print(form: pa.Array) -> pa.Array:
+    """Digest of a text in dedup or compare form, and hashes of its distinct runs of five words."""
+    form = form.cast(pa.large_string())
+    words = pc.split_pattern(form, " ")
+    flat, owner = words.flatten(), pc.list_parent_indices(words)
+    kept = pc.not_equal(flat, "")
+    width = np.bincount(owner.filter(kept).to_numpy(), minlength=len(form))
+    words = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *width.tolist()])), flat.filter(kept))
+    sets = shingle_hashes(words)
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+    digests = [hashlib.sha256(t.encode()).digest() for t in form.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["digest", "set"])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import hashing as hs
 from gristmill.functions import text as tx
 from gristmill.operators import setjoin
-from gristmill.session import cut_lineage
+from gristmill.session import bound_batches, cut_lineage
 
 STRATEGIES = ("primary_key", "text_hash", "composite_payload_hash", "primary_key_or_hash")
 
@@ -80,18 +80,9 @@ def best_per_text(df: DataFrame, text: str = "chunk_text", score: str = "score",
 # --- near duplicates inside one query's result set -----------------------------------------
 
 
-def alike(rows: DataFrame, shingles: str, threshold: float) -> DataFrame:
-    """(query_id, earlier, later, similarity): Jaccard of at least ``threshold``.
-
-    ``rows`` has query_id, an ordered struct ``at`` that is unique in a query,
-    and distinct shingles.
-    """
-    return setjoin.links(_sets(rows, shingles), threshold)
-
-
-def _sets(rows: DataFrame, shingles: str, marks: list[str] | None = None) -> DataFrame:
+def _sets(rows: DataFrame, marks: list[str] | None = None) -> DataFrame:
     named = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in marks or []]).cast("array<string>")
-    return rows.select("query_id", "at", named.alias("marks"), F.transform(shingles, lambda s: F.xxhash64(s)).alias("set"))
+    return rows.select("query_id", "at", named.alias("marks"), F.col("__print.set").alias("set"))
 
 
 def _without_losers(rows: DataFrame, same: list[str], lost: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -99,17 +90,18 @@ def _without_losers(rows: DataFrame, same: list[str], lost: Callable[[DataFrame]
 
     Rows equal in ``same`` share the fate of the first of them or repeat it.
     """
+    empty = F.size("__print.set") == 0
     place = F.row_number().over(Window.partitionBy("query_id", *same).orderBy("at"))
-    first = cut_lineage(rows.withColumn("__n", F.when(F.col("__form") == "", 1).otherwise(place)).where("__n = 1").drop("__n"))
-    return first.join(lost(first.where("__form != ''")), ["query_id", "at"], "left_anti")
+    first = cut_lineage(rows.withColumn("__n", F.when(empty, 1).otherwise(place)).where("__n = 1").drop("__n"))
+    return first.join(lost(first.where(~empty)), ["query_id", "at"], "left_anti")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", rank: str = "rank", threshold: float = 0.85) -> DataFrame:
     """Greedy by rank: a text goes if its 5-word shingles reach ``threshold``
     Jaccard with a kept one, or its normal form is equal. Empty texts stay."""
-    rows = df.withColumns({"__form": tx.dedup_form(F.col(text)), "at": F.struct(rank)})
-    rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
-    kept = _without_losers(rows, ["__form"], lambda first: setjoin.losers(_sets(first, "__shingles"), threshold))
+    bound_batches(df.sparkSession)
+    rows = df.withColumns({"__print": tx.shingle_print(tx.dedup_form(F.col(text))), "at": F.struct(rank)})
+    kept = _without_losers(rows, ["__print.digest"], lambda first: setjoin.losers(_sets(first), threshold))
     return kept.select(*df.columns)
 
 
@@ -122,13 +114,13 @@ def drop_similar(df: DataFrame, text: str = "chunk_text", score: str = "score",
     0.97 alike."""
     keys = [k for k in METADATA_KEYS if k in df.columns]
     at = F.struct((-F.coalesce(F.col(score), F.lit(float("-inf")))).alias("down"), F.col(tie).alias("tie"))
-    rows = df.withColumns({"__form": tx.compare_form(F.col(text)), "at": at})
-    rows = rows.withColumn("__shingles", tx.shingles(F.col("__form")))
+    bound_batches(df.sparkSession)
+    rows = df.withColumns({"__print": tx.shingle_print(tx.compare_form(F.col(text))), "at": at})
 
     def linked(similarity: float, one: list, two: list) -> bool:
         return similarity > 0.97 or sum(a == b != "" for a, b in zip(one, two)) >= 2
 
-    return _without_losers(rows, ["__form", *keys], lambda first: setjoin.losers(_sets(first, "__shingles", keys), threshold, linked)).select(*df.columns)
+    return _without_losers(rows, ["__print.digest", *keys], lambda first: setjoin.losers(_sets(first, keys), threshold, linked)).select(*df.columns)
 
 
 def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id", threshold: float = 0.92) -> DataFrame:
@@ -138,11 +130,14 @@ def similar_pairs(df: DataFrame, text: str = "chunk_text", key: str = "chunk_id"
     paired with it alone (similarity 1), and pairs of different forms are
     reported between representatives.
     """
-    rows = df.select("query_id", F.struct(F.col(key).alias("key")).alias("at"), tx.compare_form(F.col(text)).alias("form")).where("form != ''")
-    rows = rows.withColumn("digest", F.sha2("form", 256))
-    firsts = rows.groupBy("query_id", "digest").agg(F.min("at").alias("first"))
-    rows = cut_lineage(rows.join(firsts, ["query_id", "digest"]))
-    copies = rows.where("at != first").select("query_id", "first.key", "at", F.lit(1.0).alias("similarity")).distinct()
-    links = alike(rows.where("at = first").dropDuplicates(["query_id", "at"]).withColumn("parts", tx.shingles(F.col("form"))), "parts", threshold)
+    bound_batches(df.sparkSession)
+    rows = df.select("query_id", F.struct(F.col(key).alias("key")).alias("at"), tx.shingle_print(tx.compare_form(F.col(text))).alias("__print"))
+    rows = cut_lineage(rows).where(F.size("__print.set") > 0)
+    digest = F.col("__print.digest").alias("digest")
+    firsts = rows.groupBy("query_id", digest).agg(F.min("at").alias("first"))
+    placed = cut_lineage(rows.select("query_id", "at", digest).join(firsts, ["query_id", "digest"]).select("query_id", "first", "at"))
+    copies = placed.where("at != first").select("query_id", "first.key", "at", F.lit(1.0).alias("similarity")).distinct()
+    sets = rows.join(placed.where("at = first").select("query_id", "at").distinct(), ["query_id", "at"], "left_semi").dropDuplicates(["query_id", "at"])
+    links = setjoin.links(cut_lineage(_sets(sets)), threshold)
     return links.select("query_id", F.col("earlier.key").alias("left"), F.col("later.key").alias("right"), "similarity").union(
         copies.select("query_id", F.col("key").alias("left"), F.col("at.key").alias("right"), "similarity"))

@@ -11,7 +11,7 @@ meets under several tokens is settled at the first of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gristmill.session import cut_lineage
+from gristmill.session import bound_batches, cut_lineage
 
 #: Members of one cell of a crowded token, and tokens compared in one task.
 CELL, TASK_TOKENS = 2000, 4_000_000
@@ -29,21 +29,78 @@ RANGES = 256
 
 
 def reduced(rows: DataFrame, threshold: float) -> DataFrame:
-    """query_id, at, marks, size, tokens, lone, first of the sets that can be alike to another.
+    """query_id, at, marks, size, tokens, spectrum, lone, first of the sets that can be alike to another.
 
     ``rows`` has query_id, an ordered ``at`` (a struct) that is unique in a query,
     ``set`` of distinct 64-bit tokens, and ``marks``. ``tokens`` are those shared
     with another set of the query, rarest first, ``lone`` counts the others, and
     the first ``first`` of the tokens are met by any set that is alike.
     """
-    sized = rows.withColumn("size", F.size("set")).where("size > 0")
-    parts = sized.select("query_id", "at", F.explode("set").alias("token"))
-    seen = parts.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed = parts.join(seen, ["query_id", "token"]).groupBy("query_id", "at").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by"))
-    size, shared = F.col("size"), F.size("by")
+    sized = rows.withColumns({"size": F.size("set"), "row": F.xxhash64("query_id", "at")}).where("size > 0 and query_id is not null")
+    size, shared = F.col("size"), F.size("tokens")
     first = size - F.ceil(size * threshold - 1e-9).cast("int") + 1 - (size - shared)
-    return sized.join(listed, ["query_id", "at"]).where(first > 0).select(
-        "query_id", "at", "marks", "size", F.transform("by", lambda b: b["token"]).alias("tokens"), (size - shared).alias("lone"), first.alias("first"))
+    return sized.join(_shared(sized), "row").where(first > 0).select(
+        "query_id", "at", "marks", "size", "tokens", "spectrum", (size - shared).alias("lone"), first.alias("first"))
+
+
+def spectrum(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each range of values; at 255 a count stops, which only brings spectra closer."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
+def _shared(sized: DataFrame) -> DataFrame:
+    """(row, tokens, spectrum): tokens that a second row of the query holds, rarest first.
+
+    A token goes by a hash of the query and itself. Tokens travel in blocks,
+    first to the part of the token, where they are counted, then to the part of the row.
+    """
+    spark = sized.sparkSession
+    bound_batches(spark)
+    held = sized.agg(F.sum(F.col("size").cast("long"))).head()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // TASK_TOKENS + 1)
+
+    def blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+        by = np.argsort(part, kind="stable")
+        kinds, starts = np.unique(part[by], return_index=True)
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(by)]))
+        return pa.table({"part": pa.array(kinds.astype(np.int64)), **{
+            n: pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary()) for n, c in ((n, c[by]) for n, c in columns.items())}})
+
+    def read(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("set")
+            width = np.diff(sets.offsets.to_numpy())
+            query, name = (np.repeat(batch.column(c).to_numpy(), width) for c in ("query", "row"))
+            token = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ query.view(np.uint64)
+            token = (token ^ (token >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            if len(token):
+                yield from blocks(token % np.uint64(parts), {"token": token, "name": name}).to_batches()
+
+    def count(group: pa.Table) -> pa.Table:
+        token, name = read(group, "token", np.uint64), read(group, "name", np.int64)
+        by = np.argsort(token, kind="stable")
+        token, name = token[by], name[by]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        times = np.diff(np.append(starts, len(token)))
+        n = np.repeat(times, times).astype(np.int32)
+        kept = n > 1
+        return blocks(name[kept].view(np.uint64) % np.uint64(parts), {"token": token[kept], "name": name[kept], "n": n[kept]})
+
+    def gather(group: pa.Table) -> pa.Table:
+        token, name, n = read(group, "token", np.uint64), read(group, "name", np.int64), read(group, "n", np.int32)
+        by = np.lexsort((token, n, name))
+        token, name = token[by], name[by]
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        ends = np.append(starts, len(name))
+        return pa.table({"row": pa.array(name[starts]), "tokens": pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(token.view(np.int64))),
+                         "spectrum": pa.array([spectrum(token[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+
+    dealt = sized.select("row", F.xxhash64("query_id").alias("query"), "set").mapInArrow(deal, "part long, token binary, name binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "part long, token binary, name binary, n binary")
+    return counted.groupBy("part").applyInArrow(gather, "row long, tokens array<long>, spectrum binary")
 
 
 def _cells(members: DataFrame, directed: bool) -> DataFrame:
@@ -81,10 +138,13 @@ class _Group:
         order = pc.sort_indices(pa.table({"cell": table.column("cell"), **fields}), [("cell", "ascending"), *((f, "ascending") for f in fields)])
         self.order = order.to_numpy()
         self.query = table.column("query_id").combine_chunks().dictionary_encode("encode").indices.to_numpy()
-        tokens = table.column("tokens").combine_chunks()
-        ends = tokens.offsets.to_numpy()
-        flat = tokens.values.to_numpy(zero_copy_only=False)
-        self.tokens = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.spectra = np.frombuffer(b"".join(table.column("spectrum").to_pylist()), np.uint8).reshape(-1, RANGES)
+        self.tokens = []
+        if "tokens" in table.column_names:
+            tokens = table.column("tokens").combine_chunks()
+            ends = tokens.offsets.to_numpy()
+            flat = tokens.values.to_numpy(zero_copy_only=False)
+            self.tokens = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
         self.sorted: dict[int, np.ndarray] = {}
 
     def cells(self):
@@ -95,11 +155,7 @@ class _Group:
                 yield rows
 
     def spectrum(self, rows: np.ndarray) -> np.ndarray:
-        """How many tokens of each row fall into each range of values."""
-        out = np.zeros((len(rows), RANGES), np.int16)
-        for k, r in enumerate(rows):
-            out[k] = np.bincount(self.tokens[r].view(np.uint64) >> np.uint64(56), minlength=RANGES)
-        return out
+        return self.spectra[rows].astype(np.int16)
 
     def candidates(self, k: int, rows: np.ndarray, spectra: np.ndarray) -> np.ndarray:
         """Which of the rows before the k-th pass the filters against it."""
@@ -126,15 +182,37 @@ class _Group:
         return not np.isin(*before, assume_unique=True).any()
 
 
-def _met(members: DataFrame, directed: bool) -> DataFrame:
-    """Cells joined with the sets of their members, dealt to tasks by cell."""
+def _met(members: DataFrame, threshold: float, directed: bool) -> DataFrame:
+    """Cells joined with the sets of their members, dealt to tasks by cell.
+
+    What passes the filters is found by sizes and spectra alone first, so that
+    only members with a likely partner in a cell bring their whole sets there.
+    """
     spark = members.sparkSession
     cells = cut_lineage(_cells(members, directed))
-    rows = cells.join(members.select("query_id", "at", "marks", "size", "tokens", "lone", "first"), ["query_id", "at"])
-    held = cells.count()
+    columns = cells.columns
+
+    def likely(table: pa.Table) -> pa.Table:
+        group, kept = _Group(table, threshold), np.zeros(len(table), bool)
+        looks, found = group.column["looks"], group.column["found"]
+        for rows in group.cells():
+            spectra = group.spectrum(rows)
+            for k in np.flatnonzero(looks[rows]):
+                near = rows[group.candidates(k, rows, spectra)]
+                near = near[found[near]]
+                kept[near] = True
+                kept[rows[k]] |= len(near) > 0
+        return table.select(columns).filter(pa.array(kept))
+
+    def dealt(rows: DataFrame, tokens: float) -> DataFrame:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens) // TASK_TOKENS + 1)
+        return rows.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
+
+    light = cells.join(members.select("query_id", "at", "size", "lone", "spectrum"), ["query_id", "at"])
+    kept = cut_lineage(dealt(light, cells.count() * RANGES / 8).groupBy("part").applyInArrow(likely, cells.schema))
+    rows = kept.join(members.select("query_id", "at", "marks", "size", "tokens", "lone", "spectrum"), ["query_id", "at"])
     width = members.agg(F.sum(F.size("tokens")) / F.count(F.lit(1))).head()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(held * width) // TASK_TOKENS + 1)
-    return rows.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
+    return dealt(rows, kept.count() * width)
 
 
 def _kinds(members: DataFrame) -> StructType:
@@ -166,7 +244,7 @@ def links(rows: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"query_id": table.column("query_id").take(two), "later": table.column("at").take(two),
                          "earlier": table.column("at").take(one), "similarity": pa.array(value, pa.float64())})
 
-    found = _met(members, False).groupBy("part").applyInArrow(run, _kinds(members).add("similarity", DoubleType()))
+    found = _met(members, threshold, False).groupBy("part").applyInArrow(run, _kinds(members).add("similarity", DoubleType()))
     return found.select("query_id", "earlier", "later", "similarity")
 
 
@@ -205,7 +283,7 @@ def losers(rows: DataFrame, threshold: float, linked: Callable[[float, list, lis
         return pa.table({"query_id": table.column("query_id").take(two), "later": table.column("at").take(two), "earlier": table.column("at").take(one)})
 
     while True:
-        met = _met(members, True).groupBy("part").applyInArrow(run, _kinds(members)).groupBy("query_id", "later").agg(F.min("earlier").alias("earlier"))
+        met = _met(members, threshold, True).groupBy("part").applyInArrow(run, _kinds(members)).groupBy("query_id", "later").agg(F.min("earlier").alias("earlier"))
         found = cut_lineage(met)
         waits = found.select("query_id", F.col("later").alias("earlier"), F.lit(True).alias("waits"))
         judged = found.join(waits, ["query_id", "earlier"], "left")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.functions import text as tx
 from gristmill.operators import evidence, setjoin
 
 
@@ -75,3 +76,23 @@ def test_context_repeats_are_judged_on_whole_texts(spark):
     assert all(len(r["context_text"]) <= 21 and r["is_item"] for r in got)
     few = evidence.clean_context(df, "chunk_text", "score", "chunk_id", items=1, sources=2).collect()
     assert [(r["is_item"], r["is_source"]) for r in sorted(few, key=lambda r: r["position"])] == [(True, True), (False, True)]
+
+
+def test_hashed_runs_are_the_distinct_runs_of_words(spark):
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f a b c d e f", "x  y z", "é ß 東京 a b c", "d c b a"]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select(
+        "i", tx.shingles(F.col("t")).alias("runs"), tx.shingle_print(F.col("t")).alias("p")).collect()
+    names = {}
+    for r in rows:
+        assert len(set(r["p"]["set"])) == len(r["p"]["set"]) == len(r["runs"])
+        for run in r["runs"]:
+            names.setdefault(run, set(r["p"]["set"])).intersection_update(r["p"]["set"])
+    assert {i for r in rows for i in r["p"]["set"]} == set().union(*names.values()) and len({r["p"]["digest"] for r in rows}) == len(texts)
+
+
+def test_sets_without_a_likely_partner_stay_where_they_are(spark):
+    rows = [("q", 0, [1, *range(10, 40)], ["", "", ""]), ("q", 1, [1, *range(100, 130)], ["", "", ""]), ("q", 2, list(range(200, 230)), ["", "", ""]),
+            ("q", 3, list(range(200, 231)), ["", "", ""])]
+    members = setjoin.reduced(table(spark, rows), 0.0).withColumn("open", F.lit(True))
+    met = setjoin._met(members, 0.8, False)
+    assert {r["at"]["down"] for r in met.select("at").collect()} == {2, 3}
