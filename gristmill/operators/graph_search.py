@@ -22,6 +22,8 @@ from gristmill.session import cut_lineage
 
 #: Near links of a vector (as many may lead back to it), far links, and vectors of a shard.
 NEAR, FAR, SHARD_ROWS = 12, 2, 20_000
+#: Queries that one task holds beside its shard.
+QUERIES = 20_000
 #: Similarities computed at a time while linking.
 TILE = 4_000_000
 
@@ -129,7 +131,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 128, query_id
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
     spread = index.select("shard").distinct().withColumn("one", F.lit(1)).groupBy("one").agg(F.collect_list("shard").alias("shards")).head()
     shards = spread["shards"] if spread else [0]
-    every = asked.withColumn("shard", F.explode(F.lit(sorted(shards)).cast("array<int>")))
+    slices = asked.count() // QUERIES + 1
+    every = asked.withColumns({"slice": F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"), "shard": F.explode(F.lit(sorted(shards)).cast("array<int>"))})
+    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def run(key: tuple, shard: pa.Table, wanted: pa.Table) -> pa.Table:
         found, names, scores, touched = [], [], [], []
@@ -137,10 +141,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 128, query_id
             ids, size = shard.column("ids")[0].as_py(), shard.column("size")[0].as_py()
             units = np.frombuffer(shard.column("units")[0].as_py(), np.float64).reshape(-1, size)
             links = np.frombuffer(shard.column("links")[0].as_py(), np.int32).reshape(len(units), -1)
-            for name, raw in zip(wanted.column("query_id").to_pylist(), wanted.column("v").to_pylist()):
-                if len(raw) != size:
+            asked = wanted.column("v").combine_chunks()
+            ends, flat = asked.offsets.to_numpy(), asked.values.to_numpy(zero_copy_only=False)
+            for name, low, high in zip(wanted.column("query_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if high - low != size:
                     continue
-                query = np.array(raw) / np.linalg.norm(raw)
+                query = flat[low:high] / np.linalg.norm(flat[low:high])
                 nodes, n = walk(units, links, query, max(ef, k))
                 exact = (units[nodes] * query).sum(axis=1)
                 for at in sorted(range(len(nodes)), key=lambda i: (-exact[i], ids[nodes[i]]))[:k]:
@@ -153,7 +159,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 128, query_id
                          "score": pa.array(scores, pa.float64()), "here": pa.array(touched, pa.int64())})
 
     schema = StructType([StructField("query_id", kinds[1]), StructField("point_id", kinds[0])]).add("score", "double").add("here", "long")
-    hits = index.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(run, schema)
+    hits = index.groupBy("shard", "slice").cogroup(every.groupBy("shard", "slice")).applyInArrow(run, schema)
     of = Window.partitionBy("query_id")
     hits = hits.withColumn("touched", F.sum("here").over(of)).withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "point_id")).cast("long"))
     return hits.where(F.col("rank") <= k).select("query_id", "point_id", "score", "rank", "touched")

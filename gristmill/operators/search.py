@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,8 @@ from gristmill.operators import vectors as vec
 
 #: Largest block of query vectors sent to every task.
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+#: Scores computed at a time, and queries whose hits a task passes on at a time.
+TILE, DRAIN = 2_000_000, 1000
 #: Scores are rounded so that the order does not depend on how rows are batched.
 SCORE_PLACES = 6
 
@@ -50,17 +53,18 @@ class _Best:
         self.floor = np.full(count, -np.inf if threshold is None else threshold)
         self.hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(count)]
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        floor = self.floor
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """Scores of the queries from ``first`` on, a row each."""
+        floor = self.floor[first:first + len(scores)]
         if self.k is not None and scores.shape[1] > self.k:
             edge = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
             floor = np.maximum(floor, edge)
         for q in range(scores.shape[0]):
             at = np.flatnonzero(scores[q] >= floor[q])
             if len(at):
-                self.hits[q].append((scores[q][at], ids[at]))
+                self.hits[first + q].append((scores[q][at], ids[at]))
                 if self.k is not None:
-                    self._trim(q)
+                    self._trim(first + q)
 
     def _trim(self, q: int) -> None:
         scores = np.concatenate([s for s, _ in self.hits[q]])
@@ -89,17 +93,21 @@ def _search_block(points: DataFrame, block: pd.DataFrame, query_id: str, point_i
         best = _Best(len(queries), k, threshold)
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for q, scores, ids in best.drain():
+            found = best.drain()
+            while part := list(islice(found, DRAIN)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), q, dtype=np.int32)), pa.array(ids), pa.array(scores)],
-                    names=["__q", "point_id", "score"])
+                    [pa.array(np.repeat([q for q, _, _ in part], [len(i) for _, _, i in part]).astype(np.int32)), pa.array(np.concatenate([i for _, _, i in part])),
+                     pa.array(np.concatenate([s for _, s, _ in part]))], names=["__q", "point_id", "score"])
 
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                best.add(_scores(queries, vec.as_matrix(batch.column(1)), metric), ids)
-            if k is None:
-                yield from rows()
+            if not batch.num_rows:
+                continue
+            ids, matrix = batch.column(0).to_numpy(zero_copy_only=False), vec.as_matrix(batch.column(1))
+            step = max(1, TILE // len(ids))
+            for first in range(0, len(queries), step):
+                best.add(_scores(queries[first:first + step], matrix, metric), ids, first)
+                if k is None:
+                    yield from rows()
         yield from rows()
 
     usable = points.filter(F.size(vector) == matrix.shape[1]).select(point_id, vector)

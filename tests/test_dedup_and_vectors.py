@@ -225,3 +225,19 @@ def test_graph_walks_find_neighbours_and_touch_few(spark):
         assert all(r["touched"] < 0.2 * 6000 * (20_000 // rows if rows < 20_000 else 1) for r in got)
         assert [r["point_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][:4] == [50, 100, 101, 102]
     assert graph_search.search(graph_search.build(points.limit(0)), asked, 10).count() == 0
+
+
+def test_search_holds_few_scores_and_queries_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    scores, ids = rng.random((40, 30)), np.arange(30)
+    whole, tiled = se._Best(40, 5, None), se._Best(40, 5, None)
+    whole.add(scores, ids)
+    for first in range(0, 40, 7):
+        tiled.add(scores[first:first + 7], ids, first)
+    assert [(q, i.tolist()) for q, _, i in whole.drain()] == [(q, i.tolist()) for q, _, i in tiled.drain()]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))], "point_id int, vector array<double>")
+    asked = rows.withColumnRenamed("point_id", "query_id").where("query_id % 3 = 0")
+    index = graph_search.build(rows, shard_rows=20)
+    one = sorted(graph_search.search(index, asked, 3).collect())
+    monkeypatch.setattr(graph_search, "QUERIES", 6)
+    assert sorted(graph_search.search(index, asked, 3).collect()) == one and len(one) == 60
