@@ -261,9 +261,9 @@ def shingle_hashes(words: pa.ListArray, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-@F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType())]))
 def shingle_print(form: pa.Array) -> pa.Array:
-    """Digest of a text in dedup or compare form, and hashes of its distinct runs of five words."""
+    """Digest of a text in dedup or compare form, hashes of its distinct runs of five words, and its number of words."""
     form = form.cast(pa.large_string())
     words = pc.split_pattern(form, " ")
     flat, owner = words.flatten(), pc.list_parent_indices(words)
@@ -274,7 +274,8 @@ def shingle_print(form: pa.Array) -> pa.Array:
     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
     digests = [hashlib.sha256(t.encode()).digest() for t in form.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["digest", "set"])
+    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                                       pa.array(width.astype(np.int32))], ["digest", "set", "n"])
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from gristmill.operators import evidence as ev
 from gristmill.operators import relations as rel
 from gristmill.operators import search as se
 from gristmill.plans.registry import Tables, query
+from gristmill.session import bound_batches
 
 FORM = r"trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^\p{L}\p{N}_ ]', '', 'g'))"
 HITS = """with h as (select source as query_id, doc_id as chunk_id, doc_id as record_id, text, lang as topic, round((n_chars % 1000) / 1000, 3) as score,
@@ -276,9 +277,14 @@ def retrieve_in_hit_order(t: Tables) -> DataFrame:
  y as (select doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from d where len(w) >= 5)
 select item_id, count(distinct s) as shared from x join (select distinct s from y) using (s) group by item_id""")
 def shingles_shared_with_benchmark(t: Tables) -> DataFrame:
-    """Shingles of each benchmark item that occur in any document."""
+    """Shingles of each benchmark item that occur in any document; texts of fewer than five words have none.
+
+    Shingles go by 64-bit hashes, and only those that the benchmark holds leave the documents.
+    """
     def parts(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(tx.shingles(tx.dedup_form(F.col("text")))).alias("s"))
+        return df.select(key, tx.shingle_print(tx.dedup_form(F.col("text"))).alias("p")).where("p.n >= 5").select(key, F.explode("p.set").alias("s"))
 
-    known = parts(t.spread("documents", "doc_id"), "doc_id").select("s").distinct()
-    return parts(t.benchmark, "item_id").join(known, "s", "left_semi").groupBy("item_id").agg(F.count("*").alias("shared"))
+    bound_batches(t.spark)
+    wanted = parts(t.benchmark, "item_id")
+    known = parts(t.spread("documents", "doc_id"), "doc_id").select("s").join(wanted.select("s").distinct(), "s", "left_semi").distinct()
+    return wanted.join(known, "s", "left_semi").groupBy("item_id").agg(F.count("*").alias("shared"))
