@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
+from gristmill.session import bound_batches, cut_lineage
 
-#: Copies of each vocabulary row, so that one frequent term is joined by many tasks.
-TERM_COPIES = 8
+#: Most frequent terms, which every task holds.
+COMMON_TERMS = 100_000
 
 OPTIONAL = ("entities", "topics", "aspects", "sentiment", "source_type", "document_type")
 
@@ -26,38 +34,64 @@ COLUMNS = (
 )
 
 
+def _term_counts(common: Broadcast, texts: int, top: int) -> Callable[[Column], Column]:
+    """term, tf, first and df of the words of a text that can be among its ``top``.
+
+    Words outside ``common`` all stay, without df; of the others those below the best ``top`` go.
+    """
+    @F.arrow_udf(T.ArrayType(T.StructType().add("term", "string").add("tf", "integer").add("first", "integer").add("df", "long")))
+    def counted(words: pa.Array) -> pa.Array:
+        known, out = common.value, []
+        for text in words:
+            listed = text.as_py() or []
+            times, first = Counter(listed), {}
+            for place, word in enumerate(listed):
+                first.setdefault(word, place)
+            rows = [(w, n, first[w], known.get(w)) for w, n in times.items()]
+            score = [n * math.log((texts + 1) / (df + 1)) if df else math.inf for _, n, _, df in rows]
+            ranked = sorted(x for x in score if x < math.inf)
+            least = ranked[-top] if len(ranked) > top else -math.inf
+            out.append([dict(zip(("term", "tf", "first", "df"), r)) for r, x in zip(rows, score) if x >= least - 1e-6])
+        return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32()), ("first", pa.int32()), ("df", pa.int64())])))
+
+    return counted
+
+
 def topic_words(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     """``key, topics_keywords``: best words of each text by TF-IDF.
 
-    N counts all texts, empty ones too; ties keep the earlier word. The
-    vocabulary stays distributed, and its join is salted by text because a
-    single word may occur in a third of all texts.
+    N counts all texts, empty ones too; ties keep the earlier word. The most
+    frequent words travel to the texts, where the best of them are found; only
+    these and the rarer words of a text, which the rest of the vocabulary
+    joins, leave it.
     """
     stop = sorted(set(lx.TOPIC_STOPWORDS))
     letters = F.regexp_replace(F.lower(tx.clean(F.col(text))), r"[^a-z\s]", " ")
     kept = F.filter(tx.words(letters), lambda w: (F.length(w) > 3) & ~w.isin(stop))
+    bound_batches(df.sparkSession)
     listed = df.select(F.col(key).alias("__key"), kept.alias("__words"))
-    terms = (
-        listed.select("__key", F.size("__words").alias("__total"), F.posexplode("__words").alias("__pos", "__term"))
-        .groupBy("__key", "__total", "__term").agg(F.count("*").alias("__tf"), F.min("__pos").alias("__first"))
-    )
-    copies = F.array(*[F.lit(i) for i in range(TERM_COPIES)])
     # Counted from the distinct words of each text, which needs no (text, word) shuffle.
-    vocabulary = (
+    vocabulary = cut_lineage(
         listed.select(F.explode(F.array_distinct("__words")).alias("__term"))
-        .groupBy("__term").agg(F.count("*").alias("__df")).withColumn("__copy", F.explode(copies))
+        .groupBy("__term").agg(F.count("*").alias("__df"))
     )
     count = df.agg(F.count("*")).scalar()
+    texts = df.count()
+    common = {r["__term"]: r["__df"] for r in vocabulary.orderBy(F.desc("__df"), "__term").limit(COMMON_TERMS).collect()}
+    counted = _term_counts(df.sparkSession.sparkContext.broadcast(common), texts, top)
+    terms = listed.select("__key", F.size("__words").alias("__total"), F.explode(counted("__words")).alias("__t")).select(
+        "__key", "__total", F.col("__t.term").alias("__word"), F.col("__t.tf").alias("__tf"), F.col("__t.first").alias("__first"), F.col("__t.df").alias("__known"))
+    # A word has no space, so what is known already meets nothing and is spread by its text.
+    asked = F.when(F.col("__known").isNull(), F.col("__word")).otherwise(F.concat(F.lit(" "), F.xxhash64("__key").cast("string")))
     scored = (
-        terms.withColumn("__copy", F.pmod(F.xxhash64("__key"), F.lit(TERM_COPIES)).cast("int"))
-        .join(vocabulary, ["__term", "__copy"])
+        terms.withColumn("__term", asked).join(vocabulary, "__term", "left")
         .withColumn("__score", F.round(
-            F.col("__tf") / F.col("__total") * F.log((count + 1) / (F.col("__df") + 1)), 12))
+            F.col("__tf") / F.col("__total") * F.log((count + 1) / (F.coalesce("__known", "__df") + 1)), 12))
     )
     place = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("__score"), "__first"))
     best = (
         scored.withColumn("__n", place).filter(F.col("__n") <= top)
-        .groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__n", "__term"))).alias("__best"))
+        .groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__n", F.col("__word").alias("__term")))).alias("__best"))
         .select(F.col("__key").alias(key), F.array_join(F.col("__best.__term"), ",").alias("topics_keywords"))
     )
     return df.select(key).join(best, key, "left").fillna("none", ["topics_keywords"])

@@ -13,6 +13,8 @@ from gristmill.functions import text as tx
 from gristmill.operators import chunking as ch
 from gristmill.operators import intelligence as intel
 from gristmill.operators import routing
+from gristmill.plans import catalog
+from gristmill.plans.registry import REGISTRY
 
 REVIEWS = {
     1: "Excellent phone, I love it. Good value!",
@@ -62,6 +64,22 @@ def test_topic_words_prefer_rare_words(spark):
     assert got[1].split(",")[0] == "battery" and got[1].split(",")[-1] == "camera" and got[3] == "none"
 
 
+@pytest.mark.parametrize("common", [0, 1, 3])
+def test_topic_words_are_the_same_with_few_common_words(spark, monkeypatch, common):
+    df = spark.createDataFrame([(i, " ".join(f"word{chr(97 + (i * k) % 9)}" for k in range(1, 14))) for i in range(20)], "id int, t string")
+    want = sorted(intel.topic_words(df, "id", "t").collect())
+    monkeypatch.setattr(intel, "COMMON_TERMS", common)
+    assert sorted(intel.topic_words(df, "id", "t").collect()) == want
+
+
+def test_texts_of_fewer_than_five_words_share_no_shingles(spark, tmp_path):
+    long = "one two three four five six"
+    spark.createDataFrame([(1, "same four words here"), (2, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "Same four words here"), (2, f"a {long}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    catalog.load()
+    assert [tuple(r) for r in REGISTRY["shingles_shared_with_benchmark"](spark, str(tmp_path)).collect()] == [(2, 2)]
+
+
 def plain_chunks(text, size, overlap, least, most):
     """Sequential restatement used only to check the distributed version."""
     def windows(t):
