@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, StringIndexer
+from pyspark.ml.feature import IDF, IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lx
 from gristmill.functions import text as tx
-from gristmill.session import bound_batches
+from gristmill.session import bound_batches, cut_lineage
 
+#: Words of which a task remembers the n-grams.
+REMEMBERED = 200_000
 #: A matcher turns the normalised text into a score column.
 Matcher = Callable[[Column], Column]
 
@@ -152,9 +157,12 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams of each word padded by one space on both sides."""
     padded = F.transform(tx.words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def sized(word: Column, n: int) -> Column:
+        # a lambda of two arguments would take n for the place in the array
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
+
     def grams(word: Column) -> Column:
-        sizes = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))),
-                             lambda i, n=n: F.substr(word, i, F.lit(n))) for n in range(low, high + 1)]
+        sizes = [sized(word, n) for n in range(low, high + 1)]
         return F.array_distinct(F.concat(*sizes)) if low == high else F.concat(*sizes)
 
     return F.flatten(F.transform(padded, grams))
@@ -169,7 +177,7 @@ def _without_summary(model):
 
 def _predictor(model, indexer, features: Column | None, cap: float = 0.95) -> Callable[[DataFrame], DataFrame]:
     names = IndexToString(inputCol="prediction", outputCol="label", labels=indexer.labels)
-    drop = ("__grams", "__tf", "__features", "rawPrediction", "probability", "prediction", "__label")
+    drop = ("__tf", "__features", "rawPrediction", "probability", "prediction", "__label")
 
     def apply(df: DataFrame) -> DataFrame:
         ready = df if features is None else df.withColumn("__features", features)
@@ -180,19 +188,53 @@ def _predictor(model, indexer, features: Column | None, cap: float = 0.95) -> Ca
     return apply
 
 
+def _vocabulary(texts: DataFrame, text: str, size: int) -> list[str]:
+    """The most frequent n-grams, made once for each distinct word."""
+    words = texts.select(F.explode(tx.words(F.lower(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    grams = words.select("n", F.explode(char_ngrams(F.col("word"))).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
+    return [r["gram"] for r in grams.orderBy(F.desc("n"), "gram").limit(size).collect()]
+
+
+def _gram_counts(vocabulary: Broadcast) -> Callable[[Column], Column]:
+    """Vector of a text's counts of the n-grams, those of a word remembered while a task goes on."""
+    place: dict[str, int] = {}
+    memory: dict[str, np.ndarray] = {}
+
+    def places(word: str) -> np.ndarray:
+        if word not in memory:
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            padded = f" {word} "
+            grams = (padded[i:i + n] for n in range(2, 5) for i in range(max(len(padded) - n + 1, 1)))
+            memory[word] = np.array([place[g] for g in grams if g in place], np.int64)
+        return memory[word]
+
+    @F.udf(VectorUDT())
+    def counted(words: list[str] | None) -> SparseVector:
+        if not place:
+            place.update({g: i for i, g in enumerate(vocabulary.value)})
+        total = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(places, words or [])]), minlength=len(place))
+        held = np.flatnonzero(total)
+        return SparseVector(len(place), held, total[held].astype(float))
+
+    return counted
+
+
 def train_text(df: DataFrame, text: str, label: str, features: int = 2000) -> Callable[[DataFrame], DataFrame]:
     """TF-IDF over character n-grams and logistic regression, fitted on the cluster."""
+    bound_batches(df.sparkSession)
     ready = df.select(F.col(text), F.col(label).alias("__name"))
     indexer = StringIndexer(inputCol="__name", outputCol="__label").fit(ready)
-    rows = indexer.transform(ready.withColumn("__grams", char_ngrams(F.col(text))))
+    vocabulary = df.sparkSession.sparkContext.broadcast(_vocabulary(ready, text, features))
+    counts = _gram_counts(vocabulary)(tx.words(F.lower(F.col(text))))
+    rows = cut_lineage(indexer.transform(ready.select("__name", counts.alias("__tf"))).drop("__name"))
     model = Pipeline(stages=[
-        CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features),
         IDF(inputCol="__tf", outputCol="__features"),
         LogisticRegression(featuresCol="__features", labelCol="__label", maxIter=50, regParam=0.01),
     ]).fit(rows)
     _without_summary(model.stages[-1])
     apply = _predictor(model, indexer, None)
-    return lambda data: apply(data.withColumn("__grams", char_ngrams(F.col(text))))
+    return lambda data: apply(data.withColumn("__tf", counts))
 
 
 def train_vectors(df: DataFrame, vector: str, label: str) -> Callable[[DataFrame], DataFrame]:

@@ -72,6 +72,17 @@ def test_topic_words_are_the_same_with_few_common_words(spark, monkeypatch, comm
     assert sorted(intel.topic_words(df, "id", "t").collect()) == want
 
 
+def test_char_ngrams_have_their_sizes_and_are_counted_by_word(spark):
+    df = spark.createDataFrame([("Ab c", "x"), ("ab zz ab", "y")], "t string, l string")
+    grams = [r[0] for r in df.select(routing.char_ngrams(F.col("t"))).collect()]
+    assert sorted(grams[0]) == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c ", " c "])
+    words = routing._vocabulary(df, "t", 4)
+    assert words == [" a", " ab", " ab ", "ab"]
+    count = routing._gram_counts(spark.sparkContext.broadcast(words))
+    rows = df.select(count(tx.words(F.lower(F.col("t")))).alias("v")).collect()
+    assert [r["v"].toArray().tolist() for r in rows] == [[1, 1, 1, 1], [2, 2, 2, 2]]
+
+
 def test_texts_of_fewer_than_five_words_share_no_shingles(spark, tmp_path):
     long = "one two three four five six"
     spark.createDataFrame([(1, "same four words here"), (2, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
