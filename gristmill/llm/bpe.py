@@ -1,11 +1,10 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-Texts are cut into blocks, and a block keeps each of its distinct words once.
-On those, a fold over the word's bytes merges the adjacent pair of least rank
-until none is left; the ranks are one literal, an array of small maps by hash.
-Decoding concatenates the pieces of the ids. Only then are the documents put
-together again from their words, in the block that they came from: nothing is
-shuffled, and no word is common enough to be hot.
+"""Byte-level BPE encoding and decoding of whole texts.
+
+Texts stay in their partitions: nothing is shuffled, and no word is common
+enough to be hot. A task remembers the ids and decoded bytes of the words that
+it met, so a word is merged about once a task. Merging takes the adjacent pair
+of least rank, the leftmost first, from a heap until none is left, which takes
+n log n steps for n bytes, whatever the word's length.
 """
 
 from __future__ import annotations
@@ -14,21 +13,16 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from gristmill.llm import store
 
-#: Texts of about so many characters share a block, and so one list of words.
-BLOCK = 12 << 20
-#: Maps that the ranks are spread over: one or two pieces each.
-MAPS = 1 << 15
-#: The fold takes n * n steps for n bytes; longer words (runs without a space)
-#: are merged by the tokenizer library, which keeps a heap for them.
-LONG = 200
+#: Characters of words that a task remembers, each word counted as so many more.
+REMEMBERED, EACH = 32 << 20, 64
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -37,66 +31,41 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(piece), int(rank)) for piece, rank in map(bytes.split, lines)]
 
 
-def rank_literal(spark: SparkSession, ranks: list[tuple[bytes, int]]) -> Column:
-    """The rank map as one literal: array of maps piece -> rank, by the piece's hash."""
-    rows = spark.createDataFrame([(bytearray(p), r) for p, r in ranks], "piece binary, rank int")
-    maps = rows.groupBy(F.pmod(F.hash("piece"), F.lit(MAPS)).alias("at")).agg(
-        F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("of"))
-    every = spark.range(MAPS).join(maps, F.col("id") == F.col("at"), "left").select(
-        "id", F.coalesce("of", F.expr("map_from_arrays(cast(array() as array<binary>), cast(array() as array<int>))")).alias("of"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.map_entries("of").alias("of")))),
-                                 lambda x: F.map_from_entries(x["of"])).alias("ranks")).scalar()
-
-
-def piece_literal(spark: SparkSession, ranks: list[tuple[bytes, int]]) -> Column:
-    """The pieces as one literal: array of (binary) by rank."""
-    rows = spark.createDataFrame([(bytearray(p), r) for p, r in ranks], "piece binary, rank int")
-    every = spark.range(max((r for _, r in ranks), default=-1) + 1).join(rows, F.col("id") == F.col("rank"), "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("pieces")).scalar()
-
-
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def rank_of(piece: Column, ranks: Column) -> Column:
-    """The rank of a piece, null if it has none."""
-    return F.try_element_at(F.get(ranks, F.pmod(F.hash(piece), F.lit(MAPS))), piece)
-
-
-def encode(word: Column, ranks: Column) -> Column:
-    """Ids of one word (binary) as array<int>, by folding the ranked merges."""
-    def merge(state: Column, at: Column) -> Column:
-        pieces, pairs = state["pieces"], state["pairs"]
-
-        def with_merged(merged: Column) -> Column:
-            # the right piece and its pair go; the left piece and the pairs beside it change
-            left = F.transform(F.filter(pieces, lambda p, i: i != at), lambda p, i: F.when(i == at - 1, merged).otherwise(p))
-            beside = F.transform(pairs, lambda r, i: F.when(i == at - 2, rank_of(F.concat(F.get(pieces, at - 2), merged), ranks))
-                                 .when(i == at, rank_of(F.concat(merged, F.get(pieces, at + 1)), ranks)).otherwise(r))
-            return F.struct(left.alias("pieces"), F.filter(beside, lambda r, i: i != at - 1).alias("pairs"))
-
-        return _bind(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), with_merged)
-
-    def step(state: Column, _: Column) -> Column:
-        return _bind(F.array_min(state["pairs"]), lambda best: F.when(best.isNull(), state).otherwise(
-            _bind(F.array_position(state["pairs"], best).cast("int"), lambda at: merge(state, at))))
-
-    n = F.octet_length(word)
-    start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))).alias("pieces"),
-                     F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank_of(F.substring(word, i, F.lit(2)), ranks)).alias("pairs"))
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda state: F.transform(state["pieces"], lambda p: rank_of(p, ranks)))
-    return _bind(rank_of(word, ranks), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
-
-
-def decode(ids: Column, pieces: Column) -> Column:
-    """The bytes of ids: their pieces, concatenated."""
-    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i)))
-
-
-class Block:
-    """Distinct words of texts, and each text as a sequence of space-cut parts.
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: its own, or those of the pieces that the ranked merges leave."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    after = list(range(1, n + 1))  # where the piece that starts here ends
+    before = list(range(-1, n - 1))  # where the piece before it starts
+    pair = [ranks.get(word[i:i + 2], -1) for i in range(n - 1)] + [-1]  # rank of it and the next one
+    heap = [(r, i) for i, r in enumerate(pair) if r >= 0]
+    heapify(heap)
+    while heap:
+        r, i = heappop(heap)
+        if pair[i] != r:  # one of the two was merged since
+            continue
+        gone = after[i]
+        end = after[i] = after[gone]
+        pair[gone] = pair[i] = -1
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i:after[end]], -1)) >= 0:
+                pair[i] = r
+                heappush(heap, (r, i))
+        if (left := before[i]) >= 0:
+            pair[left] = r = ranks.get(word[left:end], -1)
+            if r >= 0:
+                heappush(heap, (r, left))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i:after[i]]])
+        i = after[i]
+    return ids
+
+
+class Coder:
+    """Ids (little-endian) and decoded bytes of texts, by parts and words met before.
 
     A single space between two other characters always starts a match of the
     pattern, so parts cut there are matched apart, each distinct part once.
@@ -105,126 +74,48 @@ class Block:
     _odd = re.compile(r"\s\s|^\s|\s$").search
     _cut = re.compile(r"(?<=\S) (?=\S)").split
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, ranks: list[tuple[bytes, int]]):
         import regex
 
         self.match = regex.compile(pattern).findall
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
-        self.part_words: list[list[int]] = []
-        self.texts: list[bytes] = []
-
-    def _new(self, part: str) -> int:
-        words = self.words
-        self.part_words.append([words.setdefault(w, len(words)) for w in self.match(part)])
-        self.parts[part] = len(self.parts)
+        self.ranks = dict(ranks)
+        self.pieces = {r: p for p, r in ranks}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        self.size = 0
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        if word not in self.words:
+            ids = merge(word.encode("utf-8", "surrogatepass"), self.ranks)
+            self.words[word] = np.array(ids, "<u4").tobytes(), b"".join([self.pieces[i] for i in ids])
+            self.size += len(word) + EACH
+        return self.words[word]
+
+    def _part(self, part: str) -> tuple[bytes, bytes]:
+        found = [self._word(w) for w in self.match(part)]
+        self.parts[part] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+        self.size += len(part) + EACH
         return self.parts[part]
 
-    def add(self, text: str) -> None:
+    def round_trip(self, text: str) -> tuple[bytes, bytes]:
+        if self.size > REMEMBERED:
+            self.words, self.parts, self.size = {}, {}, 0
         cut = (self._cut(text) if self._odd(text) else text.split(" ")) if text else []
         known = self.parts
-        row = [known.get(p, -1) for p in cut[:1]]
-        if row == [-1]:
-            row = [self._new(cut[0])]
-        rest = [" " + p for p in cut[1:]]
-        found = list(map(known.get, rest))
+        parts = [cut[0], *[" " + p for p in cut[1:]]] if cut else []
+        found = list(map(known.get, parts))
         if None in found:
-            found = [known[p] if p in known else self._new(p) for p in rest]
-        self.texts.append(np.array(row + found, np.int32).tobytes())
-
-
-def _blocks(pattern: str, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> pa.RecordBatch:
-            lengths = np.array([len(p) for p in block.part_words], np.int32)
-            flat = np.array([w for p in block.part_words for w in p], np.int32)
-            row = [pa.array([ids], pa.list_(kind)), pa.array([block.texts], pa.list_(pa.binary())), pa.array([lengths.tobytes()], pa.binary()),
-                   pa.array([flat.tobytes()], pa.binary()), pa.array([[w.encode("utf-8", "surrogatepass") for w in block.words]], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(row, names=["doc_ids", "texts", "lengths", "flat", "words"])
-
-        block, ids, size = Block(pattern), [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py() or ""
-                block.add(text)
-                ids.append(doc_id)
-                size += len(text)
-                if size >= BLOCK:
-                    yield close()
-                    block, ids, size = Block(pattern), [], 0
-        if ids:
-            yield close()
-
-    return run
-
-
-def _slices(column: pa.ListScalar, width: int) -> list[bytes]:
-    """The bytes of each inner array of one array<array<int>> value."""
-    inner = column.values
-    if not len(inner):
-        return []
-    at = inner.offsets.to_numpy().astype(np.int64)
-    data = inner.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    at = (width * (at - at[0])).tolist()
-    return [data[a:b] for a, b in zip(at[:-1], at[1:])]
-
-
-def _assemble(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids = _slices(batch.column("ids")[row], 4)
-                plain = batch.column("decoded")[row].as_py()
-                for i, word in zip(batch.column("long_at")[row].as_py(), batch.column("long")[row].as_py()):
-                    library = library or _library(path, pattern)
-                    found = library.encode_ordinary(word.decode("utf-8", "surrogatepass"))
-                    ids[i], plain[i] = np.array(found, "<u4").tobytes(), library.decode_bytes(found)
-                lengths = np.frombuffer(batch.column("lengths")[row].as_py(), np.int32)
-                flat = np.frombuffer(batch.column("flat")[row].as_py(), np.int32).tolist()
-                ends = np.cumsum(lengths).tolist()
-                part_ids, part_plain, low = [], [], 0
-                for high in ends:
-                    if high == low + 1:
-                        part_ids.append(ids[flat[low]])
-                        part_plain.append(plain[flat[low]])
-                    else:
-                        part_ids.append(b"".join([ids[w] for w in flat[low:high]]))
-                        part_plain.append(b"".join([plain[w] for w in flat[low:high]]))
-                    low = high
-                counts, first, second = [], [], []
-                for text in batch.column("texts")[row].values:
-                    parts = np.frombuffer(text.as_buffer(), np.int32).tolist()
-                    encoded = b"".join(map(part_ids.__getitem__, parts))
-                    counts.append(len(encoded) // 4)
-                    first.append(hashlib.sha256(encoded).hexdigest())
-                    second.append(hashlib.sha256(b"".join(map(part_plain.__getitem__, parts))).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[row].values, pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
+            found = [f or known.get(p) or self._part(p) for p, f in zip(parts, found)]
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
 def _library(path: str, pattern: str):
+    """The library's own encoding by the same ranks, which the tests hold the merges against."""
     import tiktoken
 
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(read_ranks(path)), special_tokens={})
 
 
-def encode_words(blocks: DataFrame, ranks: list[tuple[bytes, int]]) -> DataFrame:
-    """Adds ``ids`` and ``decoded`` for the ``words`` of each block; of words
-    longer than LONG the places and bytes, left to the library."""
-    spark = blocks.sparkSession
-    # subqueries of one row each, which Spark puts into the plan as literals
-    blocks = blocks.select("*", rank_literal(spark, ranks).alias("_ranks"), piece_literal(spark, ranks).alias("_pieces"))
-    table, pieces = F.col("_ranks"), F.col("_pieces")
-    short = F.transform("words", lambda w: F.when(F.octet_length(w) <= LONG, encode(w, table)).otherwise(F.array().cast("array<int>")))
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.octet_length(w) > LONG, i)), lambda i: i.isNotNull())
-    found = blocks.withColumns({"ids": short, "long_at": at, "long": F.filter("words", lambda w: F.octet_length(w) > LONG)})
-    return found.withColumn("decoded", F.transform("ids", lambda x: decode(x, pieces))).drop("words", "_ranks", "_pieces")
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids), decoded_sha256.
 
@@ -232,10 +123,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     table gives no row. Other columns are not read.
     """
     store.bound_batches(docs.sparkSession)
-    field = docs.schema["doc_id"].dataType
-    kind = pa.int32() if field.simpleString() == "int" else pa.string() if field.simpleString() == "string" else pa.int64()
-    name = field.simpleString()
-    blocks = docs.select("doc_id", "text").mapInArrow(
-        _blocks(pattern, kind), f"doc_ids array<{name}>, texts array<binary>, lengths binary, flat binary, words array<binary>")
-    return encode_words(blocks, read_ranks(path)).mapInArrow(
-        _assemble(path, pattern), f"doc_id {name}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(pattern, ranks.value)
+        for batch in batches:
+            counts, first, second = [], [], []
+            for text in batch.column("text"):
+                ids, plain = coder.round_trip(text.as_py() or "")
+                counts.append(len(ids) // 4)
+                first.append(hashlib.sha256(ids).hexdigest())
+                second.append(hashlib.sha256(plain).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -587,6 +587,24 @@ def test_bpe_equals_the_library(spark, documents, odd):
     assert bpe.round_trip(odd, path, vocabularies.PATTERN).count() == odd.count()
 
 
+def test_bpe_merges_words_of_any_length():
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    library, ranks = bpe._library(path, vocabularies.PATTERN), dict(bpe.read_ranks(path))
+    rng = random.Random(4)
+    for n in [*range(1, 40), 99, 100, 201, 3000]:
+        for letters in ("ab", "etaoin", "é日z", "ABCDEFabcdef"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert bpe.merge(word.encode(), ranks) == library._core_bpe.encode_single_piece(word.encode())
+
+
+def test_bpe_forgets_words_without_losing_any(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    coder, library = bpe.Coder(vocabularies.PATTERN, bpe.read_ranks(path)), bpe._library(path, vocabularies.PATTERN)
+    for text in [t or "" for t in TEXTS] * 2:
+        assert coder.round_trip(text) == (np.array(library.encode_ordinary(text), "<u4").tobytes(), text.encode())
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, documents):
