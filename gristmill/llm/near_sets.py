@@ -9,8 +9,10 @@ are found by the prefix filter, so no link is lost: two sets that are alike shar
 one order of all shingles (frequent ones last), so only sets that meet there and
 are not of one component yet are compared, by their sketches, inside the task
 where they meet. Of the pairs that sketches cannot rule out, a task first passes
-on a spanning forest to be compared whole, and then, between the components that
-are still apart, all of them.
+on a spanning forest to be compared whole. Between the components that are still
+apart, the whole sets of members with such a partner come to the task, once each,
+and it passes on a spanning forest of the pairs that are alike: never pairs
+themselves, of which a group may have the square of its size.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm import graph, simhash, store
@@ -36,8 +39,8 @@ STARS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 SLOTS = 1
 #: Prefix entries of one task, members of one cell of a large group, and members compared in one task.
 ENTRIES, CELL, TASK = 500_000, 2000, 100_000
-#: Bytes of sketches that one task holds.
-TASK_BYTES = 64 << 20
+#: Bytes of sketches or of whole sets that one task holds, and of whole sets on one side of a cell.
+TASK_BYTES, CELL_BYTES = 64 << 20, 16 << 20
 #: Pairs looked at and bytes of sketches compared at a time.
 PAIRS, TILE = 1 << 20, 8 << 20
 
@@ -191,9 +194,14 @@ def meetings(marked: DataFrame, crowded: np.ndarray) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(meet, "id long, node long").distinct()
 
 
-def close_pairs(cell: np.ndarray, size: np.ndarray, sketches: list[bytes], root: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(cell: np.ndarray, size: np.ndarray, sketches: list[bytes], root: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Places (a, b) of sets of one cell that can be alike, of different roots and, in cells that
     have two sides, of different sides."""
+    return np.concatenate([np.zeros((2, 0), np.int64), *close_tiles(cell, size, sketches, root, side)], axis=1)
+
+
+def close_tiles(cell: np.ndarray, size: np.ndarray, sketches: list[bytes], root: np.ndarray, side: np.ndarray) -> Iterator[np.ndarray]:
+    """``close_pairs``, a bounded number at a time."""
     cell = np.unique(cell, return_inverse=True)[1]
     order = np.lexsort((size, cell))
     cell, size, root, side = cell[order], size[order], root[order], side[order]
@@ -209,7 +217,6 @@ def close_pairs(cell: np.ndarray, size: np.ndarray, sketches: list[bytes], root:
     # partners of a member are those after it in its cell that are not too large
     end = np.searchsorted(cell << 32 | size, cell << 32 | OF * size // ALIKE, "right")
     total = np.cumsum(end - np.arange(len(end)) - 1)
-    found = [np.zeros((2, 0), np.int64)]
     for low in range(0, int(total[-1]) if len(total) else 0, PAIRS):
         flat = np.arange(low, min(low + PAIRS, int(total[-1])))
         a = np.searchsorted(total, flat, "right")
@@ -227,46 +234,80 @@ def close_pairs(cell: np.ndarray, size: np.ndarray, sketches: list[bytes], root:
                 while other.shape[1] > narrow:
                     other = folded(other)
                 fit = possible(size[x], one, size[y], other)
-                found.append(np.stack([x[fit], y[fit]]))
-    a, b = np.concatenate(found, axis=1)
-    return order[a], order[b]
+                yield np.stack([order[x[fit]], order[y[fit]]])
 
 
-def spanning(pairs: np.ndarray, name: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Of pairs of names (2 x n), each name of a root, those that join roots which the pairs before do not join."""
-    at = [np.searchsorted(name, side) for side in pairs]
-    up = {int(r): int(r) for r in np.unique(root)}
+def spanning(tiles: Iterator[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Of pairs of members (2 x n, in tiles), those that join labels which the pairs before do not join."""
+    up, kept = list(range(int(label.max(initial=-1)) + 1)), [np.zeros((2, 0), np.int64)]
 
     def find(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    kept = []
-    for k, (a, b) in enumerate(zip(root[at[0]].tolist(), root[at[1]].tolist())):
-        a, b = find(a), find(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            kept.append(k)
-    return pairs[:, kept]
-
-
-def across(groups: DataFrame, nodes: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
-    """(u, v): pairs of different components that meet in a group and that sketches don't rule out.
-
-    As a ``forest``, each task passes on only pairs that join what its pairs
-    before do not: fewer than it has members, however many are alike.
+    for tile in tiles:
+        top = np.array([find(x) for x in range(len(up))], np.int64)
+        low, high = np.sort(top[label[tile]], axis=0)
+        at = np.flatnonzero(low != high)
+        joining = at[np.unique(low[at] << 32 | high[at], return_index=True)[1]]
+        found = []
+        for k, a, b in zip(joining.tolist(), low[joining].tolist(), high[joining].tolist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append(k)
+        kept.append(tile[:, found])
+    return np.concatenate(kept, axis=1)
+
+
+def alike_forest(tiles: Iterator[np.ndarray], sets: list[bytes], label: np.ndarray) -> np.ndarray:
+    """Of pairs of members (2 x n, in tiles), alike ones that join all labels which alike pairs join. A
+    member is compared whole with those of its partners that nothing joins to it yet."""
+    label, kept = label.copy(), []
+    size = np.array([len(s) // 8 for s in sets], np.int64)
+    values, held = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    held = np.split(held, np.cumsum(size)[:-1])
+    mark = np.zeros(len(values), bool)
+    for tile in tiles:
+        low, high = np.sort(tile[:, label[tile[0]] != label[tile[1]]], axis=0)
+        pairs = np.unique(low << 32 | high)
+        one, other = pairs >> 32, pairs & 0xFFFFFFFF
+        for low, high in zip(at := np.flatnonzero(np.diff(one, prepend=-1)), [*at[1:], len(one)]):
+            x = one[low]
+            mark[held[x]] = True
+            cuts = np.cumsum(8 * size[other[low:high]]) // TILE
+            for some in np.split(other[low:high], np.flatnonzero(np.diff(cuts)) + 1):
+                some = some[label[some] != label[x]]
+                if not len(some):
+                    continue
+                common = np.add.reduceat(mark[np.concatenate([held[y] for y in some])].astype(np.int64), np.cumsum(size[some]) - size[some])
+                for y in some[OF * common >= ALIKE * (size[x] + size[some] - common)]:
+                    if label[x] != label[y]:
+                        kept.append((x, y))
+                        label[label == label[y]] = label[x]
+            mark[held[x]] = False
+    return np.array(kept, np.int64).reshape(-1, 2).T
+
+
+def placed(groups: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """cell, node, size, width, root and side of the members of groups of several components.
 
     The members of a group's commonest component need not meet each other, so
     they are compared with the others only. Large groups become cells of others
-    against others and of others against the commonest component.
+    against others and of others against the commonest component, each side of
+    a cell of bounded members and bytes of whole sets.
     """
-    spark = groups.sparkSession
-    members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = members.groupBy("id", "root").agg(F.count(F.lit(1)).alias("n"))
-    whole = held.groupBy("id").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where(F.col("all") > F.col("most.n"))
-    whole = whole.select("id", F.col("most.root").alias("most"), F.ceil((F.col("all") - F.col("most.n")) / CELL).cast("int").alias("rest_cells"),
-                         F.ceil(F.col("most.n") / CELL).cast("int").alias("most_cells"))
+    known = nodes.select("node", "size", F.octet_length("sketch").alias("width")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = groups.join(known, "node")
+    held = members.groupBy("id", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    whole = held.groupBy("id").agg(F.sum("n").alias("all"), F.sum("words").alias("all_words"), F.max(F.struct("n", "root", "words")).alias("most")).where(F.col("all") > F.col("most.n"))
+
+    def cells_of(n: Column, words: Column) -> Column:
+        return F.ceil(F.greatest(n / CELL, 8 * words / CELL_BYTES)).cast("int")
+
+    whole = whole.select("id", F.col("most.root").alias("most"), cells_of(F.col("all") - F.col("most.n"), F.col("all_words") - F.col("most.words")).alias("rest_cells"),
+                         cells_of(F.col("most.n"), F.col("most.words")).alias("most_cells"))
     members = members.join(whole, "id").withColumn("side", F.col("root") == F.col("most"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side"), F.col("most_cells")).otherwise(F.col("rest_cells"))).cast("int")
     rests, mosts = F.sequence(F.lit(0), F.col("rest_cells") - 1), F.sequence(F.lit(0), F.col("most_cells") - 1)
@@ -275,25 +316,72 @@ def across(groups: DataFrame, nodes: DataFrame, roots: DataFrame, forest: bool)
         F.transform(mosts, lambda k: F.struct(F.lit(1).alias("kind"), mine.alias("a"), k.alias("b"))))
     against_rest = F.when(~F.col("side"), F.transform(rests, lambda k: F.struct(F.lit(0).alias("kind"), F.least(mine, k).alias("a"), F.greatest(mine, k).alias("b"))))
     cells = F.concat(against_most, F.coalesce(against_rest, F.array().cast("array<struct<kind: int, a: int, b: int>>")))
-    members = members.withColumn("own", own).join(nodes.select("node", F.octet_length("sketch").alias("width")), "node")
-    placed = store.stash(members.select("node", "root", "side", "width", F.explode(cells).alias("c"), "id").select(
-        F.xxhash64("id", "c").alias("cell"), "node", "root", "side", "width"), "cells")
-    held, width = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0))).head()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK), -(-width // TASK_BYTES))
-    rows = placed.drop("width").join(nodes.select("node", "size", "sketch"), "node").withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
-
-    def run(group: pa.Table) -> pa.Table:
+    return store.stash(members.withColumn("own", own).select("node", "root", "side", "size", "width", F.explode(cells).alias("c"), "id").select(
+        F.xxhash64("id", "c").alias("cell"), "node", "size", "width", "root", "side"), "cells")
+
+
+def tasks(rows: DataFrame, size: Column) -> int:
+    """Tasks that hold TASK rows and TASK_BYTES of this size each."""
+    held, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).head()
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK), -(-size // TASK_BYTES))
+
+
+def across(groups: DataFrame, nodes: DataFrame, roots: DataFrame, tell: str) -> DataFrame:
+    """Of the sets that meet in a group, are of different components and are not ruled out by sketches:
+    as a ``forest`` the pairs (u, v) of each task that join what its other pairs do not, fewer than it
+    has members; else the ``members`` of such pairs (cell, node, size, root, side), each once a cell."""
+    cells = placed(groups, nodes, roots)
+    parts = tasks(cells, F.col("width"))
+    rows = cells.drop("width").join(nodes.select("node", "sketch"), "node").withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
+
+    def tiles(group: pa.Table) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray]:
         cell, name, size, root, side = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "node", "size", "root", "side"))
-        sketch = group.column("sketch").to_pylist()
-        a, b = close_pairs(cell, size, sketch, root, side)
-        u, v = name[a], name[b]
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-        if forest:
-            names, first = np.unique(name, return_index=True)
-            pairs = spanning(pairs, names, root[first])
-        return pa.table({"u": pairs[0], "v": pairs[1]})
+        return close_tiles(cell, size, group.column("sketch").to_pylist(), root, side), name, root
 
-    return rows.select("part", "cell", "node", "size", "root", "side", "sketch").groupBy("part").applyInArrow(run, "u long, v long").distinct()
+    def forest(group: pa.Table) -> pa.Table:
+        found, name, root = tiles(group)
+        # a set is in several cells of the task, under one label
+        u, v = name[spanning(found, np.unique(root, return_inverse=True)[1])]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    def members(group: pa.Table) -> pa.Table:
+        partnered = np.zeros(group.num_rows, bool)
+        for tile in tiles(group)[0]:
+            partnered[tile] = True
+        return group.filter(pa.array(partnered)).select(["cell", "node", "size", "root", "side"])
+
+    rows = rows.select("part", "cell", "node", "size", "root", "side", "sketch").groupBy("part")
+    if tell == "forest":
+        return rows.applyInArrow(forest, "u long, v long").distinct()
+    return rows.applyInArrow(members, "cell long, node long, size long, root long, side boolean")
+
+
+def compared(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): alike pairs of members of one cell, enough to join all components that such pairs join.
+    Each set comes once to each task that has a cell of it; no pair leaves a task but those of its forest."""
+    members = store.stash(members, "members")
+    parts = tasks(members, 8 * F.col("size"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "hashes"])
+
+    sets = store.stash(texts_of(docs, nodes, members.select("node").distinct()).mapInArrow(whole, "node long, hashes binary"), "member-sets")
+    dealt = members.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int")).groupBy("part", "node").agg(
+        F.first("root").alias("root"), F.collect_list("cell").alias("cells"), F.collect_list("side").alias("sides"))
+
+    def forest(group: pa.Table) -> pa.Table:
+        name, root = (group.column(c).combine_chunks().to_numpy() for c in ("node", "root"))
+        hashes, sketch = group.column("hashes").to_pylist(), group.column("sketch").to_pylist()
+        own = np.repeat(np.arange(len(name)), pc.list_value_length(group.column("cells")).to_numpy())
+        cell, side = (pc.list_flatten(group.column(c)).to_numpy() for c in ("cells", "sides"))
+        size = np.array([len(h) // 8 for h in hashes], np.int64)
+        tiles = close_tiles(cell, size[own], [sketch[k] for k in own], root[own], side)
+        u, v = name[alike_forest((own[t] for t in tiles), hashes, np.unique(root, return_inverse=True)[1])]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    rows = dealt.join(nodes.select("node", "sketch"), "node").join(sets, "node").select("part", "node", "root", "sketch", "hashes", "cells", "sides")
+    return rows.groupBy("part").applyInArrow(forest, "u long, v long").distinct()
 
 
 def ruled_in(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,11 +401,16 @@ def ruled_in(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text: one text of each wanted node. Only these are read again."""
+    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    return docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
+        "node", "text").dropDuplicates(["node"])
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike. Only the texts of nodes in a pair are read again."""
+    """The pairs (u, v) whose whole sets are alike."""
     pairs = store.stash(pairs, "candidate-pairs")
-    wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-    wanted = wanted.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,8 +421,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 alike.append(OF * common >= ALIKE * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    texts = store.stash(docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-                        .select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    texts = store.stash(texts_of(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "candidate-texts")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("one")), "u").join(
         texts.select(F.col("node").alias("v"), F.col("text").alias("two")), "v")
     return both.select("u", "v", "one", "two").mapInArrow(compare, "u long, v long")
@@ -343,10 +435,10 @@ def components(docs: DataFrame, marked: DataFrame, crowded: np.ndarray) -> DataF
     linked = store.stash(verified(docs, nodes, ruled_in(near, nodes)), "star-links")
     groups = store.stash(meetings(marked, crowded), "meetings")
     # most of what is still apart joins through few pairs; after that, every pair that is left is looked at
-    for forest in (True, False):
-        found = verified(docs, nodes, across(groups, nodes, graph.components(linked), forest))
-        linked = store.stash(linked.union(found), "links")
-    return graph.components(linked)
+    found = verified(docs, nodes, across(groups, nodes, graph.components(linked), "forest"))
+    linked = store.stash(linked.union(found), "links")
+    found = compared(docs, nodes, across(groups, nodes, graph.components(linked), "members"))
+    return graph.components(store.stash(linked.union(found), "links"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -405,6 +405,45 @@ def test_near_copies_equal_brute_force(spark, documents, cell, monkeypatch):
     assert near_sets.keep_first(docs.limit(0)).count() == 0
 
 
+def test_sets_just_too_different_never_become_all_pairs(spark, monkeypatch):
+    rng, held, stash = random.Random(8), [], near_sets.store.stash
+    base, own = [f"b{k}" for k in range(344)], set(range(20, 340, 40))
+    texts = [" ".join(f"o{rng.randrange(10**9)}" if k in own else w for k, w in enumerate(base)) for _ in range(60)]
+    texts += [f"{texts[0]} more", f"less {texts[1]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard_firsts(dict(enumerate(texts))) == set(range(60))
+
+    def counted(df, name):
+        out = stash(df, name)
+        held.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(near_sets.store, "stash", counted)
+    assert {r["doc_id"] for r in near_sets.keep_first(docs).collect()} == set(range(60))
+    assert max(held)[0] < 60 * 59 // 4, held
+
+
+def test_forests_join_what_all_pairs_join():
+    rng = np.random.default_rng(6)
+    every = [np.unique(rng.integers(0, 300, 40 + 3 * k).astype(np.uint64)) for k in range(50)]
+    every += [np.delete(s, rng.integers(0, len(s), rng.integers(1, 8))) for s in every]
+    label = rng.integers(0, 80, len(every))
+    pairs = np.array([(a, b) for a in range(len(every)) for b in range(len(every)) if a != b]).T
+    alike = [(a, b) for a, b in pairs.T if 5 * (n := len(np.intersect1d(every[a], every[b]))) >= 4 * (len(every[a]) + len(every[b]) - n)]
+
+    def joined(found):
+        up = label.copy()
+        for a, b in found:
+            up[up == up[a]] = up[b]
+        return {frozenset(np.flatnonzero(up == u)) for u in up}
+
+    forest = near_sets.alike_forest(iter([pairs[:, ::2], pairs[:, :0], pairs[:, 1::2]]), [s.tobytes() for s in every], label)
+    assert {tuple(p) for p in forest.T} <= set(alike) and joined(forest.T) == joined(alike) and forest.shape[1] < len(every)
+    some = np.array(alike).T
+    assert joined(near_sets.spanning(iter([some[:, :30], some[:, 30:]]), label).T) == joined(alike)
+    assert near_sets.spanning(iter([]), label[:0]).shape == near_sets.alike_forest(iter([]), [], label[:0]).shape == (2, 0)
+
+
 def test_fingerprints_name_the_first_candidates(spark, monkeypatch):
     rng, asked = random.Random(7), []
     base = [" ".join(f"b{rng.randrange(10**9)}" for _ in range(400)) for _ in range(3)]
