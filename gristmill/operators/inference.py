@@ -1,4 +1,8 @@
-"""Types of untyped columns: one aggregation tests all candidates at once."""
+"""Types of untyped columns: one aggregation tests all candidates at once.
+
+Short texts are tested once for each distinct value of a column, weighted by
+their rows; longer ones are tested row by row and never shuffled.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.operators import profile as pf
+from gristmill.session import shared_path
 
 # Tokens, patterns, formats and limits of the inference.
 TRUE_TOKENS = ["true", "t", "yes", "y", "1", "on", "enabled", "active"]
@@ -39,7 +44,7 @@ _SHAPES = {pattern: shape for pattern, shape, _ in TIME_FORMATS}
 #: Shape of a text the flexible parser may accept.
 _ANY_TIME = r"\d{4}-\d{1,2}(-\d{1,2}([T ].*)?)?"
 TOLERANCE = 0.02
-#: Columns tested together; each needs some thirty aggregates.
+#: Number columns tested together.
 COLUMNS_PER_PASS = 8
 
 
@@ -86,41 +91,60 @@ def as_time(cell: Column, pattern: str | None) -> Column:
     return F.when(text.rlike(f"^({_SHAPES[pattern]})$"), parsed)
 
 
-def _views(cell: Column, i: int) -> list[dict[str, Column]]:
-    """Derived columns of one text column, in layers, each computed once."""
-    number = F.col(f"bare_{i}").rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$")
-    return [
-        {f"text_{i}": F.nullif(F.trim(cell), F.lit(""))},
-        {f"bare_{i}": unsigned_text(F.col(f"text_{i}"))},
-        {f"number_{i}": number},
-        {f"value_{i}": F.when(F.col(f"number_{i}"), F.col(f"bare_{i}").try_cast("double"))},
-    ]
+def _values(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, value, rows: the filled texts of these columns. Short ones are counted once and
+    stored; texts of more than ``DIGEST_OVER`` characters stay rows of their own."""
+    every = pf.cells(df.select(*[F.col(f"`{n}`") for n in names])).where(F.col("value").isNotNull())
+    short = F.length("value") <= pf.DIGEST_OVER
+    path = shared_path(df.sparkSession, "values")
+    counted = every.where(short).groupBy("column", "value").agg(F.count("*").alias("rows"))
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(counted.schema).parquet(path).unionByName(every.where(~short).withColumn("rows", F.lit(1).cast("long")))
+
+
+def _rows(test: Column) -> Column:
+    """Rows of the values for which the test is true."""
+    return F.coalesce(F.sum(F.when(test, F.col("rows"))), F.lit(0))
 
 
-def _tests(i: int) -> dict[str, Column]:
+def _views(values: DataFrame) -> DataFrame:
+    """Derived columns of the values, in layers, each computed once."""
+    out = values.withColumn("text", F.nullif(F.trim("value"), F.lit("")))
+    out = out.withColumn("bare", unsigned_text(F.col("text")))
+    out = out.withColumn("numeric", F.col("bare").rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+    return out.withColumn("number", F.when(F.col("numeric"), F.col("bare").try_cast("double")))
+
+
+def _tests() -> dict[str, Column]:
     """Aggregates that settle every kind but dates and times."""
-    text, bare, numeric, value = [F.col(f"{n}_{i}") for n in ("text", "bare", "number", "value")]
+    text, bare, numeric, value = [F.col(n) for n in ("text", "bare", "numeric", "number")]
     fraction = F.when(numeric, F.length(F.nullif(F.regexp_extract(bare, r"\.(\d+)$", 1), F.lit(""))))
     json_text = text.rlike(r"^[{\[]")
     return {
-        "n": F.count(text), "other_tokens": F.count_if(~F.lower(text).isin(TRUE_TOKENS + FALSE_TOKENS)),
-        "uuids": F.count_if(text.rlike(UUID)), "json_like": F.count_if(json_text),
-        "json_ok": F.count_if(json_text & F.try_parse_json(text).isNotNull()),
-        "zero_led": F.count_if(text.rlike(r"^0\d")), "numbers": F.count_if(numeric),
-        "not_whole": F.count_if(value != F.round(value)), "low": F.min(value), "high": F.max(value),
+        "filled": F.sum("rows"), "n": _rows(text.isNotNull()), "other_tokens": _rows(~F.lower(text).isin(TRUE_TOKENS + FALSE_TOKENS)),
+        "uuids": _rows(text.rlike(UUID)), "json_like": _rows(json_text),
+        "json_ok": _rows(json_text & F.try_parse_json(text).isNotNull()),
+        "zero_led": _rows(text.rlike(r"^0\d")), "numbers": _rows(numeric),
+        "not_whole": _rows(value != F.round(value)), "low": F.min(value), "high": F.max(value),
         "scale": F.max(fraction), # One bit per number of decimals seen.
         "scales": F.bit_or(F.pow(F.lit(2.0), F.least(fraction, F.lit(40))).cast("long")),
         "digits": F.max(F.when(numeric, F.length(F.regexp_extract(bare, r"^[+-]?(\d+)", 1)))),
-        "currency": F.count_if(text.rlike(f"[{CURRENCY}]")), "percent": F.count_if(text.endswith("%")),
+        "currency": _rows(text.rlike(f"[{CURRENCY}]")), "percent": _rows(text.endswith("%")),
     }
 
 
-def _time_tests(cell: Column) -> dict[str, Column]:
+def _time_tests() -> dict[str, Column]:
     """Hits per format, and of the flexible parser."""
-    text = F.nullif(F.trim(cell), F.lit(""))
+    text = F.nullif(F.trim("value"), F.lit(""))
     flexible = as_time(text, None)
-    tests = {f"format{k}": F.count(as_time(text, pattern)) for k, (pattern, _, _) in enumerate(TIME_FORMATS)}
-    return {**tests, "flexible": F.count(flexible), "timed": F.count_if(flexible != F.date_trunc("day", flexible))}
+    tests = {f"format{k}": _rows(as_time(text, pattern).isNotNull()) for k, (pattern, _, _) in enumerate(TIME_FORMATS)}
+    return {**tests, "flexible": _rows(flexible.isNotNull()), "timed": _rows(flexible != F.date_trunc("day", flexible))}
+
+
+def _by_column(values: DataFrame, tests: dict[str, Column]) -> dict[str, dict]:
+    """Results of the tests for each column with a filled value."""
+    found = values.groupBy("column").agg(*[c.alias(n) for n, c in tests.items()]).collect()
+    return {r["column"]: r.asDict() for r in found}
 
 
 def _decide_text(name: str, r: dict) -> Guess | None:
@@ -176,16 +200,12 @@ def _decide_number(name: str, kind: T.DataType, r: dict) -> Guess:
     return Guess(name, "double")
 
 
-def _measure(sample: DataFrame, tests: dict[int, dict[str, Column]], views: dict[int, list[dict[str, Column]]]) -> dict[int, dict]:
+def _measure(sample: DataFrame, tests: dict[int, dict[str, Column]]) -> dict[int, dict]:
     """Results of the tests, a few columns per aggregation."""
     results: dict[int, dict] = {}
     for start in range(0, len(tests), COLUMNS_PER_PASS):
         block = list(tests)[start:start + COLUMNS_PER_PASS]
-        ready = sample
-        for layer in range(4):
-            columns = {n: c for i in block if i in views for n, c in views[i][layer].items()}
-            ready = ready.withColumns(columns) if columns else ready
-        row = ready.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
+        row = sample.agg(*[c.alias(f"{n}_{i}") for i in block for n, c in tests[i].items()]).first()
         results.update({i: {n: row[f"{n}_{i}"] for n in tests[i]} for i in block})
     return results
 
@@ -194,24 +214,23 @@ def infer(df: DataFrame, tolerance: float = TOLERANCE) -> list[Guess]:
     """One guess per column from all its values; a cast that fails on more than
     ``tolerance`` of the filled ones falls back to text."""
     tests: dict[int, dict[str, Column]] = {}
-    views: dict[int, list[dict[str, Column]]] = {}
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     for i, f in enumerate(df.schema.fields):
         col = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            tests[i] = _tests(i)
-            views[i] = _views(col, i)
-        elif isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)):
             tests[i] = _number_tests(col)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             tests[i] = {"timed": F.count_if(col != F.date_trunc("day", col))}
-    results = _measure(df, tests, views)
-    settled = {i: _decide_text(df.columns[i], results[i]) for i in views}
-    open_columns = {i: _time_tests(F.col(f"`{df.columns[i]}`")) for i, guess in settled.items() if guess is None}
-    times = _measure(df, open_columns, {})
+    results = _measure(df, tests)
+    values = _values(df, texts) if texts else None
+    found = {n: {"filled": 0, "n": 0} for n in texts} | (_by_column(_views(values), _tests()) if texts else {})
+    settled = {n: _decide_text(n, found[n]) for n in texts}
+    unsettled = [n for n in texts if settled[n] is None]
+    times = _by_column(values.where(F.col("column").isin(unsettled)), _time_tests()) if unsettled else {}
     guesses = []
     for i, f in enumerate(df.schema.fields):
         if isinstance(f.dataType, T.StringType):
-            guesses.append(settled[i] or _decide_time(f.name, results[i]["n"], times[i]))
+            guesses.append(settled[f.name] or _decide_time(f.name, found[f.name]["n"], times[f.name]))
         elif isinstance(f.dataType, (T.IntegralType, T.DoubleType, T.FloatType)):
             guesses.append(_decide_number(f.name, f.dataType, results[i]))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -219,7 +238,7 @@ def infer(df: DataFrame, tolerance: float = TOLERANCE) -> list[Guess]:
             guesses.append(Guess(f.name, f.dataType.simpleString() if stays else "date"))
         else:
             guesses.append(Guess(f.name, f.dataType.simpleString()))
-    return _downgrade(df, guesses, tolerance)
+    return _downgrade(df, guesses, tolerance, values, found)
 
 
 def cast(df: DataFrame, guess: Guess) -> Column:
@@ -228,6 +247,10 @@ def cast(df: DataFrame, guess: Guess) -> Column:
     text = isinstance(df.schema[guess.column].dataType, T.StringType)
     if not text:
         return col.cast("string") if guess.kind == "string" else col.try_cast(guess.kind)
+    return _cast_text(col, guess)
+
+
+def _cast_text(col: Column, guess: Guess) -> Column:
     if guess.kind == "string":
         return col
     if guess.kind == "boolean":
@@ -255,13 +278,19 @@ def cast_failures(df: DataFrame, guesses: list[Guess]) -> DataFrame:
     return df.agg(*parts)
 
 
-def _downgrade(sample: DataFrame, guesses: list[Guess], tolerance: float) -> list[Guess]:
-    row: Row = cast_failures(sample, guesses).first()
+def _downgrade(df: DataFrame, guesses: list[Guess], tolerance: float, values: DataFrame | None, found: dict[str, dict]) -> list[Guess]:
+    others = [g for g in guesses if g.column not in found]
+    row: Row | None = cast_failures(df, others).first() if others else None
+    counts = {g.column: (row[f"total{i}"], row[f"failed{i}"]) for i, g in enumerate(others)}
+    typed_texts = [g for g in guesses if g.column in found and g.kind != "string"]
+    if typed_texts:
+        failed = values.agg(*[_rows((F.col("column") == g.column) & _cast_text(F.col("value"), g).isNull()).alias(f"failed{i}") for i, g in enumerate(typed_texts)]).first()
+        counts |= {g.column: (found[g.column]["filled"], failed[f"failed{i}"]) for i, g in enumerate(typed_texts)}
     out = []
-    for i, g in enumerate(guesses):
-        total, failed = row[f"total{i}"], row[f"failed{i}"]
-        if g.kind != "string" and total and failed / total > tolerance:
-            out.append(Guess(g.column, "string", notes=(*g.notes, f"{g.kind} failed on {failed / total:.1%}")))
+    for g in guesses:
+        total, failures = counts.get(g.column, (0, 0))
+        if g.kind != "string" and total and failures / total > tolerance:
+            out.append(Guess(g.column, "string", notes=(*g.notes, f"{g.kind} failed on {failures / total:.1%}")))
         else:
             out.append(replace(g))
     return out

@@ -208,3 +208,15 @@ def test_long_whole_numbers_keep_every_digit(spark):
     got = inf.typed(df)
     assert sorted(r["plain"] for r in got.collect()) == ids and sorted(r["commas"] for r in got.collect()) == ids
     assert got.select("huge").distinct().count() == 200
+
+
+def test_types_from_counted_values(spark):
+    rows = [("2024-01-0" + str(i % 5 + 1), "x" * 70 if i % 50 else "1", None, "7" if i % 100 else "bad", " yes ") for i in range(400)]
+    df = spark.createDataFrame(rows, "day string, long string, none string, `a.b` string, flag string")
+    values = inf._values(df, df.columns)
+    counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"day": 5, "long": 393, "a.b": 2, "flag": 1} and values.agg(F.sum("rows")).first()[0] == 1600
+    guesses = {g.column: (g.kind, g.notes) for g in inf.infer(df)}
+    assert guesses == {"day": ("date", ()), "long": ("string", ()), "none": ("string", ("only empty values",)), "a.b": ("tinyint", ()), "flag": ("boolean", ())}
+    assert inf.infer(df, 0.005)[3].notes == ("tinyint failed on 1.0%",)
+    assert {g.kind for g in inf.infer(df.limit(0))} == {"string"}
