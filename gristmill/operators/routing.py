@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -20,13 +21,45 @@ from gristmill.session import bound_batches, cut_lineage
 
 #: Words of which a task remembers the n-grams.
 REMEMBERED = 200_000
+#: Where a routing signal that does not begin with a letter can be: its years.
+OTHER_BEGIN = r"(?U)\d{4}"
 #: A matcher turns the normalised text into a score column.
 Matcher = Callable[[Column], Column]
 
 
-def signal_flags(text: Column) -> dict[str, Column]:
-    flat = tx.squeeze(text)
-    return {name: flat.rlike(f"(?iU){pattern}") for name, (pattern, _, _) in lx.ROUTE_SIGNALS.items()}
+def first_words(pattern: str) -> set[str]:
+    """The runs of letters that can begin a match of ``\\b(one|other)\\b``; the empty one if a match can begin with another character."""
+    def spelled(part: str) -> list[str]:
+        found = re.search(r"\(\?:([^()]*)\)(\??)|(\\?.)\?", part)
+        if not found:
+            return [part]
+        ways = [*(found[3] if found[1] is None else found[1]).split("|"), *[""] * bool(found[2] or found[3])]
+        return [word for way in ways for word in spelled(part[:found.start()] + way + part[found.end():])]
+
+    whole = re.fullmatch(r"\\b\((.*)\)\\b", pattern)[1]
+    return {re.match("[a-z]*", word)[0] for part in re.split(r"\|(?![^()]*\))", whole) for word in spelled(part)}
+
+
+def with_signals(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with a boolean column of each signal, and these columns.
+
+    A text is cut into its words once; a pattern is only looked for in texts that hold a
+    word with which it can begin, or one of the characters that Java's patterns take for an
+    ASCII letter and ``lower`` does not make one.
+    """
+    begin = {name: first_words(pattern) for name, (pattern, _, _) in lx.ROUTE_SIGNALS.items()}
+    every = sorted(set().union(*begin.values()) - {""})
+    flat = F.col("__flat")
+    odd = (F.octet_length(flat) != F.length(flat)) & flat.rlike("[\u0130\u0131\u017f\u212a]")
+    df = df.withColumn("__flat", tx.squeeze(F.col(text))).withColumns({
+        "__words": F.array_intersect(F.split(F.lower(flat), "[^a-z]+"), F.array(*map(F.lit, every))), "__odd": odd})
+    flags = {}
+    for name, (pattern, _, _) in lx.ROUTE_SIGNALS.items():
+        maybe = F.col("__odd") | F.arrays_overlap("__words", F.array(*map(F.lit, sorted(begin[name] - {""}))))
+        if "" in begin[name]:
+            maybe = maybe | flat.rlike(OTHER_BEGIN)
+        flags[name] = F.when(maybe, flat.rlike(f"(?iU){pattern}")).otherwise(False)
+    return df.withColumns({f"__is_{name}": flag for name, flag in flags.items()}), {name: F.col(f"__is_{name}") for name in flags}
 
 
 def route(df: DataFrame, text: str, last_mode: str | None = None, turns: str | None = None,
@@ -37,7 +70,7 @@ def route(df: DataFrame, text: str, last_mode: str | None = None, turns: str | N
     ``turns`` one with the number of past turns; both only matter for texts
     that refer back to the conversation.
     """
-    flags = signal_flags(F.col(text))
+    df, flags = with_signals(df, text)
 
     def total(side: int) -> Column:
         score = F.lit(0.0)
@@ -49,7 +82,7 @@ def route(df: DataFrame, text: str, last_mode: str | None = None, turns: str | N
     structured, semantic = total(1), total(2)
     refers = F.lit(False)
     if turns:
-        flat = tx.squeeze(F.col(text))
+        flat = F.col("__flat")
         refers = (F.col(turns) > 0) & (flat.rlike(f"(?iU){lx.FOLLOW_UP_START}") | flat.rlike(f"(?iU){lx.BACK_REFERENCE}"))
     if last_mode:
         structured = structured + F.when(refers & (F.col(last_mode) == "structured_only"), 0.3).otherwise(0.0)
@@ -68,7 +101,7 @@ def route(df: DataFrame, text: str, last_mode: str | None = None, turns: str | N
     return (
         out.withColumn("mode", mode).withColumn("confidence", F.round(confidence, 4))
         .withColumn("structured_signal", F.round(x, 4)).withColumn("semantic_signal", F.round(y, 4))
-        .drop("__x", "__y", "__total")
+        .drop("__x", "__y", "__total", "__flat", "__words", "__odd", *(f"__is_{name}" for name in flags))
     )
 
 

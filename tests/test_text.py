@@ -239,6 +239,22 @@ def test_route_and_rules(spark):
     assert {r["id"]: r["label"] for r in got} == {1: "b", 2: "none", 3: "a"}
 
 
+def test_patterns_are_looked_for_where_their_words_are(spark):
+    rng, pieces = random.Random(3), [" ", " ", " ", ".", "-", "_", "'", "x", "1", "2024", "\u0661\u0662\u0663\u0664", "\u00e9", "\u0301", "\u0130", "\u0131", "\u017f", "\u212a"]
+    for pattern, _, _ in lx.ROUTE_SIGNALS.values():
+        assert all(word.isalpha() or not word for word in routing.first_words(pattern))
+        pieces += re.findall("[a-z]+", pattern.replace("\\b", "").replace("\\d", ""))
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 5))) for _ in range(6000)]
+    texts += [t.upper() for t in texts[:2000]] + ["\u017fum", "ran\u212a", "t\u0130me", "\u0130\u017f\u017fue", "doesn't work", "vs.", "filtered by", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    marked, flags = routing.with_signals(df, "text")
+    assert "CASE WHEN" in marked._jdf.queryExecution().optimizedPlan().toString()
+    plain = [tx.squeeze(F.col("text")).rlike(f"(?iU){pattern}") for pattern, _, _ in lx.ROUTE_SIGNALS.values()]
+    rows = marked.select("text", F.array(*flags.values()).alias("got"), F.array(*plain).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows), [r for r in rows if r["got"] != r["want"]][:3]
+    assert all(0 < sum(r["want"][k] for r in rows) < len(rows) for k in range(len(flags)))
+
+
 def test_trained_text_classifier_separates(spark):
     rows = [("count the rows total", "sql")] * 6 + [("people feel happy opinions", "text")] * 6
     df = spark.createDataFrame(rows, "q string, label string")
