@@ -3,8 +3,9 @@
 Texts stay in their partitions: nothing is shuffled, and no word is common
 enough to be hot. A task remembers the ids and decoded bytes of the words that
 it met, so a word is merged about once a task. Merging takes the adjacent pair
-of least rank, the leftmost first, from a heap until none is left, which takes
-n log n steps for n bytes, whatever the word's length.
+of least rank, the leftmost first, until none is left. Short words look for it
+in a list; others keep a heap, which takes n log n steps for n bytes, whatever
+the word's length.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,6 +24,10 @@ from gristmill.llm import store
 
 #: Characters of words that a task remembers, each word counted as so many more.
 REMEMBERED, EACH = 32 << 20, 64
+#: Bytes of a word up to which looking through its list of pairs takes less than a heap.
+SHORT = 64
+#: Above all ranks.
+NONE = 1 << 62
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -35,6 +40,26 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: its own, or those of the pieces that the ranked merges leave."""
     if word in ranks:
         return [ranks[word]]
+    return merge_short(word, ranks) if len(word) <= SHORT else merge_long(word, ranks)
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The merges of a short word: the least rank is looked for in a list of all."""
+    rank = ranks.get
+    cut = list(range(len(word) + 1))  # where pieces start, and the end
+    pair = [rank(word[i:i + 2], NONE) for i in range(len(word) - 1)]  # ranks of neighbours
+    while pair and (least := min(pair)) < NONE:
+        i = pair.index(least)
+        del cut[i + 1], pair[i]
+        if i < len(pair):
+            pair[i] = rank(word[cut[i]:cut[i + 2]], NONE)
+        if i:
+            pair[i - 1] = rank(word[cut[i - 1]:cut[i + 1]], NONE)
+    return [ranks[word[a:b]] for a, b in zip(cut, cut[1:])]
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The merges of a word of any length: the least rank comes from a heap."""
     n = len(word)
     after = list(range(1, n + 1))  # where the piece that starts here ends
     before = list(range(-1, n - 1))  # where the piece before it starts
@@ -69,9 +94,11 @@ class Coder:
 
     A single space between two other characters always starts a match of the
     pattern, so parts cut there are matched apart, each distinct part once.
+    Parts and words are remembered together, without a space that leads them;
+    those with white space at an end are not parts of other texts, so they are
+    remembered apart.
     """
 
-    _odd = re.compile(r"\s\s|^\s|\s$").search
     _cut = re.compile(r"(?<=\S) (?=\S)").split
 
     def __init__(self, pattern: str, ranks: list[tuple[bytes, int]]):
@@ -80,32 +107,51 @@ class Coder:
         self.match = regex.compile(pattern).findall
         self.ranks = dict(ranks)
         self.pieces = {r: p for p, r in ranks}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, tuple[bytes, bytes]] = {}
+        self.later: dict[str, tuple[bytes, bytes]] = {}  # after a space
+        self.odd: dict[str, tuple[bytes, bytes]] = {}
         self.size = 0
 
+    def _place(self, text: str) -> tuple[dict[str, tuple[bytes, bytes]], str]:
+        """Where this part or word is remembered, and by which name."""
+        known, name = (self.later, text[1:]) if text[0] == " " else (self.first, text)
+        return (self.odd, text) if not name or name[0].isspace() or name[-1].isspace() else (known, name)
+
     def _word(self, word: str) -> tuple[bytes, bytes]:
-        if word not in self.words:
+        known, name = self._place(word)
+        if name not in known:
             ids = merge(word.encode("utf-8", "surrogatepass"), self.ranks)
-            self.words[word] = np.array(ids, "<u4").tobytes(), b"".join([self.pieces[i] for i in ids])
+            known[name] = pack(f"<{len(ids)}I", *ids), b"".join([self.pieces[i] for i in ids])
             self.size += len(word) + EACH
-        return self.words[word]
+        return known[name]
 
     def _part(self, part: str) -> tuple[bytes, bytes]:
-        found = [self._word(w) for w in self.match(part)]
-        self.parts[part] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-        self.size += len(part) + EACH
-        return self.parts[part]
+        words = self.match(part)
+        if len(words) == 1:
+            return self._word(words[0])
+        known, name = self._place(part)
+        if name not in known:
+            found = [self._word(w) for w in words]
+            known[name] = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            self.size += len(part) + EACH
+        return known[name]
 
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
+        if not text:
+            return b"", b""
         if self.size > REMEMBERED:
-            self.words, self.parts, self.size = {}, {}, 0
-        cut = (self._cut(text) if self._odd(text) else text.split(" ")) if text else []
-        known = self.parts
-        parts = [cut[0], *[" " + p for p in cut[1:]]] if cut else []
-        found = list(map(known.get, parts))
+            self.forget()
+        head, *rest = parts = text.split(" ")
+        found = [self.first.get(head), *map(self.later.get, rest)]
         if None in found:
-            found = [f or known.get(p) or self._part(p) for p, f in zip(parts, found)]
+            # what is known has no white space at its ends, so only others can be cut wrongly
+            if any(f is None and (not p or p[0].isspace() or p[-1].isspace()) for p, f in zip(parts, found)):
+                head, *rest = self._cut(text)
+                found = [self.first.get(head), *map(self.later.get, rest)]
+            found = [f or self._part(p) for p, f in zip([head, *[" " + p for p in rest]], found)]
         return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 

@@ -636,6 +636,24 @@ def test_bpe_merges_words_of_any_length():
             assert bpe.merge(word.encode(), ranks) == library._core_bpe.encode_single_piece(word.encode())
 
 
+def test_bpe_parts_at_white_space():
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    coder, library = bpe.Coder(vocabularies.PATTERN, bpe.read_ranks(path)), bpe._library(path, vocabularies.PATTERN)
+    rng = random.Random(6)
+    texts = ["foo\n", "foo\n bar", "\n\n", "\n\n foo", " ", "  ", " foo", "foo ", "foo", "a \u00a0b", "\x1c", "a\x1c b", "b \x1da"]
+    texts += ["".join(rng.choice(["a", "b", "foo", "'s", ",", "1", " ", " ", " ", "\n", "\t", "\x1c", "\u00a0", "\u2003", "\u00e9"]) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    for text in texts:
+        assert coder.round_trip(text) == (np.array(library.encode_ordinary(text), "<u4").tobytes(), text.encode()), text
+
+
+def test_bpe_remembers_a_word_once_and_merges_short_ones_from_a_list(monkeypatch):
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    coder, heaps = bpe.Coder(vocabularies.PATTERN, bpe.read_ranks(path)), []
+    monkeypatch.setattr(bpe, "heapify", lambda h: heaps.append(len(h)))
+    coder.round_trip(" ".join(f"wxq{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)))
+    assert coder.size <= 300 * (6 + bpe.EACH) and not heaps
+
+
 def test_bpe_forgets_words_without_losing_any(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 300)
     path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
