@@ -41,6 +41,8 @@ SLOTS = 1
 ENTRIES, CELL, TASK = 500_000, 2000, 100_000
 #: Bytes of sketches or of whole sets that one task holds, and of whole sets on one side of a cell.
 TASK_BYTES, CELL_BYTES = 64 << 20, 16 << 20
+#: Bits that mark the hashes of wanted texts before texts are shuffled, 64 in a row, so 2^18 rows are broadcast at most.
+MARKS = 1 << 24
 #: Pairs looked at and bytes of sketches compared at a time.
 PAIRS, TILE = 1 << 20, 8 << 20
 
@@ -402,9 +404,17 @@ def ruled_in(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: one text of each wanted node. Only these are read again."""
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    return docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
+    """node, text: one text of each wanted node. Only these are shuffled, and the few others that
+    fall on one of their marks."""
+    wanted = store.stash(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "wanted")
+
+    def row_and_bit(value: Column) -> tuple[Column, Column]:
+        place = F.pmod(value, F.lit(MARKS))
+        return F.floor(place / 64).alias("row"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")
+
+    marks = wanted.select(*row_and_bit(F.col("first_hash"))).groupBy("row").agg(F.bit_or("bit").alias("bits"))
+    marked = docs.select("doc_id", "text", *row_and_bit(F.xxhash64("text"))).join(F.broadcast(marks), "row").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return marked.join(wanted, (F.xxhash64("text") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
         "node", "text").dropDuplicates(["node"])
 
 
@@ -455,12 +465,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     marked = store.stash(prepare(docs, late), "sets")
     roots = components(docs, marked, crowded)
     spare = store.unused(docs.columns)
-    rows = marked.select("doc_id", "text_hash", "node").distinct().join(roots, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    rows = marked.groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left").select(
+        "doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
     rows = store.stash(rows, "document-roots")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    chosen = rows.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(
-        *(F.col(c).alias(spare(c)) for c in ("doc_id", "text_hash", "root")))
+    chosen = rows.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    shared = chosen.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root", F.lit(True).alias("shared"))
+    chosen = store.stash(chosen.join(shared, "root", "left").select("doc_id", "text_hash", "root", F.coalesce("shared", F.lit(False)).alias("shared")), "chosen")
+
+    def found(some: DataFrame) -> DataFrame:
+        some = some.select(*(F.col(c).alias(spare(c)) for c in ("doc_id", "text_hash", "root")))
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col(spare("doc_id"))) & (F.xxhash64("text") == F.col(spare("text_hash"))))
+
+    # texts are shuffled by component only where several rows have its least doc_id
     order = Window.partitionBy(spare("root")).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return (docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(spare("doc_id"))) & (F.xxhash64("text") == F.col(spare("text_hash"))))
-            .withColumn(spare("place"), F.row_number().over(order)).where(F.col(spare("place")) == 1).select(*docs.columns))
+    first = found(chosen.where("shared")).withColumn(spare("place"), F.row_number().over(order)).where(F.col(spare("place")) == 1)
+    return found(chosen.where("not shared")).select(*docs.columns).union(first.select(*docs.columns))

@@ -130,6 +130,10 @@ class Encoder:
                 del known[w]
             start = end
 
+    def forget(self) -> None:
+        """Leave no word to the tasks that the same worker runs next, of whatever query."""
+        self.first, self.later = {}, {}
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -158,6 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _ENCODERS[tokenizer].forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -487,6 +487,25 @@ def test_crowded_shingles_and_clashing_columns(spark, monkeypatch):
     assert simhash.keep_first(docs.withColumnRenamed("node", "_mark").limit(9)).count() > 0
 
 
+def test_texts_outside_the_wanted_are_not_shuffled(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k if k else None, " ".join(words[k:k + 30])) for k in range(300)], "doc_id long, text string")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("node"), F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("first"))
+    wanted = hashed.where("doc_id is null or doc_id % 50 = 7")
+    got = near_sets.texts_of(docs, hashed, wanted.select("node"))
+    want = {r["node"]: r["text"] for r in wanted.join(docs, F.col("node") == F.xxhash64("text")).select("node", "text").collect()}
+    assert len(want) == 7 and sorted(want.items()) == sorted(tuple(r) for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and plan.count("Join") == 2
+
+
+def test_one_of_rows_that_share_the_least_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "b"), (1, text, "a"), (1, f"{text} z", "c"), (2, text, "a"), (3, "alone here", "x"), (None, "no id", "y"), (None, "no id", "x"), (4, None, "n")]
+    got = near_sets.keep_first(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[4], rows[6], rows[7]], got.schema).collect()))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(i, 0) for i in range(1, 60)}
@@ -610,6 +629,24 @@ def test_bin_completion_on_small_cases():
         assert used == Counter(lengths)
 
 
+def test_tasks_leave_no_words_behind():
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    class Docs:
+        schema = StructType([StructField("doc_id", LongType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([pa.record_batch({"doc_id": [k], "text": [f"some{k} words{k}"]}) for k in range(9)])))
+
+    path = vocabularies.path("byte_bpe_50k.json")
+    assert len(packing.pieces(Docs(), path)) == 9
+    assert not packing._ENCODERS[path].first and not packing._ENCODERS[path].later
+
+
 # --- byte-level BPE ----------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(spark, documents, odd):
