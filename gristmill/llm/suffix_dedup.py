@@ -55,7 +55,9 @@ def packed(data: np.ndarray) -> np.ndarray:
     """The 8 bytes at each position as one integer; the last 7 positions are left out."""
     out = data.astype(np.uint64)
     for step, shift in zip((1, 2, 4), _SHIFTS):
-        out = out[:-step] | (out[step:] << shift)
+        more = out[step:] << shift
+        more |= out[:-step]
+        out = more
     return out
 
 
@@ -316,60 +318,77 @@ def refine(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     n = len(data)
     if n < 8:
         return np.arange(n)
-    keys = packed(data).byteswap()  # first byte most significant: pointers follow byte order
-    order = np.argsort(keys, kind="stable")
-    pointer = np.full(n, n, np.int64)
-    pointer[order] = _first_of_runs(keys[order][1:] != keys[order][:-1], np.arange(len(order)))
-    place = np.empty(n, np.int64)
-    place[:len(order)] = order
+    kind = np.int32 if n < 1 << 30 else np.int64
+    keys = packed(data).byteswap(inplace=True)  # first byte most significant: pointers follow byte order
+    order = np.argsort(keys, kind="stable").astype(kind)
+    keys = keys[order]
+    pointer = np.full(n, n, kind)
+    pointer[order] = _first_of_runs(keys[1:] != keys[:-1], np.arange(len(order), dtype=kind))
+    del keys
     known = 8
     while known < depth:
         step = min(known, depth - known)
-        counts = np.bincount(pointer[:len(order)], minlength=n)
-        shared = np.flatnonzero(counts[pointer[order]] > 1)
+        ranked = pointer[order]  # members of a bucket are neighbours
+        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        shared = np.flatnonzero(same[1:] | same[:-1]).astype(kind)
+        del ranked, same
         if not len(shared):
             break
         members = order[shared]
-        later = np.where(members + step < n, pointer[np.minimum(members + step, n - 1)], n)
+        later = np.where(members + step < n, pointer[np.minimum(members + step, n - 1)], kind(n))
         by = np.lexsort((later, pointer[members]))
         members, later = members[by], later[by]
+        del by
         bucket = pointer[members]
         order[shared] = members
         changed = (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])
+        del bucket, later
         pointer[members] = _first_of_runs(changed, shared)
         known += step
     return pointer
 
 
 def _first_of_runs(changed: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For members in order, the place of the first of their run."""
-    starts = np.concatenate([[True], changed])
-    return places[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
+    """For members in order, the place (ascending) of the first of their run."""
+    firsts = places.copy()
+    firsts[1:][~changed] = 0
+    return np.maximum.accumulate(firsts, out=firsts)
 
 
 def repeated_windows(docs: np.ndarray, names: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> list[tuple]:
     """(_doc, _name, spans) where windows of these strings also start earlier."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     pointer = refine(np.frombuffer(b"".join(texts), np.uint8))
+    by = np.lexsort((names, docs))
+    new = np.concatenate([[True], (docs[by][1:] != docs[by][:-1]) | (names[by][1:] != names[by][:-1])])[:len(by)]
+    ranks = np.empty(len(by), np.int32)  # of documents
+    ranks[by] = np.cumsum(new) - 1
+    docs, names = docs[by[new]], names[by[new]]
     begin = np.cumsum(lengths) - lengths
     windows = np.maximum(lengths - LENGTH + 1, 0)
-    unit = np.repeat(np.arange(len(texts)), windows)
-    inner = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
-    where, bucket = starts[unit] + inner, pointer[begin[unit] + inner]
-    order = np.lexsort((where, names[unit], docs[unit], bucket))
-    unit, where, bucket = unit[order], where[order], bucket[order]
-    if not len(unit):
+    first_window = np.cumsum(windows) - windows
+    unit = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+    number = np.arange(len(unit))
+    where = number + (starts - first_window)[unit]
+    number += (begin - first_window)[unit]
+    bucket, d = pointer[number], ranks[unit]
+    del pointer, number, unit
+    order = np.lexsort((where, d, bucket))
+    where, d, bucket = where[order], d[order], bucket[order]
+    del order
+    if not len(d):
         return []
     first = _first_of_runs(bucket[1:] != bucket[:-1], np.arange(len(bucket)))
-    d, m = docs[unit], names[unit]
-    again = (d != d[first]) | (m != m[first]) | (where != where[first])  # another start than the earliest
-    d, m, where = d[again], m[again], where[again]
-    order = np.lexsort((where, m, d))
-    d, m, where = d[order], m[order], where[order]
+    del bucket
+    again = (d != d[first]) | (where != where[first])  # another start than the earliest
+    d, where = d[again], where[again]
+    del first, again
+    order = np.lexsort((where, d))
+    d, where = d[order], where[order]
     rows = []
-    for part in np.split(np.arange(len(d)), np.flatnonzero((d[1:] != d[:-1]) | (m[1:] != m[:-1])) + 1):
+    for part in np.split(np.arange(len(d)), np.flatnonzero(d[1:] != d[:-1]) + 1):
         if len(part):
-            rows.append((d[part[0]], m[part[0]], union(where[part], where[part] + LENGTH).tobytes()))
+            rows.append((docs[d[part[0]]], names[d[part[0]]], union(where[part], where[part] + LENGTH).tobytes()))
     return rows
 
 

@@ -94,6 +94,27 @@ def test_repeats_odd_rows(odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_refining_holds_few_bytes_a_position():
+    import tracemalloc
+
+    rng = random.Random(2)
+    line = bytes(rng.randrange(97, 123) for _ in range(175))
+    texts = [line[:80 + k % 20] + b"%05d" % (k % 700) + line[85 + k % 20:] for k in range(2000)]
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    tracemalloc.start()
+    rows = suffix_dedup.repeated_windows(ids // 2, ids % 2, zero, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) > 1000 and peak < 48 * sum(map(len, texts)), peak / sum(map(len, texts))
+    seen, want = {}, set()
+    for k, t in enumerate(texts):
+        for at in range(len(t) - 99):
+            if seen.setdefault(t[at:at + 100], (k, at)) != (k, at):
+                want.add((k, at))
+    got = {(2 * d + m, at) for d, m, spans in rows for low, high in np.frombuffer(spans, np.int64).reshape(-1, 2) for at in range(low, high)}
+    assert got == {(k, at + i) for k, at in want for i in range(100)}
+
+
 def test_refined_pointers_name_strings():
     rng = np.random.default_rng(0)
     for n in (0, 5, 40, 2000):
